@@ -112,37 +112,45 @@ def evaluate_alarms(metrics: DataFrame, specs: list[NamedTuple], dims: list[str]
     for spec in specs:
         if spec.comparison not in COMPARISONS or spec.treat_missing not in (BREACHING, NOT_BREACHING):
             raise ValueError(f"alarm {spec.alarm}: unknown comparison or missing-data policy")
-        legs.append((spec.alarm, spec.namespace, spec.metric_name, spec.stat, "m1", spec.period_s))
+        legs.append((spec.alarm, spec.namespace, spec.metric_name, "m1", spec.period_s))
         if spec.over_metric:
-            legs.append((spec.alarm, spec.namespace, spec.over_metric, spec.over_stat, "m2", spec.period_s))
+            legs.append((spec.alarm, spec.namespace, spec.over_metric, "m2", spec.period_s))
     leg_table = spark.createDataFrame(
-        legs, "alarm string, namespace string, metric_name string, stat string, leg string, period_s bigint"
+        legs, "alarm string, namespace string, metric_name string, leg string, period_s bigint"
     )
     rule_table = spark.createDataFrame(
         [
-            (s.alarm, s.comparison, s.threshold, s.treat_missing, s.evaluation_periods, s.scale, bool(s.over_metric))
+            (
+                s.alarm, s.stat, s.over_stat, s.scale, s.per, s.comparison, s.threshold,
+                s.treat_missing, s.evaluation_periods,
+            )
             for s in specs
         ],
-        "alarm string, comparison string, threshold double, treat_missing string, "
-        "evaluation_periods int, scale double, ratio boolean",
+        "alarm string, stat string, over_stat string, scale double, per double, comparison string, "
+        "threshold double, treat_missing string, evaluation_periods int",
     )
 
     points = by_dims(metrics, dims).join(F.broadcast(leg_table), ["namespace", "metric_name"])
     timed = points.withColumn("period", period_start(F.col("ts"), F.col("period_s")))
-
-    def side(leg: str) -> list[Column]:
-        value = F.when(F.col("leg") == leg, F.col("value"))
-        chosen = F.max(F.when(F.col("leg") == leg, F.col("stat")))
-        by_stat = F.coalesce(*[F.when(chosen == name, agg(value)) for name, agg in STATS.items()])
-        return [by_stat.alias(leg)]
-
     keys = ["alarm", *dims]
-    stats = timed.groupBy(*keys, "period_s", "period").agg(*side("m1"), *side("m2"))
-    ruled = stats.join(F.broadcast(rule_table), "alarm")
-    value = F.when(F.col("ratio"), F.col("scale") * F.try_divide("m1", "m2")).otherwise(
-        F.col("m1") * F.col("scale")
+    sides = timed.groupBy(*keys, "period_s", "period").agg(*[
+        agg(F.when(F.col("leg") == leg, F.col("value"))).alias(f"{leg}_{name}")
+        for leg in ("m1", "m2")
+        for name, agg in STATS.items()
+    ])
+
+    def chosen(leg: str, stat: str) -> Column:
+        return F.coalesce(*[F.when(F.col(stat) == name, F.col(f"{leg}_{name}")) for name in STATS])
+
+    m1, m2 = chosen("m1", "stat"), chosen("m2", "over_stat")
+    value = F.when(F.col("over_stat").isNull(), m1 * F.col("scale") / F.col("per")).otherwise(
+        F.col("scale") * F.try_divide(m1, m2)
+    )
+    rule = ["comparison", "threshold", "treat_missing", "evaluation_periods"]
+    ruled = sides.join(F.broadcast(rule_table), "alarm").select(
+        *keys, "period_s", "period", *rule, value.alias("stat")
     )
-    filled = fill_periods(ruled.withColumn("stat", value).drop("m1", "m2"), keys, F.col("period_s"))
+    filled = fill_periods(ruled, keys, F.col("period_s"))
     breached = with_missing(
         breach_by_spec(F.col("stat"), F.col("comparison"), F.col("threshold")), F.col("treat_missing")
     )

@@ -6,6 +6,7 @@ import math
 import random
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -150,7 +151,7 @@ def route_errors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def mark_missing_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that lack a partition key go to the error route."""
-    missing = F.when(F.greatest(*[F.col(k).isNull() for k in [*keys, keys[0]]]), "partition_key")
+    missing = F.when(reduce(Column.__or__, [F.col(k).isNull() for k in keys]), "partition_key")
     known = F.col("error_type") if "error_type" in df.columns else F.lit(None).cast("string")
     return df.withColumn("error_type", F.coalesce(known, missing))
 

@@ -27,6 +27,7 @@ class AlarmSpec(NamedTuple):
     treat_missing: str
     evaluation_periods: int = 1
     scale: float = 1.0
+    per: float = 1.0
     over_metric: str | None = None
     over_stat: str | None = None
 
@@ -116,7 +117,8 @@ PER_CLUSTER = (
 # The reference line of the disk report.
 DISK_LINE = ("Maximum disk usage", 100)
 
-# Fixed values: (alarm, metric, statistic, comparison, threshold, missing periods, scale, over what).
+# Fixed values: (alarm, metric, statistic, comparison, threshold, missing periods), then for an alarm on
+# an expression its factor and what it divides by: a number, or the minimum of another metric.
 _ALARMS = {
     (STREAM, MINUTE): [
         ("IteratorAge", "GetRecords.IteratorAgeMilliseconds", "Maximum", ">=", 60000, "breaching"),
@@ -137,7 +139,7 @@ _ALARMS = {
         ("Checkpoint", "numberOfFailedCheckpoints", "Average", ">", 0, "breaching"),
         ("CpuUtilization", "cpuUtilization", "Maximum", ">", 80, "breaching"),
         ("HeapMemory", "heapMemoryUtilization", "Maximum", ">", 90, "breaching"),
-        ("GCPercent", "oldGenerationGCTime", "Maximum", ">", 60, "breaching", 100 / 60000),
+        ("GCPercent", "oldGenerationGCTime", "Maximum", ">", 60, "breaching", 100, 60000),
         ("RecordsOut", "numRecordsOutPerSecond", "Average", "<=", 0, "breaching"),
         ("MillisBehind", "millisBehindLatest", "Maximum", ">", 60000, "breaching"),
     ],
@@ -153,26 +155,23 @@ def metric_specs() -> list[MetricSpec]:
     ]
 
 
-def alarm_specs() -> list[AlarmSpec]:
+def alarm_specs(per_second: bool = False) -> list[AlarmSpec]:
+    """The alarm catalogue. As published, the limit alarms set a period's sum against a limit per
+    second; ``per_second`` brings the sum to the same unit first."""
     specs = []
     for (namespace, period), group in _ALARMS.items():
         for name, metric, stat, comparison, threshold, missing, *math in group:
-            scale = float(math[0]) if math else 1.0
-            over = math[1] if len(math) > 1 else None
-            specs.append(AlarmSpec(
-                name, namespace, metric, stat, period, comparison, float(threshold), missing, 1, scale,
-                over, "Minimum" if over else None,
-            ))
+            spec = AlarmSpec(name, namespace, metric, stat, period, comparison, float(threshold), missing)
+            if math and isinstance(math[1], str):
+                factor = math[0] / period if per_second else math[0]
+                spec = spec._replace(scale=float(factor), over_metric=math[1], over_stat="Minimum")
+            elif math:
+                spec = spec._replace(scale=float(math[0]), per=float(math[1]))
+            specs.append(spec)
     return specs
 
 
 METRIC_COLUMNS = "namespace string, metric_name string, stat string, period_s int"
-ALARM_COLUMNS = (
-    "alarm string, namespace string, metric_name string, stat string, period_s int, comparison string, "
-    "threshold double, treat_missing string, evaluation_periods int, scale double, over_metric string, "
-    "over_stat string"
-)
-
 
 def metric_table(spark: SparkSession, specs: list[MetricSpec]) -> DataFrame:
     return spark.createDataFrame([tuple(s) for s in specs], METRIC_COLUMNS)
