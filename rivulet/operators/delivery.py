@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -184,28 +183,28 @@ def write_objects(
     compression: str = "GZIP",
     delimiter: bool = True,
     mode: str = "append",
+    largest: int | None = None,
 ) -> None:
     """Write JSON objects, one per line, below ``path`` in files of at most ``buffer_mb`` (before
     compression). With ``delimiter=False`` the objects simply follow one another.
 
-    Range partitioning on (prefix, hash of line) cuts a hot prefix into many tasks and puts small
-    prefixes together, so the number of objects stays near total size / buffer size.
+    Rows are brought together by prefix, and adaptive execution cuts a hot prefix into several tasks
+    and joins small ones, so the number of files follows the volume. The bound on a file comes from
+    the longest line, found in a pass of its own unless the caller knows it (``largest``, in bytes).
     """
     limit = int(within(buffer_mb, BUFFER_MB, "buffer size") * 1024 * 1024)
-    total, largest = df.agg(
-        F.sum(F.octet_length(line).cast("bigint") + 1), F.max(F.octet_length(line) + 1)
-    ).first()
-    if total is None:
-        return
-    salted = df.withColumn("__salt", F.xxhash64(line))
-    spread = salted.repartitionByRange(max(1, math.ceil(total / limit)), *prefix, "__salt")
+    if largest is None:
+        largest = df.agg(F.max(F.octet_length(line))).first()[0]
+        if largest is None:
+            return
     # Without a delimiter the closing brace of each object takes the place of the line separator.
     text = F.col(line) if delimiter else F.expr(f"substring({line}, 1, length({line}) - 1)").alias(line)
     (
-        spread.select(*prefix, text)
+        df.hint("rebalance", *prefix)
+        .select(*prefix, text)
         .write.mode(mode)
         .option("compression", codec(compression))
-        .option("maxRecordsPerFile", max(1, limit // largest))
+        .option("maxRecordsPerFile", max(1, limit // (largest + 1)))
         .option("lineSep", "\n" if delimiter else "}")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*prefix)

@@ -297,7 +297,7 @@ WITH {OUTCOMES}
 SELECT invocation, batch_no, count(*) AS attempted, count(*) FILTER (WHERE status = 'delivered') AS delivered,
        count(*) FILTER (WHERE attempts > 1) AS retried, count(*) FILTER (WHERE status = 'lost') AS lost,
        max(attempts) AS calls,
-       round(count(*) FILTER (WHERE status = 'delivered') * 100.0::DOUBLE / count(*), 6) AS delivered_percent
+       count(*) FILTER (WHERE status = 'delivered') * 100 / count(*) AS delivered_percent
 FROM outcomes GROUP BY 1, 2""",
     "time_prefix": f"""
 SELECT event_id, {PARTS} FROM events""",
@@ -337,14 +337,14 @@ SELECT CAST(user_id % 3 AS INTEGER) AS "partition", max((event_id * 7919) % 1200
        max(event_id * 7919 % 1200) AS max_offset_lag, CAST(sum(event_id * 7919 % 1200) AS BIGINT) AS sum_offset_lag
 FROM events GROUP BY 1""",
     "metric_stream": f"""
-SELECT {period(3600)} AS period, event_type AS stream, count(*) AS datapoints, round(avg(value), 6) AS average,
-       round(sum(value), 6) AS total, min(value) AS lowest, max(value) AS highest
+SELECT {period(3600)} AS period, event_type AS stream, count(*) AS datapoints, round(avg(value), 9) AS average,
+       round(sum(value), 9) AS total, min(value) AS lowest, max(value) AS highest
 FROM events GROUP BY 1, 2""",
-    "metric_avg": stat_query("round(avg(value), 6)"),
-    "metric_sum": stat_query("round(sum(value), 6)"),
+    "metric_avg": stat_query("round(avg(value), 9)"),
+    "metric_sum": stat_query("round(sum(value), 9)"),
     "metric_min": stat_query("min(value)"),
     "metric_max": stat_query("max(value)"),
-    "metric_p99": stat_query("round(quantile_cont(value, 0.99), 6)"),
+    "metric_p99": stat_query("round(quantile_cont(value, 0.99), 9)"),
     "metric_by_broker": f"""
 SELECT event_type AS stream, CAST(user_id % 3 + 1 AS VARCHAR) AS broker, {period(300)} AS period,
        max(value) AS stat
@@ -353,38 +353,39 @@ FROM events GROUP BY 1, 2, 3""",
 WITH points AS (
   SELECT {period(3600)} AS period, event_type AS stream, CAST({shard("user_id")} AS VARCHAR) AS shard, value
   FROM events)
-SELECT period, stream, shard, count(*) AS datapoints, round(sum(value), 6) AS "sum", max(value) AS maximum
+SELECT period, stream, shard, count(*) AS datapoints, round(sum(value), 9) AS "sum", max(value) AS maximum
 FROM points GROUP BY GROUPING SETS ((period, stream), (period, stream, shard))""",
     "metric_rate": f"""
 WITH {HOURLY_MAX},
 rates AS (
   SELECT stream, period,
-         round((stat - lag(stat) OVER w) / (epoch(period) - epoch(lag(period) OVER w)) * 60, 6) AS rate
+         (stat - lag(stat) OVER w) / (epoch(period) - epoch(lag(period) OVER w)) * 60 AS rate
   FROM hourly WINDOW w AS (PARTITION BY stream ORDER BY period))
 SELECT * FROM rates WHERE rate IS NOT NULL""",
     "gc_percent": f"""
-WITH {HOURLY_MAX} SELECT stream, period, round((stat * 100) / 60000, 6) AS gc_percent FROM hourly""",
+WITH {HOURLY_MAX} SELECT stream, period, (stat * 100) / 60000 AS gc_percent FROM hourly""",
     "per_second": f"""
-SELECT event_type AS stream, {period(300)} AS period, round(sum(value) / 300, 6) AS per_second
+SELECT event_type AS stream, {period(300)} AS period, round(sum(value) / 300, 9) AS per_second
 FROM events GROUP BY 1, 2""",
     "delivery_success": f"""
 SELECT CAST(user_id % 3 AS INTEGER) AS "partition", {period(300)} AS period,
-       round(avg(CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 6) AS success
+       avg(CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS success
 FROM events GROUP BY 1, 2""",
     "limit_percent": f"""
 WITH sides AS (
   SELECT CAST(user_id % 3 + 1 AS VARCHAR) AS broker, {period(300)} AS period,
-         sum(value) FILTER (WHERE event_type = 'view') AS m1, min(value) FILTER (WHERE event_type = 'purchase') AS m2
+         sum(ceil(value)) FILTER (WHERE event_type = 'view') AS m1,
+         min(ceil(value)) FILTER (WHERE event_type = 'purchase') AS m2
   FROM events GROUP BY 1, 2)
-SELECT broker, period, round(100 * (m1 / nullif(m2, 0)), 4) AS percent,
-       round(100 * (m1 / 300 / nullif(m2, 0)), 4) AS percent_per_second
+SELECT broker, period, 100 * (m1 / nullif(m2, 0)) AS percent,
+       100 * (m1 / 300 / nullif(m2, 0)) AS percent_per_second
 FROM sides""",
     "availability": f"""
 WITH sides AS (
   SELECT CAST(user_id % 3 + 1 AS VARCHAR) AS broker, {period(3600)} AS period,
          CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) AS errors, CAST(count(*) AS DOUBLE) AS invocations
   FROM events GROUP BY 1, 2)
-SELECT broker, period, round(100 - 100 * errors / nullif(greatest(errors, invocations), 0), 6) AS availability
+SELECT broker, period, 100 - 100 * errors / nullif(greatest(errors, invocations), 0) AS availability
 FROM sides""",
     "disk_annotation": f"""
 SELECT event_type AS stream, CAST(user_id % 3 + 1 AS VARCHAR) AS broker, {period(3600)} AS period,
@@ -456,7 +457,7 @@ def _board() -> str:
 WITH {catalogue_points()},
 specs(namespace, metric_name, stat, period_s) AS (VALUES {rows})
 SELECT namespace, metric_name, CAST(period_s AS INTEGER) AS period_s, broker, {period("period_s")} AS period, stat,
-       round(CASE stat {by_stat} ELSE quantile_cont(value, 0.99) END, 6) AS stat_value
+       round(CASE stat {by_stat} ELSE quantile_cont(value, 0.99) END, 9) AS stat_value
 FROM points JOIN specs USING (namespace, metric_name)
 GROUP BY namespace, metric_name, period_s, broker, 5, stat"""
 

@@ -39,6 +39,8 @@ BOARD_ALARMS = [
     ),
 ]
 
+# Sums of doubles depend on their order; results are compared to this many digits.
+DIGITS = 9
 DAY_PARTITIONS = ["year", "month", "day"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -315,8 +317,7 @@ def delivery_outcome(spark, sf_dir):
 
 @query
 def delivery_report(spark, sf_dir):
-    report = delivery.delivery_report(_outcomes(spark, sf_dir), BATCH)
-    return report.withColumn("delivered_percent", F.round("delivered_percent", 6))
+    return delivery.delivery_report(_outcomes(spark, sf_dir), BATCH)
 
 
 @query
@@ -443,8 +444,8 @@ def metric_stream(spark, sf_dir):
     stats = windows.metric_stream(points, ["stream"], HOUR)
     windows.latest_to_table(stats, f"{root}/table", f"{root}/checkpoint").awaitTermination()
     return windows.read_latest(spark, f"{root}/table").select(
-        "period", "stream", "datapoints", F.round("Average", 6).alias("average"),
-        F.round("Sum", 6).alias("total"), F.col("Minimum").alias("lowest"), F.col("Maximum").alias("highest"),
+        "period", "stream", "datapoints", F.round("Average", DIGITS).alias("average"),
+        F.round("Sum", DIGITS).alias("total"), F.col("Minimum").alias("lowest"), F.col("Maximum").alias("highest"),
     )
 
 
@@ -458,7 +459,7 @@ def _points(spark: SparkSession, sf_dir: str, *dims: str) -> DataFrame:
 def _register_stat(name: str, stat: str, exact: bool) -> None:
     def run(spark, sf_dir):
         out = metrics.metric_stat(_points(spark, sf_dir, "stream"), ["stream"], FIVE_MINUTES, stat)
-        return out if exact else out.withColumn("stat", F.round("stat", 6))
+        return out if exact else out.withColumn("stat", F.round("stat", DIGITS))
 
     run.__name__ = name
     query(run)
@@ -480,7 +481,7 @@ def metric_by_broker(spark, sf_dir):
 @query
 def metric_rollup(spark, sf_dir):
     rows = _points(spark, sf_dir, "stream", "shard")
-    return metrics.metric_rollup(rows, ["stream", "shard"], HOUR).withColumn("sum", F.round("sum", 6))
+    return metrics.metric_rollup(rows, ["stream", "shard"], HOUR).withColumn("sum", F.round("sum", DIGITS))
 
 
 def _hourly(spark: SparkSession, sf_dir: str, stat: str) -> DataFrame:
@@ -489,20 +490,19 @@ def _hourly(spark: SparkSession, sf_dir: str, stat: str) -> DataFrame:
 
 @query
 def metric_rate(spark, sf_dir):
-    rates = metrics.metric_rate(_hourly(spark, sf_dir, "Maximum"), ["stream"])
-    return rates.select("stream", "period", F.round("rate", 6).alias("rate"))
+    return metrics.metric_rate(_hourly(spark, sf_dir, "Maximum"), ["stream"]).drop("stat")
 
 
 @query
 def gc_percent(spark, sf_dir):
     stats = _hourly(spark, sf_dir, "Maximum")
-    return stats.select("stream", "period", F.round(metrics.gc_percent(F.col("stat")), 6).alias("gc_percent"))
+    return stats.select("stream", "period", metrics.gc_percent(F.col("stat")).alias("gc_percent"))
 
 
 @query
 def per_second(spark, sf_dir):
     stats = metrics.metric_stat(_points(spark, sf_dir, "stream"), ["stream"], FIVE_MINUTES, "Sum")
-    return stats.select("stream", "period", F.round(metrics.per_second(F.col("stat")), 6).alias("per_second"))
+    return stats.select("stream", "period", F.round(metrics.per_second(F.col("stat")), DIGITS).alias("per_second"))
 
 
 @query
@@ -514,20 +514,21 @@ def delivery_success(spark, sf_dir):
         (F.col("event_type") != "error").cast("double").alias("value"),
     )
     stats = metrics.metric_stat(points, ["partition"], FIVE_MINUTES, "Average")
-    return stats.select("partition", "period", F.round(metrics.as_percent(F.col("stat")), 6).alias("success"))
+    return stats.select("partition", "period", metrics.as_percent(F.col("stat")).alias("success"))
 
 
 @query
 def limit_percent(spark, sf_dir):
     """Incoming volume (views) against the limit (lowest purchase), as published and per second."""
     legs = {"m1": (F.col("metric_name") == "view", "Sum"), "m2": (F.col("metric_name") == "purchase", "Minimum")}
-    pair = metrics.aligned(_points(spark, sf_dir, "broker"), ["broker"], FIVE_MINUTES, legs)
+    points = _points(spark, sf_dir, "broker").withColumn("value", F.ceil("value").cast("double"))
+    pair = metrics.aligned(points, ["broker"], FIVE_MINUTES, legs)
     m1, m2 = F.col("m1"), F.col("m2")
     return pair.select(
         "broker",
         "period",
-        F.round(metrics.percent_of(m1, m2), 4).alias("percent"),
-        F.round(metrics.percent_of(metrics.per_second(m1), m2), 4).alias("percent_per_second"),
+        metrics.percent_of(m1, m2).alias("percent"),
+        metrics.percent_of(metrics.per_second(m1), m2).alias("percent_per_second"),
     )
 
 
@@ -541,7 +542,7 @@ def availability(spark, sf_dir):
     legs = {"errors": (F.col("event_type") == "error", "Sum"), "invocations": (F.lit(True), "Sum")}
     pair = metrics.aligned(points, ["broker"], HOUR, legs).fillna({"errors": 0.0})
     rate = metrics.availability(F.col("errors"), F.col("invocations"))
-    return pair.select("broker", "period", F.round(rate, 6).alias("availability"))
+    return pair.select("broker", "period", rate.alias("availability"))
 
 
 @query
@@ -581,7 +582,7 @@ def metric_board(spark, sf_dir):
     """Every statistic of the metric catalogue."""
     specs = metric_table(spark, metric_specs())
     board = metrics.metric_board(_catalogue_points(spark, sf_dir), specs, ["broker"])
-    return board.withColumn("stat_value", F.round("stat_value", 6))
+    return board.withColumn("stat_value", F.round("stat_value", DIGITS))
 
 
 # --- alarms ----------------------------------------------------------------------------------------

@@ -32,11 +32,19 @@ def _trigger(seconds: int | None) -> dict:
     return {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
 
 
-def sink_ticks(ticks: DataFrame, path: str, checkpoint: str, every_s: int | None = None) -> StreamingQuery:
+def sink_ticks(
+    ticks: DataFrame, path: str, checkpoint: str, every_s: int | None = None, writers: int | None = None
+) -> StreamingQuery:
     """JSON files by (ticker, dt, hr), each record exactly once through the sink's commit log.
 
-    Without an interval the query takes what is there and ends.
+    Without an interval the query takes what is there and ends. A task writes one file per partition
+    value it meets, which is few while records arrive roughly in time order. For input that is not,
+    ``writers`` gathers each partition value in that many tasks first; more than one keeps a hot
+    ticker from ending in a single task.
     """
+    if writers:
+        salt = F.pmod(F.xxhash64("event_time", "price"), F.lit(writers))
+        ticks = ticks.repartition(*TICK_PARTITIONS, salt)
     return (
         ticks.writeStream.format("json")
         .partitionBy(*TICK_PARTITIONS)
