@@ -40,20 +40,19 @@ def _field_tree(paths: list[list[str]]) -> T.StructType:
     return T.StructType(fields)
 
 
-def project_fields(payload: Column, keys: dict[str, str]) -> dict[str, Column]:
-    """Field projection ``{name: ".path.to.field"}`` with a single parse of the payload."""
+def project_fields(payload: Column, keys: dict[str, str], name: str) -> tuple[Column, dict[str, Column]]:
+    """Field projections ``{key: ".path.to.field"}``: the payload parsed once, to be put into column
+    ``name``, and the columns that read it."""
     for path in keys.values():
         if not _PATH.match(path):
             raise ValueError(f"not a field path: {path!r}")
-    parts = {name: path.lstrip("$").lstrip(".").split(".") for name, path in keys.items()}
-    parsed = F.from_json(payload, _field_tree(list(parts.values())))
-    projected = {}
-    for name, path in parts.items():
-        field = parsed
+    parts = {key: path.lstrip("$").lstrip(".").split(".") for key, path in keys.items()}
+    fields = {}
+    for key, path in parts.items():
+        fields[key] = F.col(name)
         for step in path:
-            field = field.getField(step)
-        projected[name] = field
-    return projected
+            fields[key] = fields[key].getField(step)
+    return F.from_json(payload, _field_tree(list(parts.values()))), fields
 
 
 # Control characters cannot stand unescaped in JSON text, so they are safe as marks.

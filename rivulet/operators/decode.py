@@ -94,10 +94,24 @@ def explode_log_envelope(df: DataFrame, records: str = "records") -> DataFrame:
 
 
 def consume_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Records processed per key, with the grand total as the row whose keys are null."""
-    return rows.rollup(*keys).agg(
+    """Records processed per key, with the grand total as the row whose keys are null.
+
+    Counted per key first, so the total is built from counts and not from a second copy of the rows.
+    """
+    counts = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("records"), F.count("payload").alias("decoded")
-    ).select(*keys, "records", "decoded")
+    )
+    return counts.groupingSets([keys, []], *keys).agg(
+        F.sum("records").alias("records"), F.sum("decoded").alias("decoded")
+    )
+
+
+def computed_once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column that later filters refer to instead of repeating its expression.
+
+    Filters move below a projection and take a copy of what it computes; they stay above a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
 
 
 def decode_json(df: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
@@ -106,7 +120,7 @@ def decode_json(df: DataFrame, schema: T.StructType, column: str = "value") -> D
     marked = T.StructType([*schema.fields, T.StructField("__corrupt", T.StringType())])
     parsed = F.from_json(column, marked, {"columnNameOfCorruptRecord": "__corrupt"})
     bad = F.col("__p.__corrupt").isNotNull() | F.col("__p").isNull()
-    return df.select(*others, parsed.alias("__p")).select(
+    return computed_once(df.select(*others, column), parsed, "__p").select(
         *others,
         *[F.when(~bad, F.col(f"__p.{name}")).alias(name) for name in schema.names],
         F.when(bad, BAD_JSON).alias("error_type"),
@@ -115,10 +129,10 @@ def decode_json(df: DataFrame, schema: T.StructType, column: str = "value") -> D
 
 def decode_ticks(df: DataFrame, column: str = "value") -> DataFrame:
     """JSON ticks with ``event_time`` as a timestamp; unreadable time counts as a bad record."""
-    rows = decode_json(df, TICK, column)
-    when = parse_event_time(F.col("event_time"))
-    bad = F.coalesce("error_type", F.when(when.isNull(), "event_time"))
-    return rows.withColumns({"error_type": bad, "event_time": when})
+    rows = decode_json(df, TICK, column).withColumnRenamed("event_time", "__text")
+    timed = computed_once(rows, parse_event_time(F.col("__text")), "event_time").drop("__text")
+    bad = F.coalesce("error_type", F.when(F.col("event_time").isNull(), "event_time"))
+    return timed.withColumn("error_type", bad)
 
 
 def encode_json(df: DataFrame, columns: list[str], out: str = "value") -> DataFrame:
@@ -128,7 +142,8 @@ def encode_json(df: DataFrame, columns: list[str], out: str = "value") -> DataFr
 
 def extract_keys(df: DataFrame, keys: dict[str, str], column: str = "value") -> DataFrame:
     """Add one column per field projection of the payload; an absent field is null."""
-    return df.withColumns(project_fields(F.col(column), keys))
+    parsed, fields = project_fields(F.col(column), keys, "__p")
+    return computed_once(df, parsed, "__p").withColumns(fields).drop("__p")
 
 
 def deaggregate(df: DataFrame, column: str = "value", out: str = "object") -> DataFrame:

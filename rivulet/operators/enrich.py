@@ -47,11 +47,10 @@ def sample_mod(df: DataFrame, column: str, n: int = SAMPLE_EVERY) -> DataFrame:
 
 
 def price_natively(df: DataFrame, ride_id: str = "ride_request_id") -> DataFrame:
-    """Answer the request inside the plan: no Python process, no call."""
-    return df.withColumns({
-        "status": fare_status(F.col(ride_id)),
-        "body": F.to_json(F.struct(F.col(ride_id), fare(F.col(ride_id)).alias("expected_fare"))),
-    })
+    """What ``enrich`` and ``apply_response`` give for the fare model, inside the plan: no Python
+    process, no call, no text to build and parse."""
+    priced = df.where(fare_status(F.col(ride_id)) == OK_STATUS)
+    return priced.withColumn("expected_fare", fare(F.col(ride_id)))
 
 
 def _answer(future: Future) -> tuple[int, str | None]:

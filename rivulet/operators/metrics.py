@@ -151,14 +151,18 @@ def latest(stats: DataFrame, keys: list[str], value: str = "stat") -> DataFrame:
 def metric_board(metrics: DataFrame, specs: DataFrame, dims: list[str]) -> DataFrame:
     """Every statistic of a spec catalogue in one pass over the metric table.
 
-    ``specs`` holds (namespace, metric_name, stat, period_s) and comes from the fixed catalogue, so
-    it is small enough to be sent to every task.
+    ``specs`` holds (namespace, metric_name, stat, period_s, fans_out) and comes from the fixed
+    catalogue, so it is small enough to be sent to every task. A metric that does not fan out is
+    taken over all values of the dimensions, which are null in its rows.
     """
-    periods = specs.groupBy("namespace", "metric_name", "period_s").agg(
+    periods = specs.groupBy("namespace", "metric_name", "period_s", "fans_out").agg(
         F.sort_array(F.collect_set("stat")).alias("wanted")
     )
     rows = by_dims(metrics, dims).join(F.broadcast(periods), ["namespace", "metric_name"])
-    timed = rows.withColumn("period", period_start(F.col("ts"), F.col("period_s").cast("bigint")))
+    timed = rows.withColumns({
+        "period": period_start(F.col("ts"), F.col("period_s").cast("bigint")),
+        **{dim: F.when(F.col("fans_out"), F.col(dim)) for dim in dims},
+    })
     keys = ["namespace", "metric_name", "period_s", "wanted", *dims, "period"]
     plain = timed.groupBy(*keys).agg(*[agg(F.col("value")).alias(name) for name, agg in STATS.items()])
     long = plain.select(

@@ -14,6 +14,7 @@ class MetricSpec(NamedTuple):
     metric_name: str
     stat: str
     period_s: int
+    fans_out: bool = True
 
 
 class AlarmSpec(NamedTuple):
@@ -109,7 +110,7 @@ WATCHED: dict[tuple[str, int], dict[str, str]] = {
     },
 }
 
-# Broker metrics that exist once per cluster; the other ones fan out by broker.
+# Metrics that exist once per cluster; the other ones fan out by their dimensions.
 PER_CLUSTER = (
     "GlobalPartitionCount", "GlobalTopicCount", "OfflinePartitionsCount", "ZooKeeperRequestLatencyMsMean",
 )
@@ -148,7 +149,7 @@ _ALARMS = {
 
 def metric_specs() -> list[MetricSpec]:
     return [
-        MetricSpec(namespace, metric, stat, period)
+        MetricSpec(namespace, metric, stat, period, metric not in PER_CLUSTER)
         for (namespace, period), group in WATCHED.items()
         for metric, stats in group.items()
         for stat in stats.split()
@@ -171,7 +172,7 @@ def alarm_specs(per_second: bool = False) -> list[AlarmSpec]:
     return specs
 
 
-METRIC_COLUMNS = "namespace string, metric_name string, stat string, period_s int"
+METRIC_COLUMNS = "namespace string, metric_name string, stat string, period_s int, fans_out boolean"
 
 def metric_table(spark: SparkSession, specs: list[MetricSpec]) -> DataFrame:
     return spark.createDataFrame([tuple(s) for s in specs], METRIC_COLUMNS)

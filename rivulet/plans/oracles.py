@@ -450,16 +450,18 @@ ORACLES["ride_enriched_udf"] = _PRICED
 
 def _board() -> str:
     rows = ", ".join(
-        f"({text(s.namespace)}, {text(s.metric_name)}, {text(s.stat)}, {s.period_s})" for s in metric_specs()
+        f"({text(s.namespace)}, {text(s.metric_name)}, {text(s.stat)}, {s.period_s}, {s.fans_out})"
+        for s in metric_specs()
     )
     by_stat = " ".join(f"WHEN '{name}' THEN {fn}(value)" for name, fn in STATS_SQL.items())
     return f"""
 WITH {catalogue_points()},
-specs(namespace, metric_name, stat, period_s) AS (VALUES {rows})
-SELECT namespace, metric_name, CAST(period_s AS INTEGER) AS period_s, broker, {period("period_s")} AS period, stat,
+specs(namespace, metric_name, stat, period_s, fans_out) AS (VALUES {rows})
+SELECT namespace, metric_name, CAST(period_s AS INTEGER) AS period_s,
+       CASE WHEN fans_out THEN broker END AS broker, {period("period_s")} AS period, stat,
        round(CASE stat {by_stat} ELSE quantile_cont(value, 0.99) END, 9) AS stat_value
 FROM points JOIN specs USING (namespace, metric_name)
-GROUP BY namespace, metric_name, period_s, broker, 5, stat"""
+GROUP BY namespace, metric_name, period_s, 4, 5, stat"""
 
 
 ORACLES["metric_board"] = _board()

@@ -183,7 +183,7 @@ RIDE_COLUMNS = ["trip_id", "ride_request_id", "vehicle_id", "expected_fare"]
 
 @query
 def ride_enriched(spark, sf_dir):
-    return enrich.apply_response(enrich.price_natively(_requests(spark, sf_dir))).select(*RIDE_COLUMNS)
+    return enrich.price_natively(_requests(spark, sf_dir)).select(*RIDE_COLUMNS)
 
 
 @query

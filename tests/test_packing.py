@@ -133,15 +133,16 @@ def test_deliver_reports_every_record_once(spark):
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     try:
-        out = delivery.deliver(
+        delivered = delivery.deliver(
             packing.pack_batches(lines, "invocation", ["offset"]), make_client, ["invocation", "batch_no"],
             ["offset"], backoff=float,
-        ).collect()
+        )
+        out = delivered.collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(r.offset for r in out) == list(range(1300))
     assert all(r.attempts == (2 if r.offset % 100 == 0 else 1) and r.status == "delivered" for r in out)
-    outcomes = spark.createDataFrame(out)
+    outcomes = spark.createDataFrame(out, delivered.schema)
     report = delivery.delivery_report(outcomes, ["invocation", "batch_no"]).collect()
     assert sorted((r.invocation, r.batch_no, r.attempted, r.retried, r.lost) for r in report) == [
         (0, 1, 500, 5, 0), (0, 2, 100, 1, 0), (1, 1, 500, 5, 0), (1, 2, 100, 1, 0), (2, 1, 100, 1, 0),
