@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rivulet.functions.times import period_start
 from rivulet.operators.metrics import STATS, by_dims
+from rivulet.session import fixed_table
 
 ALARM, OK = "ALARM", "OK"
 
@@ -115,10 +116,11 @@ def evaluate_alarms(metrics: DataFrame, specs: list[NamedTuple], dims: list[str]
         legs.append((spec.alarm, spec.namespace, spec.metric_name, "m1", spec.period_s))
         if spec.over_metric:
             legs.append((spec.alarm, spec.namespace, spec.over_metric, "m2", spec.period_s))
-    leg_table = spark.createDataFrame(
-        legs, "alarm string, namespace string, metric_name string, leg string, period_s bigint"
+    leg_table = fixed_table(
+        spark, legs, "alarm string, namespace string, metric_name string, leg string, period_s bigint"
     )
-    rule_table = spark.createDataFrame(
+    rule_table = fixed_table(
+        spark,
         [
             (
                 s.alarm, s.stat, s.over_stat, s.scale, s.per, s.comparison, s.threshold,

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from rivulet.operators.metrics import FIVE_MINUTES, MINUTE
+from rivulet.session import fixed_table
 
 
 class MetricSpec(NamedTuple):
@@ -175,7 +176,7 @@ def alarm_specs(per_second: bool = False) -> list[AlarmSpec]:
 METRIC_COLUMNS = "namespace string, metric_name string, stat string, period_s int, fans_out boolean"
 
 def metric_table(spark: SparkSession, specs: list[MetricSpec]) -> DataFrame:
-    return spark.createDataFrame([tuple(s) for s in specs], METRIC_COLUMNS)
+    return fixed_table(spark, specs, METRIC_COLUMNS)
 
 
 def source_dims(stream: str) -> dict[str, str]:

@@ -563,10 +563,10 @@ def metric_latest(spark, sf_dir):
 def _catalogue_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as datapoints of the watched metrics, dealt round-robin by id."""
     watched = list(dict.fromkeys((s.namespace, s.metric_name) for s in metric_specs()))
-    turn = (F.col("event_id") % len(watched)).cast("int") + 1
 
     def pick(values: list[str]):
-        return F.element_at(F.array(*map(F.lit, values)), turn)
+        options = ", ".join(f"'{value}'" for value in values)
+        return F.expr(f"element_at(array({options}), cast(event_id % {len(watched)} AS int) + 1)")
 
     return tables.events(spark, sf_dir).select(
         "ts",

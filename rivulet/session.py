@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
@@ -14,6 +15,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Building a plan is quicker without a stack trace per expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -52,6 +55,13 @@ def workspace(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def fixed_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A catalogue written in code as a table, kept in the plan itself and so free to broadcast."""
+    names = [column.split()[0] for column in columns.split(",")]
+    values = dict(zip(names, map(list, zip(*rows))))
+    return spark.createDataFrame(pa.table(values), columns)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

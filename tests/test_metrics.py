@@ -153,3 +153,16 @@ def test_limit_alarm_as_published_and_per_second(spark):
 
 def test_source_dims():
     assert catalog.source_dims("my-input-stream") == {"Id": "my_input_stream", "Flow": "Input"}
+
+
+def test_catalogue_without_ratios(spark):
+    df = points(spark, [(0, 90.0, "n"), (1, 10.0, "n"), (3, 10.0, "n")]).select(
+        "ts", F.lit(catalog.APPLICATION).alias("namespace"), F.lit("cpuUtilization").alias("metric_name"),
+        F.create_map(F.lit("name"), F.col("stream")).alias("dims"), "value",
+    )
+    specs = [s for s in catalog.alarm_specs() if s.alarm in ("CpuUtilization", "HeapMemory")]
+    states = alarms.evaluate_alarms(df, specs, ["name"])
+    assert minutes(states.collect(), "alarm", "state") == [
+        (0, "CpuUtilization", "ALARM"), (1, "CpuUtilization", "OK"), (2, "CpuUtilization", "ALARM"),
+        (3, "CpuUtilization", "OK"),
+    ]
