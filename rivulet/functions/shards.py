@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Shards a stream may have.
+SHARD_COUNT = (1, 200)
+
 HASH_BITS = 32
 HASH_SPACE = 1 << HASH_BITS
 
 
 def shard_of(key: Column, shards: int) -> Column:
     """Shard number in ``[0, shards)``: the top 32 hash bits scaled onto equal ranges."""
-    if not 1 <= shards <= 200:
-        raise ValueError("shards must be between 1 and 200")
+    low, high = SHARD_COUNT
+    if not low <= shards <= high:
+        raise ValueError(f"shards must be between {low} and {high}")
     top_bits = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")
     return F.shiftright(top_bits * shards, HASH_BITS).cast("int")
 

@@ -22,11 +22,6 @@ def parse_event_time(text: Column) -> Column:
     return F.when(text.rlike(EVENT_TIME), text.try_cast("timestamp"))
 
 
-def to_millis(ts: Column) -> Column:
-    """Truncate to the millisecond precision of the tick table."""
-    return F.date_trunc("millisecond", ts)
-
-
 def epoch_millis(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 

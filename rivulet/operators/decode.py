@@ -174,8 +174,10 @@ def stream_envelopes(records: DataFrame, invocation: Column) -> DataFrame:
 
 def log_envelopes(records: DataFrame, invocation: Column) -> DataFrame:
     """Gather log records into ``topic-partition -> [record]`` envelopes of bounded batches."""
-    by_partition = records.groupBy(
-        invocation.alias("invocation"), F.concat_ws("-", "topic", F.col("partition").cast("string")).alias("tp")
+    # Both groupings are served by one shuffle on the invocation.
+    placed = records.withColumn("invocation", invocation).repartition("invocation")
+    by_partition = placed.groupBy(
+        "invocation", F.concat_ws("-", "topic", F.col("partition").cast("string")).alias("tp")
     ).agg(F.sort_array(F.collect_list(F.struct("offset", F.struct(*LOG_RECORD.names).alias("r")))).alias("__b"))
     return by_partition.groupBy("invocation").agg(
         F.map_from_entries(F.collect_list(F.struct("tp", F.col("__b.r")))).alias("records")

@@ -125,5 +125,5 @@ def enrich(
 
 def apply_response(df: DataFrame) -> DataFrame:
     """Keep answered requests and attach the fare found in the body."""
-    amount = F.get_json_object("body", "$.expected_fare").cast("double")
+    amount = F.get_json_object("body", "$.expected_fare").try_cast("double")
     return df.where(F.col("status") == OK_STATUS).withColumn("expected_fare", amount).drop("status", "body")

@@ -446,6 +446,8 @@ SELECT CAST(NULL AS BIGINT) AS trip_id, event_id AS ride_request_id, vehicle_id,
 FROM rides WHERE event_id <> 0"""
 ORACLES["ride_enriched"] = _PRICED
 ORACLES["ride_enriched_udf"] = _PRICED
+ORACLES["ride_job"] = _PRICED
+ORACLES["delivery_job"] = ORACLES["delivery_outcome"]
 
 
 def _board() -> str:

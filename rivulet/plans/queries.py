@@ -15,7 +15,7 @@ from rivulet.operators import alarms, decode, delivery, enrich, lag, logs, metri
 from rivulet.plans.catalog import AlarmSpec, DISK_LINE, alarm_specs, metric_specs, metric_table
 from rivulet.session import prepare, workspace
 from rivulet.sources import archive, streams, ticks
-from rivulet.streaming import sinks, windows
+from rivulet.streaming import jobs, sinks, windows
 
 HOUR = 3600
 FIVE_MINUTES = metrics.FIVE_MINUTES
@@ -183,14 +183,23 @@ RIDE_COLUMNS = ["trip_id", "ride_request_id", "vehicle_id", "expected_fare"]
 
 @query
 def ride_enriched(spark, sf_dir):
-    return enrich.price_natively(_requests(spark, sf_dir)).select(*RIDE_COLUMNS)
+    return jobs.priced_rides(tables.ride_messages(spark, sf_dir), kind=RIDE_TYPE).select(*RIDE_COLUMNS)
 
 
 @query
 def ride_enriched_udf(spark, sf_dir):
     """The same job with the fare asked of a client, twenty calls at a time."""
-    answered = enrich.enrich(_requests(spark, sf_dir), lambda: fares.fare_response)
-    return enrich.apply_response(answered).select(*RIDE_COLUMNS)
+    priced = jobs.priced_rides(tables.ride_messages(spark, sf_dir), lambda: fares.fare_response, RIDE_TYPE)
+    return priced.select(*RIDE_COLUMNS)
+
+
+@query
+def ride_job(spark, sf_dir):
+    """The same job on a stream of messages, into files."""
+    root = workspace(spark, "rides")
+    messages = tables.ride_messages_of(streamed_events(spark, sf_dir))
+    jobs.ride_job(messages, f"{root}/out", f"{root}/checkpoint", kind=RIDE_TYPE).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(*RIDE_COLUMNS)
 
 
 @query
@@ -315,6 +324,18 @@ def delivery_outcome(spark, sf_dir):
     return _outcomes(spark, sf_dir)
 
 
+@query
+def delivery_job(spark, sf_dir):
+    """Stream all records through packing and delivery; one outcome per record."""
+    root = workspace(spark, "delivery")
+    records = tables.log_records_of(streamed_events(spark, sf_dir))
+    jobs.delivery_job(
+        records, packing.invocation_of(F.col("offset"), PACK_SIZE), FlakyReceiver, root,
+        f"{root}/checkpoint", backoff=float,
+    ).awaitTermination()
+    return spark.read.parquet(f"{root}/outcomes").drop("batch", "line")
+
+
 @query
 def delivery_report(spark, sf_dir):
     return delivery.delivery_report(_outcomes(spark, sf_dir), BATCH)
@@ -366,7 +387,7 @@ def partitioned_counts(spark, sf_dir):
         F.col("ts").alias("event_time"), F.col("event_type").alias("ticker"), F.col("value").alias("price")
     ).withWatermark("event_time", streams.WATERMARK_DELAY)
     sinks.sink_ticks(
-        sinks.with_dt_hr(sinks.hot_ticks(stream)), f"{root}/out", f"{root}/checkpoint"
+        sinks.with_dt_hr(sinks.hot_ticks(stream)), f"{root}/out", f"{root}/checkpoint", every_s=None
     ).awaitTermination()
     return sinks.read_ticks(spark, f"{root}/out").groupBy(*sinks.TICK_PARTITIONS).agg(
         F.count("price").alias("records"), F.max("price").alias("highest")

@@ -13,8 +13,7 @@ DEFAULT_BATCH_RECORDS = 100
 BATCH_TIMEOUT_S = (1, 900)
 STEADY_RATE = 100
 
-# Shards of a stream and hours a record is kept.
-SHARD_COUNT = (1, 200)
+# Hours a record is kept.
 RETENTION_H = (24, 8760)
 
 WATERMARK_DELAY = "5 seconds"

@@ -12,7 +12,7 @@ from rivulet.operators import delivery as d
 
 # Least price that is kept, and the interval of exactly-once commits.
 HOT_PRICE = 50
-CHECKPOINT_INTERVAL = "1 minute"
+COMMIT_INTERVAL_S = 60
 
 TICK_PARTITIONS = ["ticker", "dt", "hr"]
 TIME_PARTITIONS = list(d.TIME_PREFIX)
@@ -33,7 +33,11 @@ def _trigger(seconds: int | None) -> dict:
 
 
 def sink_ticks(
-    ticks: DataFrame, path: str, checkpoint: str, every_s: int | None = None, writers: int | None = None
+    ticks: DataFrame,
+    path: str,
+    checkpoint: str,
+    every_s: int | None = COMMIT_INTERVAL_S,
+    writers: int | None = None,
 ) -> StreamingQuery:
     """JSON files by (ticker, dt, hr), each record exactly once through the sink's commit log.
 

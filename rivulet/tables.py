@@ -53,6 +53,10 @@ def tick_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ride_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ride_messages_of(events(spark, sf_dir))
+
+
+def ride_messages_of(rows: DataFrame) -> DataFrame:
     """Ride requests as JSON text under the older schema: the id still travels as ``trip_id``."""
     body = F.to_json(
         F.struct(
@@ -61,7 +65,7 @@ def ride_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("event_type").alias("unknown_field"),
         )
     )
-    return events(spark, sf_dir).select(
+    return rows.select(
         "event_id",
         F.col("event_type").alias("type"),
         F.when(is_corrupt(), F.lit("{bad")).otherwise(body).alias("value"),
@@ -69,10 +73,14 @@ def ride_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_records_of(events(spark, sf_dir))
+
+
+def log_records_of(rows: DataFrame) -> DataFrame:
     """Log records with base64 values. The unique ``event_id`` is the offset: ascending within a
     partition and, as in a compacted log, not dense."""
     body = F.when(is_corrupt(), F.lit("{bad")).otherwise(F.col("props"))
-    return events(spark, sf_dir).select(
+    return rows.select(
         F.lit(TOPIC).alias("topic"),
         (F.col("user_id") % BROKERS).cast("int").alias("partition"),
         F.col("event_id").alias("offset"),

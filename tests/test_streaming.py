@@ -36,7 +36,7 @@ def test_tick_sink_survives_restart_without_duplicates(spark, tmp_path, writers)
 
     def run():
         stream = sinks.with_dt_hr(sinks.hot_ticks(tick_files(spark, source)))
-        sinks.sink_ticks(stream, out, checkpoint, writers=writers).awaitTermination()
+        sinks.sink_ticks(stream, out, checkpoint, None, writers).awaitTermination()
         return sinks.read_ticks(spark, out)
 
     tick_rows(spark, 120).coalesce(1).write.mode("append").parquet(source)
@@ -56,7 +56,7 @@ def test_streamed_files_match_batch(spark, sf_dir):
         F.col("ts").alias("event_time"), F.col("event_type").alias("ticker"), F.col("value").alias("price")
     )
     day = sinks.with_dt_hr(sinks.hot_ticks(stream)).where(F.col("dt") == "2024-01-05")
-    sinks.sink_ticks(day, f"{root}/o", f"{root}/c").awaitTermination()
+    sinks.sink_ticks(day, f"{root}/o", f"{root}/c", None).awaitTermination()
     columns = ["ticker", "price", "dt", "hr"]
     written = sinks.read_ticks(spark, f"{root}/o").select(*columns).collect()
     assert sorted(written) == sorted(out.select(*columns).collect()) != []
