@@ -7,9 +7,12 @@ import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from rivulet.operators.packing import MAX_BYTES, MAX_RECORDS, by_invocation, number_batches, run_starts
+
 # Only this error is retried, at most three times, after 1 to 5 seconds.
 RETRYABLE = "ServiceUnavailableException"
 MAX_RETRIES = 3
@@ -40,24 +43,82 @@ def put_with_retry(
     client: PutClient,
     retries: int = MAX_RETRIES,
     backoff: Callable[[], float] = random_backoff,
-) -> list[tuple[int, str | None]]:
-    """Put one batch; ``(attempts, last error)`` per record, the error being null once delivered.
+) -> tuple[list[int], list[str | None]]:
+    """Put one batch; attempts and last error per record, the error being null once delivered.
 
     The client answers one error code (or None) per record. Only records that failed with the
     retryable error are sent again, and never an empty batch.
     """
-    outcome: list[tuple[int, str | None]] = [(0, None)] * len(lines)
-    pending = list(range(len(lines)))
-    for attempt in range(1, retries + 2):
-        if attempt > 1:
-            time.sleep(backoff())
-        errors = client([lines[i] for i in pending])
-        for i, error in zip(pending, errors, strict=True):
-            outcome[i] = (attempt, error)
-        pending = [i for i in pending if outcome[i][1] == RETRYABLE]
+    errors = list(client(lines))
+    if len(errors) != len(lines):
+        raise ValueError("the client must answer for every record")
+    attempts = [1] * len(lines)
+    pending = [i for i, error in enumerate(errors) if error == RETRYABLE]
+    for attempt in range(2, retries + 2):
         if not pending:
             break
-    return outcome
+        time.sleep(backoff())
+        for i, error in zip(pending, client([lines[i] for i in pending]), strict=True):
+            attempts[i], errors[i] = attempt, error
+        pending = [i for i in pending if errors[i] == RETRYABLE]
+    return attempts, errors
+
+
+def put_batches(
+    batches: Iterator[pa.RecordBatch],
+    client: PutClient,
+    batch: list[str],
+    keep: list[str],
+    line: str,
+    retries: int,
+    backoff: Callable[[], float],
+) -> Iterator[pa.RecordBatch]:
+    """Put every run of rows with the same ``batch`` columns; the last run may go on in the next
+    Arrow batch and is held back until it is whole."""
+    names = [*batch, *keep]
+
+    def put(rows: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        lines = rows.column(line).to_pylist()
+        attempts: list[int] = []
+        errors: list[str | None] = []
+        for low, high in zip(starts, [*starts[1:], len(lines)]):
+            tried, failed = put_with_retry(lines[low:high], client, retries, backoff)
+            attempts += tried
+            errors += failed
+        status = [LOST if error else DELIVERED for error in errors]
+        return pa.RecordBatch.from_arrays(
+            [
+                *[rows.column(name).combine_chunks() for name in names],
+                pa.array(attempts, pa.int32()),
+                pa.array(status, pa.string()),
+                pa.array(errors, pa.string()),
+            ],
+            names=[*names, "attempts", "status", "error"],
+        )
+
+    columns = list(dict.fromkeys([*names, line]))
+    held: pa.Table | None = None
+    for arrow in batches:
+        rows = pa.Table.from_batches([arrow]).select(columns)
+        if held is not None:
+            rows = pa.concat_tables([held, rows])
+        if not rows.num_rows:
+            continue
+        starts = np.flatnonzero(run_starts([rows.column(name).combine_chunks() for name in batch])).tolist()
+        held = rows.slice(starts[-1])
+        if len(starts) > 1:
+            yield put(rows.slice(0, starts[-1]), starts[:-1])
+    if held is not None:
+        yield put(held, [0])
+
+
+def _outcome_schema(fields: list[T.StructField]) -> T.StructType:
+    return T.StructType([
+        *fields,
+        T.StructField("attempts", T.IntegerType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("error", T.StringType()),
+    ])
 
 
 def deliver(
@@ -71,54 +132,41 @@ def deliver(
 ) -> DataFrame:
     """Put the batches of ``pack_batches`` and report ``attempts``, ``status`` and ``error`` per record.
 
-    Rows of a batch must follow one another within a task, as ``pack_batches`` leaves them. Each
-    task holds one batch at a time and uses one client. A retried task repeats its puts, so receivers
-    should treat ``keep`` (topic, partition, offset) as the idempotency key.
+    Rows of a batch must follow one another within a task, as ``pack_batches`` leaves them. Each task
+    uses one client. A retried task repeats its puts, so receivers should treat ``keep`` (topic,
+    partition, offset) as the idempotency key.
     """
-    fields = [packed.schema[name] for name in [*batch, *keep]]
-    schema = T.StructType([
-        *fields,
-        T.StructField("attempts", T.IntegerType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("error", T.StringType()),
-    ])
-    names = [field.name for field in fields]
+    schema = _outcome_schema([packed.schema[name] for name in [*batch, *keep]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return put_batches(batches, make_client(), batch, keep, line, retries, backoff)
+
+    return packed.select(*dict.fromkeys([*batch, *keep, line])).mapInArrow(run, schema)
 
-    def put(rows: pa.Table, client: PutClient) -> pa.RecordBatch:
-        outcome = put_with_retry(rows.column(line).to_pylist(), client, retries, backoff)
-        columns = [rows.column(name).combine_chunks() for name in names]
-        return pa.RecordBatch.from_arrays(
-            [
-                *columns,
-                pa.array([attempts for attempts, _ in outcome], pa.int32()),
-                pa.array([LOST if error else DELIVERED for _, error in outcome], pa.string()),
-                pa.array([error for _, error in outcome], pa.string()),
-            ],
-            names=schema.names,
-        )
+
+def pack_and_deliver(
+    df: DataFrame,
+    make_client: Callable[[], PutClient],
+    invocation: str,
+    order: list[str],
+    keep: list[str],
+    line: str = "line",
+    max_records: int = MAX_RECORDS,
+    max_bytes: int = MAX_BYTES,
+    retries: int = MAX_RETRIES,
+    backoff: Callable[[], float] = random_backoff,
+) -> DataFrame:
+    """``pack_batches`` and ``deliver`` in one pass, so that lines enter Python once."""
+    batch = [invocation, "batch_no"]
+    number = T.StructField("batch_no", T.LongType())
+    schema = _outcome_schema([df.schema[invocation], number, *[df.schema[name] for name in keep]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client = make_client()
-        open_rows: list[pa.RecordBatch] = []
-        open_key = None
-        for arrow in batches:
-            keys = list(zip(*[arrow.column(name).to_pylist() for name in batch]))
-            at = 0
-            while at < len(keys):
-                stop = at + 1
-                while stop < len(keys) and keys[stop] == keys[at]:
-                    stop += 1
-                if open_rows and keys[at] != open_key:
-                    yield put(pa.Table.from_batches(open_rows), client)
-                    open_rows = []
-                open_key = keys[at]
-                open_rows.append(arrow.slice(at, stop - at))
-                at = stop
-        if open_rows:
-            yield put(pa.Table.from_batches(open_rows), client)
-
-    needed = list(dict.fromkeys([*names, line]))
-    return packed.select(*needed).mapInArrow(run, schema)
+        numbered = number_batches(batches, invocation, max_records, max_bytes)
+        return put_batches(numbered, make_client(), batch, keep, line, retries, backoff)
+
+    needed = df.select(*dict.fromkeys([invocation, *order, *keep, line, "size"]))
+    return by_invocation(needed, invocation, order).mapInArrow(run, schema)
 
 
 def undelivered(outcomes: DataFrame) -> DataFrame:

@@ -44,14 +44,54 @@ def pack_by_count(
     return df.withColumn("batch_no", F.floor(position / max_records) + 1)
 
 
-def _first_of_runs(values: pa.Array, previous) -> np.ndarray:
-    """True where a value differs from the one before it."""
-    codes = values.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    changed = np.ones(len(codes), dtype=bool)
-    changed[1:] = codes[1:] != codes[:-1]
-    if len(codes):
-        changed[0] = values[0].as_py() != previous
-    return changed
+def run_starts(columns: list[pa.Array]) -> np.ndarray:
+    """True where any of the columns differs from the row before; always true for the first row."""
+    starts = np.zeros(len(columns[0]), dtype=bool)
+    starts[:1] = True
+    for column in columns:
+        codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        starts[1:] |= codes[1:] != codes[:-1]
+    return starts
+
+
+def number_batches(
+    batches: Iterator[pa.RecordBatch], invocation: str, max_records: int, max_bytes: int
+) -> Iterator[pa.RecordBatch]:
+    """Add ``batch_no`` to sorted Arrow batches; an invocation may go on in the next one."""
+    current, number, records, used = object(), 0, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(invocation)
+        begins = run_starts([keys])
+        begins[0] = keys[0].as_py() != current
+        total = np.concatenate([[0], np.cumsum(batch.column("size").to_numpy(zero_copy_only=False))])
+        numbers = np.empty(batch.num_rows, dtype=np.int64)
+        edges = np.unique(np.concatenate([[0], np.flatnonzero(begins), [batch.num_rows]]))
+        for low, high in zip(edges[:-1], edges[1:]):
+            if begins[low]:
+                number, records, used = 1, 0, 0
+            at = low
+            while at < high:
+                room = int(np.searchsorted(total, total[at] + max_bytes - used, side="right")) - 1
+                stop = min(high, at + max_records - records, room)
+                if stop == at and not records:
+                    raise ValueError("a record exceeds max_bytes: apply split_oversize first")
+                numbers[at:stop] = number
+                if stop < high:
+                    number, records, used = number + 1, 0, 0
+                else:
+                    records, used = records + int(stop - at), used + int(total[stop] - total[at])
+                at = stop
+        current = keys[-1].as_py()
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(numbers)], names=[*batch.schema.names, "batch_no"]
+        )
+
+
+def by_invocation(df: DataFrame, invocation: str, order: list[str]) -> DataFrame:
+    """Invocations spread over the tasks, each in order and in one piece."""
+    return df.repartition(invocation).sortWithinPartitions(invocation, *order)
 
 
 def pack_batches(
@@ -63,44 +103,14 @@ def pack_batches(
 ) -> DataFrame:
     """Greedy packing in order: a batch closes when one more record would exceed either limit.
 
-    Rows need ``size``, none above ``max_bytes`` (see ``split_oversize``). Invocations spread over the
-    tasks; a task streams through its sorted rows and remembers only the open batch, so memory does
-    not depend on the size of an invocation. The output keeps that order, which ``deliver`` relies on.
+    Rows need ``size``, none above ``max_bytes`` (see ``split_oversize``). A task streams through its
+    sorted rows and remembers only the open batch, so memory does not depend on the size of an
+    invocation. The output keeps that order, which ``deliver`` relies on.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("batch_no", T.LongType())])
-    arranged = df.repartition(invocation).sortWithinPartitions(invocation, *order)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, number, records, used = object(), 0, 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(invocation)
-            begins = _first_of_runs(keys, current)
-            total = np.concatenate([[0], np.cumsum(batch.column("size").to_numpy(zero_copy_only=False))])
-            numbers = np.empty(batch.num_rows, dtype=np.int64)
-            edges = np.unique(np.concatenate([[0], np.flatnonzero(begins), [batch.num_rows]]))
-            for low, high in zip(edges[:-1], edges[1:]):
-                if begins[low]:
-                    number, records, used = 1, 0, 0
-                at = low
-                while at < high:
-                    room = int(np.searchsorted(total, total[at] + max_bytes - used, side="right")) - 1
-                    stop = min(high, at + max_records - records, room)
-                    if stop == at and not records:
-                        raise ValueError("a record exceeds max_bytes: apply split_oversize first")
-                    numbers[at:stop] = number
-                    if stop < high:
-                        number, records, used = number + 1, 0, 0
-                    else:
-                        records, used = records + int(stop - at), used + int(total[stop] - total[at])
-                    at = stop
-            current = keys[-1].as_py()
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(numbers)], names=[*batch.schema.names, "batch_no"]
-            )
-
-    return arranged.mapInArrow(run, schema)
+    return by_invocation(df, invocation, order).mapInArrow(
+        lambda batches: number_batches(batches, invocation, max_records, max_bytes), schema
+    )
 
 
 def batch_sizes(packed: DataFrame, invocation: str = "invocation") -> DataFrame:

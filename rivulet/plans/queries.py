@@ -315,8 +315,9 @@ BATCH = ["invocation", "batch_no"]
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     fits, _ = packing.split_oversize(_invocations(spark, sf_dir))
-    packed = packing.pack_batches(fits, "invocation", archive.LOG_ORDER)
-    return delivery.deliver(packed, FlakyReceiver, BATCH, archive.LOG_ORDER, backoff=float)
+    return delivery.pack_and_deliver(
+        fits, FlakyReceiver, "invocation", archive.LOG_ORDER, archive.LOG_ORDER, backoff=float
+    )
 
 
 @query

@@ -11,7 +11,6 @@ from rivulet.operators import decode, delivery, enrich, packing
 from rivulet.streaming.sinks import _each_batch
 
 LOG_KEY = ["topic", "partition", "offset"]
-BATCH_KEY = ["invocation", "batch_no"]
 
 
 def priced_rides(
@@ -68,8 +67,9 @@ def delivery_job(
     def write(batch: DataFrame, epoch: int) -> None:
         lines = packing.to_lines(batch, columns, LOG_KEY).withColumn("invocation", invocation)
         fits, oversize = packing.split_oversize(lines)
-        packed = packing.pack_batches(fits, "invocation", LOG_KEY)
-        sent = delivery.deliver(packed, make_client, BATCH_KEY, [*LOG_KEY, "line"], backoff=backoff)
+        sent = delivery.pack_and_deliver(
+            fits, make_client, "invocation", LOG_KEY, [*LOG_KEY, "line"], backoff=backoff
+        )
         outcomes = sent.withColumn("line", F.when(F.col("status") == delivery.LOST, F.col("line")))
         refused = oversize.select(
             "invocation",

@@ -88,25 +88,25 @@ def failing(first_failures, code=delivery.RETRYABLE):
 
 def test_one_call_when_all_is_delivered():
     client, calls = failing(0)
-    assert delivery.put_with_retry(["a", "b"], client) == [(1, None), (1, None)]
+    assert delivery.put_with_retry(["a", "b"], client) == ([1, 1], [None, None])
     assert len(calls) == 1
 
 
 def test_retry_sends_only_what_failed():
     client, calls = failing(1)
-    assert delivery.put_with_retry(["a", "b"], client, backoff=float) == [(2, None), (1, None)]
+    assert delivery.put_with_retry(["a", "b"], client, backoff=float) == ([2, 1], [None, None])
     assert calls == [["a", "b"], ["a"]]
 
 
 def test_gives_up_after_four_calls():
     client, calls = failing(99)
-    assert delivery.put_with_retry(["a", "b"], client, backoff=float)[0] == (4, delivery.RETRYABLE)
+    assert delivery.put_with_retry(["a", "b"], client, backoff=float) == ([4, 1], [delivery.RETRYABLE, None])
     assert len(calls) == 4
 
 
 def test_other_errors_are_not_retried():
     client, calls = failing(1, "InternalFailure")
-    assert delivery.put_with_retry(["a", "b"], client, backoff=float) == [(1, "InternalFailure"), (1, None)]
+    assert delivery.put_with_retry(["a", "b"], client, backoff=float) == ([1, 1], ["InternalFailure", None])
     assert len(calls) == 1
 
 
@@ -114,7 +114,8 @@ def test_backoff_range():
     assert {delivery.random_backoff() for _ in range(300)} == {1, 2, 3, 4, 5}
 
 
-def test_deliver_reports_every_record_once(spark):
+@pytest.mark.parametrize("fused", [False, True])
+def test_deliver_reports_every_record_once(spark, fused):
     lines = spark.range(1300).select(
         (F.col("id") / 600).cast("bigint").alias("invocation"), F.col("id").alias("offset"),
         F.col("id").cast("string").alias("line"), F.lit(10).cast("bigint").alias("size"),
@@ -133,7 +134,9 @@ def test_deliver_reports_every_record_once(spark):
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     try:
-        delivered = delivery.deliver(
+        delivered = delivery.pack_and_deliver(
+            lines, make_client, "invocation", ["offset"], ["offset"], backoff=float
+        ) if fused else delivery.deliver(
             packing.pack_batches(lines, "invocation", ["offset"]), make_client, ["invocation", "batch_no"],
             ["offset"], backoff=float,
         )
