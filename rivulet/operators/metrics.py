@@ -67,16 +67,20 @@ def exact_percentile(
     )
     ranked = running_sum(sized.where(F.col("__n") > largest), keys, [value], "__rows", "__upto")
     rank = F.lit(q) * (F.col("__n") - 1)
-    at_floor = (F.col("__upto") > F.floor(rank)) & (F.col("__upto") - F.col("__rows") <= F.floor(rank))
-    at_ceil = (F.col("__upto") > F.ceil(rank)) & (F.col("__upto") - F.col("__rows") <= F.ceil(rank))
-    low, high = F.max(F.when(at_floor, F.col(value))), F.max(F.when(at_ceil, F.col(value)))
-    part = F.max(rank - F.floor(rank))
-    big = (
-        ranked.where(at_floor | at_ceil)
-        .groupBy(*keys)
-        .agg((low + (high - low) * part).alias(out))
+
+    def holds(position: Column) -> Column:
+        return (F.col("__upto") > position) & (F.col("__upto") - F.col("__rows") <= position)
+
+    at_low, at_high = holds(F.floor(rank)), holds(F.ceil(rank))
+    big = ranked.where(at_low | at_high).groupBy(*keys).agg(
+        F.max(F.when(at_low, F.col(value))).alias("__low"),
+        F.max(F.when(at_high, F.col(value))).alias("__high"),
+        F.max(rank).alias("__rank"),
     )
-    return small.unionByName(big)
+    below, above = F.col("__rank") - F.floor("__rank"), F.ceil("__rank") - F.col("__rank")
+    between = above * F.col("__low") + below * F.col("__high")
+    exact = F.when(F.col("__low") == F.col("__high"), F.col("__low")).otherwise(between)
+    return small.unionByName(big.select(*keys, exact.alias(out)))
 
 
 def metric_rollup(df: DataFrame, levels: list[str], period_s: int) -> DataFrame:

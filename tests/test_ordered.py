@@ -71,6 +71,7 @@ def test_percentile_is_the_same_by_either_way(spark, largest, q):
     rows, df = skewed(spark)
     out = metrics.exact_percentile(df, ["k"], "value", q, "p", largest)
     found = {r.k: r.p for r in out.collect()}
+    assert found == {r.k: r.p for r in df.groupBy("k").agg(F.percentile("value", q).alias("p")).collect()}
     for key, values in by_key(rows).items():
         assert found[key] == pytest.approx(np.percentile([v for _, v in values], q * 100), abs=1e-9)
 
