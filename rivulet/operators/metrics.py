@@ -20,6 +20,8 @@ STATS: dict[str, Callable[[Column], Column]] = {
 
 # Groups above this many values get their percentile from a distributed scan.
 LARGEST_IN_MEMORY = 1_000_000
+# A list of groups up to this length may be sent to every task.
+FEW_GROUPS = 10_000
 
 
 def by_dims(df: DataFrame, dims: list[str], source: str = "dims") -> DataFrame:
@@ -52,20 +54,19 @@ def exact_percentile(
     around the wanted rank are picked out.
     """
     data = df.select(*keys, value).where(F.col(value).isNotNull())
-    # Counted per group first, with map-side combining; only one number reaches the driver.
+    # Counted with map-side combining; only the number of large groups reaches the driver.
     sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    if (sizes.agg(F.max("__n")).first()[0] or 0) <= largest:
+    large = sizes.where(F.col("__n") > largest)
+    large_groups = large.count()
+    if not large_groups:
         return data.groupBy(*keys).agg(F.percentile(value, q).alias(out))
 
-    counts = data.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__rows"))
-    totals = counts.groupBy(*keys).agg(F.sum("__rows").alias("__n"))
-    sized = same_keys(counts, totals, keys)
-    small = (
-        sized.where(F.col("__n") <= largest)
-        .groupBy(*keys)
-        .agg(F.percentile(value, q, F.col("__rows")).alias(out))
-    )
-    ranked = running_sum(sized.where(F.col("__n") > largest), keys, [value], "__rows", "__upto")
+    # Telling the groups apart by a broadcast keeps a large group from being shuffled by its key.
+    if large_groups <= FEW_GROUPS:
+        large = F.broadcast(large)
+    small = same_keys(data, large, keys, "left_anti").groupBy(*keys).agg(F.percentile(value, q).alias(out))
+    counts = same_keys(data, large, keys).groupBy(*keys, "__n", value).agg(F.count(F.lit(1)).alias("__rows"))
+    ranked = running_sum(counts, keys, [value], "__rows", "__upto")
     rank = F.lit(q) * (F.col("__n") - 1)
 
     def holds(position: Column) -> Column:

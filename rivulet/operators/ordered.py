@@ -18,8 +18,8 @@ from rivulet.session import durable
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches null keys and keeps one copy of them."""
-    renamed = right.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in right.columns])
-    matches = reduce(Column.__and__, [left[k].eqNullSafe(renamed[f"__{k}"]) for k in keys])
+    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    matches = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     return left.join(renamed, matches, how).drop(*[f"__{k}" for k in keys])
 
 
