@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from rivulet.plans.oracles import ORACLES
+from rivulet.plans.queries import REGISTRY
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -29,18 +31,20 @@ def normal(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(REGISTRY) == set(ORACLES)
+    assert set(REGISTRY) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):
     assert contract.entry(spark).columns == ["event_time", "ticker", "price", "dt", "hr"]
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - SLOW))
 def test_query(spark, sf_dir, db, name):
-    df = contract.queries()[name](spark, sf_dir)
+    df = REGISTRY[name](spark, sf_dir)
     ours = normal(df.columns, [tuple(r) for r in df.collect()])
-    cursor = db.execute(contract.oracle_sql()[name])
+    cursor = db.execute(ORACLES[name])
     theirs = normal([c[0] for c in cursor.description], cursor.fetchall())
     assert ours[0] == theirs[0]
     assert len(ours[1]) == len(theirs[1]) > 0
