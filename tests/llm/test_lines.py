@@ -1,0 +1,77 @@
+import hashlib
+
+import duckdb
+
+from rivulet.llm import lines, oracles
+from rivulet.llm.queries import QUERIES
+from tests.llm.helpers import documents, odd_texts, prose
+
+
+def key(line):
+    bare = line.strip(" \t\n\x0b\f\r")
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in bare)
+
+
+def brute(rows, least=10):
+    first = {}
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            if i is not None and len(key(line)) >= least:
+                first[key(line)] = min(first.get(key(line), i), i)
+    out = []
+    for i, text in rows:
+        own = (text or "").split("\n")
+        kept = [x for x in own if i is None or first.get(key(x), i) == i]
+        out.append((-1 if i is None else i, len(own), len(own) - len(kept), "\n".join(kept)))
+    return sorted(out)
+
+
+def found(docs, **options):
+    rows = lines.deduplicated(docs, **options).collect()
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.text) for r in rows)
+
+
+def corpus():
+    stock = ["The same line everywhere.", "  tHE SAME line everywhere. \r", "Ärger über ÄRGER und mehr", "ärger über ärger und mehr"]
+    rows = [(k, f"{prose(k % 17, 60)}\n{stock[k % 4]}\n{stock[0]}\nshort\nshort") for k in range(60)]
+    return rows + [(100 + k, t) for k, t in enumerate(odd_texts())] + [(None, stock[0]), (None, None)]
+
+
+def test_matches_plain_python(spark):
+    rows = corpus()
+    assert found(documents(spark, rows).repartition(5)) == brute(rows)
+
+
+def test_any_number_of_batches_and_levels(spark):
+    rows = [(k, f"line number {k % 7} is here\nline number {k % 5} is there\nown {k} and nothing else") for k in range(40)]
+    docs = documents(spark, rows)
+    for batches in (1, 2, 7):
+        assert found(docs, batches=batches) == brute(rows)
+
+
+def test_runs_stay_few(spark):
+    runs = lines.LineRuns(spark)
+    docs = documents(spark, [(k, f"a line of document {k}\na line of all") for k in range(8)])
+    keyed = lines.key_rows(docs)
+    dropped = [runs.add(keyed.where(f"doc_id = {k}")).count() for k in range(8)]
+    assert dropped == [0] + [1] * 7
+    assert [len(level) for level in runs.levels] == [0, 0, 0, 1]
+    assert runs.levels[3][0].count() == 9
+
+
+def test_all_lines_gone_repeats_and_no_rows(spark):
+    rows = [(1, "one long enough line"), (2, "one long enough line"), (1, "one long enough line"), (2, "one long enough line")]
+    docs = documents(spark, rows).selectExpr("*", "1 AS a", "2 AS b", "3 AS pos", "4 AS holder", "5 AS gone")
+    assert found(docs) == [(1, 1, 0, rows[0][1])] * 2 + [(2, 1, 1, "")] * 2
+    assert found(docs.where("false")) == []
+
+
+def test_query_gives_digests_of_the_sql(spark, sf_dir):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    want = sorted(db.execute(oracles.ORACLES["op5_line_dedup"]).fetchall())
+    got = QUERIES["op5_line_dedup"](spark, sf_dir).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == want
+    assert hashlib.sha256(b"").hexdigest() == lines.deduplicated(documents(spark, [(1, None)])).selectExpr(
+        "sha2(text, 256) AS s"
+    ).first().s
