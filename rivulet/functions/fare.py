@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, functions as F
@@ -32,12 +31,3 @@ def fare(ride_id: Column) -> Column:
     base = F.floor(part * FARE_STEPS + LOWEST_FARE).cast("double")
     return F.when(usable_id(ride_id), base * (1 + part * NOISE_SPREAD - NOISE_SHIFT))
 
-
-def fare_response(ride_id: str | None) -> tuple[int, str]:
-    """The same model as a call that answers ``(status, body)``, for the external-client path."""
-    number = float(ride_id or 0)
-    if not number or math.isnan(number):
-        return BAD_REQUEST, "Missing ride_request_id"
-    part = math.fmod(math.e * number, 1.0)
-    amount = math.floor(part * FARE_STEPS + LOWEST_FARE) * (1 + part * NOISE_SPREAD - NOISE_SHIFT)
-    return OK_STATUS, json.dumps({"ride_request_id": number, "expected_fare": amount})

@@ -60,11 +60,30 @@ def fill_periods(stats: DataFrame, keys: list[str], period_s: Column | int, valu
             F.sequence(F.col("period"), following - gap, gap)
         ),
     )
-    return stretched.select(*others, value, F.posexplode("__periods").alias("__i", "period")).select(
+    return stretched.select(*others, value, F.posexplode_outer("__periods").alias("__i", "period")).select(
         *others, "period", F.when(F.col("__i") == 0, F.col(value)).alias(value)
     )
 
 
+def over_range(
+    stats: DataFrame, keys: list[str], period_s: Column | int, start: Column, end: Column, value: str = "stat",
+    silent: DataFrame | None = None,
+) -> DataFrame:
+    """Give every series a row for the first and the last period of the evaluation range.
+
+    Rows that are added have a null ``value``; with ``fill_periods`` behind it, a series that starts
+    late, ends early or, as a row of ``silent``, never came is evaluated over the whole range. The
+    columns of ``silent`` are those of ``stats`` but the period and the value.
+    """
+    others = [c for c in stats.columns if c not in ("period", value)]
+    series = stats.select(*others) if silent is None else stats.select(*others).unionByName(silent.select(*others))
+    ends = F.array(period_start(start, period_s), period_start(end, period_s))
+    added = series.distinct().withColumn("period", F.explode(ends)).where("period IS NOT NULL").withColumn(
+        value, F.lit(None).cast(stats.schema[value].dataType)
+    )
+    return stats.unionByName(added).groupBy(*others, "period").agg(F.max(value).alias(value))
+
+
 def with_missing(breached: Column, treat_missing: Column | str) -> Column:
     """A period without data breaches, or not, by policy."""
     policy = F.lit(treat_missing) if isinstance(treat_missing, str) else treat_missing
@@ -105,6 +124,8 @@ def consecutive_state(
 def evaluate_alarms(metrics: DataFrame, specs: list[NamedTuple], dims: list[str]) -> DataFrame:
     """A whole alarm catalogue over a metric table: states per (alarm, dims, period).
 
+    All alarms are evaluated from the first to the last timestamp of the table, whenever their own
+    datapoints came; an alarm without any is one series with null dims, judged by its policy.
     The catalogue is written by hand, so its rows are sent to every task. A datapoint meets each
     alarm it feeds as numerator or denominator, and one grouping yields both sides of every ratio.
     """
@@ -124,12 +145,12 @@ def evaluate_alarms(metrics: DataFrame, specs: list[NamedTuple], dims: list[str]
         [
             (
                 s.alarm, s.stat, s.over_stat, s.scale, s.per, s.comparison, s.threshold,
-                s.treat_missing, s.evaluation_periods,
+                s.treat_missing, s.evaluation_periods, s.period_s,
             )
             for s in specs
         ],
         "alarm string, stat string, over_stat string, scale double, per double, comparison string, "
-        "threshold double, treat_missing string, evaluation_periods int",
+        "threshold double, treat_missing string, evaluation_periods int, period_s bigint",
     )
 
     points = by_dims(metrics, dims).join(F.broadcast(leg_table), ["namespace", "metric_name"])
@@ -149,10 +170,15 @@ def evaluate_alarms(metrics: DataFrame, specs: list[NamedTuple], dims: list[str]
         F.col("scale") * F.try_divide(m1, m2)
     )
     rule = ["comparison", "threshold", "treat_missing", "evaluation_periods"]
-    ruled = sides.join(F.broadcast(rule_table), "alarm").select(
+    ruled = sides.join(F.broadcast(rule_table.drop("period_s")), "alarm").select(
         *keys, "period_s", "period", *rule, value.alias("stat")
     )
-    filled = fill_periods(ruled, keys, F.col("period_s"))
+    silent = rule_table.join(ruled.select("alarm").distinct(), "alarm", "left_anti").withColumns(
+        {dim: F.lit(None).cast("string") for dim in dims}
+    )
+    start, end = (metrics.agg(edge("ts")).scalar() for edge in (F.min, F.max))
+    ranged = over_range(ruled, keys, F.col("period_s"), start, end, silent=silent)
+    filled = fill_periods(ranged, keys, F.col("period_s"))
     breached = with_missing(
         breach_by_spec(F.col("stat"), F.col("comparison"), F.col("threshold")), F.col("treat_missing")
     )

@@ -50,6 +50,7 @@ TICK = T.StructType([
 
 BAD_JSON = "json"
 BAD_BASE64 = "base64"
+BAD_ENVELOPE = "envelope"
 
 
 def parse_envelope(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
@@ -61,10 +62,11 @@ def parse_envelope(df: DataFrame, column: str, schema: T.StructType) -> DataFram
 def explode_stream_envelope(df: DataFrame, records: str = "Records") -> DataFrame:
     """One row per record of ``Records``, in envelope order, with its payload decoded.
 
-    A record without data, or whose data is not base64, stays as a row with ``error_type`` set.
+    A record without data, or whose data is not base64, stays as a row with ``error_type`` set, and so
+    does an envelope that cannot be read or holds no records (without a position).
     """
     others = [c for c in df.columns if c != records]
-    rows = df.select(*others, F.posexplode(records).alias("position", "__rec"))
+    rows = df.select(*others, F.posexplode_outer(records).alias("position", "__rec"))
     data = F.col("__rec.kinesis.data")
     payload = decode_payload(data)
     return rows.select(
@@ -73,15 +75,19 @@ def explode_stream_envelope(df: DataFrame, records: str = "Records") -> DataFram
         F.col("__rec.kinesis.partitionKey").alias("partition_key"),
         F.col("__rec.kinesis.sequenceNumber").alias("sequence_number"),
         payload.alias("payload"),
-        F.when(payload.isNull(), BAD_BASE64).alias("error_type"),
+        F.when(F.col("position").isNull(), BAD_ENVELOPE).when(payload.isNull(), BAD_BASE64).alias("error_type"),
     )
 
 
 def explode_log_envelope(df: DataFrame, records: str = "records") -> DataFrame:
-    """One row per record of the ``topic-partition -> [record]`` map, with its payload decoded."""
+    """One row per record of the ``topic-partition -> [record]`` map, with its payload decoded.
+
+    An envelope that cannot be read or holds no records, and an empty list, stay as rows with
+    ``error_type`` set and without a position.
+    """
     others = [c for c in df.columns if c != records]
-    lists = df.select(*others, F.explode(records).alias("topic_partition", "__list"))
-    rows = lists.select(*others, "topic_partition", F.posexplode("__list").alias("position", "__rec"))
+    lists = df.select(*others, F.explode_outer(records).alias("topic_partition", "__list"))
+    rows = lists.select(*others, "topic_partition", F.posexplode_outer("__list").alias("position", "__rec"))
     payload = decode_payload(F.col("__rec.value"))
     return rows.select(
         *others,
@@ -89,7 +95,7 @@ def explode_log_envelope(df: DataFrame, records: str = "records") -> DataFrame:
         "position",
         *[F.col(f"__rec.{name}").alias(name) for name in ("topic", "partition", "offset", "timestamp")],
         payload.alias("payload"),
-        F.when(payload.isNull(), BAD_BASE64).alias("error_type"),
+        F.when(F.col("position").isNull(), BAD_ENVELOPE).when(payload.isNull(), BAD_BASE64).alias("error_type"),
     )
 
 

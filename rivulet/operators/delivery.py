@@ -23,8 +23,6 @@ INTERVAL_S = (60, 900)
 BUFFER_MB = (1, 128)
 DEFAULT_INTERVAL_S = 300
 DEFAULT_BUFFER_MB = 5
-RETRY_DURATION_S = (0, 7200)
-DEFAULT_RETRY_DURATION_S = 300
 CODECS = {"GZIP": "gzip", "HADOOP_SNAPPY": "snappy", "Snappy": "snappy", "UNCOMPRESSED": "none"}
 
 TIME_PREFIX = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH"}
@@ -222,6 +220,33 @@ def within(value: float, bounds: tuple[float, float], what: str) -> float:
     return value
 
 
+def _objects(batches: Iterator[pa.RecordBatch], prefix: list[str], line: str, limit: int, between: bytes) -> Iterator[pa.RecordBatch]:
+    """Join the lines of rows sorted by prefix to whole objects of at most ``limit`` bytes; a longer
+    line is an object by itself."""
+    names = [*prefix, "value"]
+    schema = None
+    key, held, size = None, [], 0
+
+    def flush() -> pa.RecordBatch:
+        text = between.join(held).decode()
+        return pa.RecordBatch.from_pylist([dict(zip(names, [*key, text]))], schema=schema)
+
+    for batch in batches:
+        schema = schema or pa.schema([*[batch.schema.field(p) for p in prefix], pa.field("value", pa.string())])
+        keys = list(zip(*[batch.column(p).to_pylist() for p in prefix])) or [()] * batch.num_rows
+        for own, text in zip(keys, batch.column(line).to_pylist()):
+            # One newline ends a record, whether the line brings it or not; a null line is an empty record.
+            data = (text or "").encode().removesuffix(b"\n")
+            if held and (own != key or size + len(between) + len(data) + 1 > limit):
+                yield flush()
+                held, size = [], 0
+            size += len(data) + (len(between) if held else 0)
+            key = own
+            held.append(data)
+    if held:
+        yield flush()
+
+
 def write_objects(
     df: DataFrame,
     path: str,
@@ -231,29 +256,26 @@ def write_objects(
     compression: str = "GZIP",
     delimiter: bool = True,
     mode: str = "append",
-    largest: int | None = None,
 ) -> None:
     """Write JSON objects, one per line, below ``path`` in files of at most ``buffer_mb`` (before
-    compression). With ``delimiter=False`` the objects simply follow one another.
+    compression). With ``delimiter=False`` the objects of a file simply follow one another, and a
+    newline ends the file.
 
     Rows are brought together by prefix, and adaptive execution cuts a hot prefix into several tasks
-    and joins small ones, so the number of files follows the volume. The bound on a file comes from
-    the longest line, found in a pass of its own unless the caller knows it (``largest``, in bytes).
+    and joins small ones. A task adds up the bytes of its lines and closes a file before the one that
+    would exceed the buffer, so the number of files follows the volume; a line longer than the buffer
+    has a file for itself. A task holds one file's text at a time.
     """
     limit = int(within(buffer_mb, BUFFER_MB, "buffer size") * 1024 * 1024)
-    if largest is None:
-        largest = df.agg(F.max(F.octet_length(line))).first()[0]
-        if largest is None:
-            return
-    # Without a delimiter the closing brace of each object takes the place of the line separator.
-    text = F.col(line) if delimiter else F.expr(f"substring({line}, 1, length({line}) - 1)").alias(line)
+    between = b"\n" if delimiter else b""
+    schema = T.StructType([*[df.schema[p] for p in prefix], T.StructField("value", T.StringType())])
+    whole = df.select(*prefix, line).hint("rebalance", *prefix).sortWithinPartitions(*prefix).mapInArrow(
+        lambda batches: _objects(batches, prefix, line, limit, between), schema
+    )
     (
-        df.hint("rebalance", *prefix)
-        .select(*prefix, text)
-        .write.mode(mode)
+        whole.write.mode(mode)
         .option("compression", codec(compression))
-        .option("maxRecordsPerFile", max(1, limit // (largest + 1)))
-        .option("lineSep", "\n" if delimiter else "}")
+        .option("maxRecordsPerFile", 1)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*prefix)
         .text(path)

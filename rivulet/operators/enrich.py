@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from concurrent.futures import FIRST_COMPLETED, Future, wait
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -16,8 +17,6 @@ SAMPLE_EVERY = 20
 IN_FLIGHT = 20
 CALL_TIMEOUT_S = 30
 
-# Threads start only when all others are busy, so beyond IN_FLIGHT there is one per abandoned call.
-MAX_THREADS = 1000
 SERVER_ERROR = 500
 
 Client = Callable[[str | None], tuple[int, str]]
@@ -42,15 +41,19 @@ def with_request_id(df: DataFrame) -> DataFrame:
 
 
 def sample_mod(df: DataFrame, column: str, n: int = SAMPLE_EVERY) -> DataFrame:
-    """Keep the rows whose id is a multiple of ``n``: the same rows on every run."""
-    return df.where(F.col(column) % n == 0)
+    """Keep the rows whose id is a multiple of ``n``: the same rows on every run. Rows marked as errors
+    are no requests to sample from; they all stay."""
+    wanted = F.col(column) % n == 0
+    return df.where(wanted | F.col("error_type").isNotNull() if "error_type" in df.columns else wanted)
 
 
 def price_natively(df: DataFrame, ride_id: str = "ride_request_id") -> DataFrame:
     """What ``enrich`` and ``apply_response`` give for the fare model, inside the plan: no Python
     process, no call, no text to build and parse."""
-    priced = df.where(fare_status(F.col(ride_id)) == OK_STATUS)
-    return priced.withColumn("expected_fare", fare(F.col(ride_id)))
+    answered = fare_status(F.col(ride_id)) == OK_STATUS
+    if "error_type" in df.columns:
+        answered = answered | F.col("error_type").isNotNull()
+    return df.where(answered).withColumn("expected_fare", fare(F.col(ride_id)))
 
 
 def _answer(future: Future) -> tuple[int, str | None]:
@@ -60,8 +63,22 @@ def _answer(future: Future) -> tuple[int, str | None]:
         return SERVER_ERROR, str(problem)
 
 
+def _started(client: Client, request) -> Future:
+    """The call in a thread of its own, so that calls that never end hold nothing up."""
+    future: Future = Future()
+
+    def run() -> None:
+        try:
+            future.set_result(client(request))
+        except BaseException as problem:
+            future.set_exception(problem)
+
+    threading.Thread(target=run, daemon=True).start()
+    return future
+
+
 def call_all(
-    requests: list, client: Client, pool: ThreadPoolExecutor, capacity: int, timeout: float
+    requests: list, client: Client, capacity: int, timeout: float
 ) -> list[tuple[int, str | None]]:
     """Answers in request order, from calls that complete in any order.
 
@@ -72,7 +89,7 @@ def call_all(
     sent = 0
     while sent < len(requests) or in_flight:
         while sent < len(requests) and len(in_flight) < capacity:
-            in_flight[pool.submit(client, requests[sent])] = (sent, time.monotonic() + timeout)
+            in_flight[_started(client, requests[sent])] = (sent, time.monotonic() + timeout)
             sent += 1
         next_due = min(due for _, due in in_flight.values())
         done, _ = wait(in_flight, max(next_due - time.monotonic(), 0), FIRST_COMPLETED)
@@ -93,7 +110,7 @@ def enrich(
 ) -> DataFrame:
     """Add ``status`` and ``body`` by calling an external service, ``capacity`` calls at a time.
 
-    The client and the pool are made once per task; the client gets the request id as text. Calls may
+    The client is made once per task; the client gets the request id as text. Calls may
     be repeated when a task is retried. Filter and sample before this step: predicates do not move
     across it.
     """
@@ -103,22 +120,17 @@ def enrich(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make_client()
-        pool = ThreadPoolExecutor(MAX_THREADS)
-        try:
-            for batch in batches:
-                ids = batch.column(request).cast(pa.string()).to_pylist()
-                answers = call_all(ids, client, pool, capacity, timeout)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *batch.columns,
-                        pa.array([status for status, _ in answers], pa.int32()),
-                        pa.array([body for _, body in answers], pa.string()),
-                    ],
-                    names=[*batch.schema.names, "status", "body"],
-                )
-        finally:
-            # Overdue calls must not hold the task back.
-            pool.shutdown(wait=False, cancel_futures=True)
+        for batch in batches:
+            ids = batch.column(request).cast(pa.string()).to_pylist()
+            answers = call_all(ids, client, capacity, timeout)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns,
+                    pa.array([status for status, _ in answers], pa.int32()),
+                    pa.array([body for _, body in answers], pa.string()),
+                ],
+                names=[*batch.schema.names, "status", "body"],
+            )
 
     return df.mapInArrow(run, schema)
 

@@ -14,7 +14,7 @@ def late_flags(
     arrivals: DataFrame, partition: str, arrival: str, ts: str, unique: str, delay_s: int = WATERMARK_DELAY_S
 ) -> DataFrame:
     """Mark the records behind their source partition's high-water mark by more than the delay."""
-    marked = running_max_before(arrivals, [partition], [arrival, unique], ts, "high_water")
+    marked = running_max_before(arrivals, [partition], arrival, unique, ts, "high_water")
     behind = F.col(ts) < F.col("high_water") - F.make_dt_interval(secs=F.lit(delay_s))
     return marked.withColumn("late", F.coalesce(behind, F.lit(False)))
 
@@ -41,12 +41,22 @@ def watermark_latency(output: Column, source: Column) -> Column:
 
 
 def lag_stats(
-    df: DataFrame, keys: list[str], arrival: Column, event_time: Column, latest: Column, committed: Column
+    df: DataFrame, keys: list[str], offset: str, event_time: str, consumed: Column
 ) -> DataFrame:
-    """How far a consumer is behind, in time and in offsets."""
-    behind = epoch_millis(arrival) - epoch_millis(event_time)
-    return df.groupBy(*keys).agg(
-        F.max(behind).alias("max_millis_behind"),
-        F.max(latest - committed).alias("max_offset_lag"),
-        F.sum(latest - committed).alias("sum_offset_lag"),
+    """How far a consumer is behind per partition: latest and committed offset, their difference, and
+    the event time between the latest record and the latest consumed one.
+
+    A partition of which nothing is consumed has no committed offset; its lag counts from its first.
+    """
+    done = F.coalesce(consumed, F.lit(False))
+    ends = df.groupBy(*keys).agg(
+        F.max(offset).alias("latest_offset"), F.max(F.when(done, F.col(offset))).alias("committed_offset"),
+        F.min(offset).alias("__first"), F.max(event_time).alias("__newest"), F.min(event_time).alias("__oldest"),
+        F.max(F.when(done, F.col(event_time))).alias("__reached"),
+    )
+    reached = F.coalesce("__reached", "__oldest")
+    return ends.select(
+        *keys, "latest_offset", "committed_offset",
+        (F.col("latest_offset") - F.coalesce(F.col("committed_offset"), F.col("__first") - 1)).alias("offset_lag"),
+        (epoch_millis(F.col("__newest")) - epoch_millis(reached)).alias("millis_behind"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rivulet.functions.times import period_start
-from rivulet.operators.ordered import running_sum, same_keys
+from rivulet.operators.ordered import same_keys
 
 MINUTE, FIVE_MINUTES = 60, 300
 
@@ -18,10 +18,8 @@ STATS: dict[str, Callable[[Column], Column]] = {
     "Maximum": F.max,
 }
 
-# Groups above this many values get their percentile from a distributed scan.
-LARGEST_IN_MEMORY = 1_000_000
-# A list of groups up to this length may be sent to every task.
-FEW_GROUPS = 10_000
+# The percentile sketch's ranks are off by one part in this many at most.
+SKETCH_ACCURACY = 10_000
 
 
 def by_dims(df: DataFrame, dims: list[str], source: str = "dims") -> DataFrame:
@@ -43,37 +41,41 @@ def metric_stat(df: DataFrame, keys: list[str], period_s: int, stat: str, out: s
     return timed.groupBy(*keys, "period").agg(STATS[stat](F.col("value")).alias(out))
 
 
-def exact_percentile(
-    df: DataFrame, keys: list[str], value: str, q: float, out: str, largest: int = LARGEST_IN_MEMORY
-) -> DataFrame:
-    """Interpolated percentile per group, exact for groups of any size.
+def exact_percentile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
+    """Interpolated percentile per group, exact for groups of any size, in one lazy plan.
 
-    Groups of up to ``largest`` values use the built-in aggregate, which holds a group's distinct
-    values in one task. If any group is larger, the rows of those groups are reduced to value counts
-    (which spreads each over all tasks), ranked by a distributed running sum, and the two values
-    around the wanted rank are picked out.
+    A sketch that combines before the shuffle gives two values of the group between which the wanted
+    rank must lie, a few thousandths of the group apart. Rows become value counts; all counts below
+    the lower value are one number, those above the upper one are left out, and only what lies
+    between is put in order. Groups too small for the sketch's bounds to be sure have their lowest
+    and highest values for bounds.
     """
     data = df.select(*keys, value).where(F.col(value).isNotNull())
-    # Counted with map-side combining; only the number of large groups reaches the driver.
-    sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    large = sizes.where(F.col("__n") > largest)
-    large_groups = large.count()
-    if not large_groups:
-        return data.groupBy(*keys).agg(F.percentile(value, q).alias(out))
-
-    # Telling the groups apart by a broadcast keeps a large group from being shuffled by its key.
-    if large_groups <= FEW_GROUPS:
-        large = F.broadcast(large)
-    small = same_keys(data, large, keys, "left_anti").groupBy(*keys).agg(F.percentile(value, q).alias(out))
-    counts = same_keys(data, large, keys).groupBy(*keys, "__n", value).agg(F.count(F.lit(1)).alias("__rows"))
-    ranked = running_sum(counts, keys, [value], "__rows", "__upto")
+    margin = 3 / SKETCH_ACCURACY
+    bounds = data.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(value).alias("__first"), F.max(value).alias("__last"),
+        F.percentile_approx(value, [max(q - margin, 0.0), min(q + margin, 1.0)], SKETCH_ACCURACY).alias("__band"),
+    )
+    sure = F.col("__n") >= 10 * SKETCH_ACCURACY
+    counts = data.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__rows"))
+    placed = same_keys(counts, bounds, keys).withColumns({
+        "__low": F.when(sure, F.col("__band")[0]).otherwise(F.col("__first")),
+        "__high": F.when(sure, F.col("__band")[1]).otherwise(F.col("__last")),
+    }).where(F.col(value) <= F.col("__high"))
+    # What is below the band becomes one row without a value, which comes first.
+    inside = placed.withColumn(value, F.when(F.col(value) >= F.col("__low"), F.col(value)))
+    merged = inside.groupBy(*keys, "__n", value).agg(F.sum("__rows").alias("__rows"))
+    upto = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    ranked = merged.withColumn("__upto", F.sum("__rows").over(upto))
     rank = F.lit(q) * (F.col("__n") - 1)
 
     def holds(position: Column) -> Column:
         return (F.col("__upto") > position) & (F.col("__upto") - F.col("__rows") <= position)
 
     at_low, at_high = holds(F.floor(rank)), holds(F.ceil(rank))
-    big = ranked.where(at_low | at_high).groupBy(*keys).agg(
+    found = ranked.where(at_low | at_high).groupBy(*keys).agg(
         F.max(F.when(at_low, F.col(value))).alias("__low"),
         F.max(F.when(at_high, F.col(value))).alias("__high"),
         F.max(rank).alias("__rank"),
@@ -81,7 +83,7 @@ def exact_percentile(
     below, above = F.col("__rank") - F.floor("__rank"), F.ceil("__rank") - F.col("__rank")
     between = above * F.col("__low") + below * F.col("__high")
     exact = F.when(F.col("__low") == F.col("__high"), F.col("__low")).otherwise(between)
-    return small.unionByName(big.select(*keys, exact.alias(out)))
+    return found.select(*keys, exact.alias(out))
 
 
 def metric_rollup(df: DataFrame, levels: list[str], period_s: int) -> DataFrame:
@@ -156,14 +158,14 @@ def latest(stats: DataFrame, keys: list[str], value: str = "stat") -> DataFrame:
 def metric_board(metrics: DataFrame, specs: DataFrame, dims: list[str]) -> DataFrame:
     """Every statistic of a spec catalogue in one pass over the metric table.
 
-    ``specs`` holds (namespace, metric_name, stat, period_s, fans_out) and comes from the fixed
-    catalogue, so it is small enough to be sent to every task. A metric that does not fan out is
+    ``specs`` holds (namespace, metric_name, stat, period_s, fans_out); where it comes from the fixed
+    catalogue Spark sees its size and sends it to every task. A metric that does not fan out is
     taken over all values of the dimensions, which are null in its rows.
     """
     periods = specs.groupBy("namespace", "metric_name", "period_s", "fans_out").agg(
         F.sort_array(F.collect_set("stat")).alias("wanted")
     )
-    rows = by_dims(metrics, dims).join(F.broadcast(periods), ["namespace", "metric_name"])
+    rows = by_dims(metrics, dims).join(periods, ["namespace", "metric_name"])
     timed = rows.withColumns({
         "period": period_start(F.col("ts"), F.col("period_s").cast("bigint")),
         **{dim: F.when(F.col("fans_out"), F.col(dim)) for dim in dims},

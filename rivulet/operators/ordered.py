@@ -1,10 +1,9 @@
 """Ordered computations over keys of any size.
 
-A window over one key runs in one task, which a hot key overwhelms. Here the rows are range
-partitioned on (key, order), so a hot key is spread over many slices; each slice is summarised, the
-summaries are scanned in order to give what came before each slice, and every row combines its
-slice-local value with that carry. Slices are kept in the reliable checkpoint because both passes
-must see the same boundaries.
+A window over one key runs in one task, which a hot key overwhelms. Here rows fall into slices of
+time that are a pure function of the row, so a hot key is spread over many slices. Slices are
+summarised with map-side combining, the summaries are scanned in two steps (within a day, and over
+days) to give what came before each slice, and every row combines its slice-local value with that.
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rivulet.session import durable
+# A slice is a second; a key's day holds at most 86 400 of them.
+SLICE_S, SPAN_S = 1, 86_400
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -23,41 +23,27 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, matches, how).drop(*[f"__{k}" for k in keys])
 
 
-def sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Add ``slice``: contiguous runs of (keys, order), balanced over tasks. ``order`` must be unique
-    within a key, or equal rows of a hot key could not be separated."""
-    ranged = df.repartitionByRange(*keys, *order)
-    return durable(ranged.withColumn("slice", F.spark_partition_id()))
-
-
-def _carry(slices: DataFrame, keys: list[str], summary: Column, combine) -> DataFrame:
-    # One row per key and slice: bounded by the number of tasks, not of rows.
-    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = slices.groupBy(*keys, "slice").agg(summary.alias("__total"))
-    return totals.select(*keys, "slice", combine("__total").over(before).alias("__carry"))
-
-
-def running_max_before(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Largest ``value`` among the rows that precede each row in its key; null for the first row."""
-    slices = sliced(df, keys, order)
-    carry = _carry(slices, keys, F.max(value), F.max)
-    local = (
-        Window.partitionBy(*keys, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        same_keys(slices, carry, [*keys, "slice"])
-        .withColumn(out, F.greatest(F.max(value).over(local), "__carry"))
-        .drop("slice", "__carry")
+def running_max_before(
+    df: DataFrame, keys: list[str], at: str, unique: str, value: str, out: str, slice_s: int = SLICE_S
+) -> DataFrame:
+    """Largest ``value`` among the rows that precede each row in its key by time ``at``, then by
+    ``unique``; null for the first row."""
+    slice_no = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (slice_s * 1_000_000))
+    rows = df.withColumn("__slice", slice_no)
+    totals = rows.groupBy(*keys, "__slice").agg(F.max(value).alias("__total")).withColumn(
+        "__span", F.floor(F.col("__slice") * slice_s / SPAN_S)
     )
 
+    def before(*parts: str, order: str):
+        return Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Sum of ``value`` from the first row of the key up to and including each row."""
-    slices = sliced(df, keys, order)
-    carry = _carry(slices, keys, F.sum(value), F.sum)
-    local = Window.partitionBy(*keys, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        same_keys(slices, carry, [*keys, "slice"])
-        .withColumn(out, F.sum(value).over(local) + F.coalesce("__carry", F.lit(0)))
-        .drop("slice", "__carry")
+    spans = totals.groupBy(*keys, "__span").agg(F.max("__total").alias("__total"))
+    earlier = spans.select(*keys, "__span", F.max("__total").over(before(*keys, order="__span")).alias("__earlier"))
+    inside = totals.withColumn("__inside", F.max("__total").over(before(*keys, "__span", order="__slice")))
+    carry = same_keys(inside, earlier, [*keys, "__span"]).select(
+        *keys, "__slice", F.greatest("__inside", "__earlier").alias("__carry")
     )
+    local = Window.partitionBy(*keys, "__slice").orderBy(at, unique).rowsBetween(Window.unboundedPreceding, -1)
+    return same_keys(rows, carry, [*keys, "__slice"]).withColumn(
+        out, F.greatest(F.max(value).over(local), "__carry")
+    ).drop("__slice", "__carry")

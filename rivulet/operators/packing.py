@@ -27,7 +27,7 @@ def invocation_of(position: Column, max_records: int) -> Column:
     more than ``max_records``."""
     if not 1 <= max_records <= MAX_INVOCATION:
         raise ValueError(f"an invocation takes 1 to {MAX_INVOCATION} records")
-    return F.floor(position / max_records)
+    return F.call_function("div", position, F.lit(max_records))
 
 
 def split_oversize(df: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:

@@ -173,6 +173,17 @@ def alarm_specs(per_second: bool = False) -> list[AlarmSpec]:
     return specs
 
 
+def watched_metrics() -> list[tuple[str, str]]:
+    """(namespace, name) of every watched metric."""
+    return list(dict.fromkeys((s.namespace, s.metric_name) for s in metric_specs()))
+
+
+def alarm_metrics() -> list[tuple[str, str]]:
+    """(namespace, name) of every metric that an alarm reads."""
+    legs = [(s.namespace, name) for s in alarm_specs() for name in (s.metric_name, s.over_metric) if name]
+    return list(dict.fromkeys(legs))
+
+
 METRIC_COLUMNS = "namespace string, metric_name string, stat string, period_s int, fans_out boolean"
 
 def metric_table(spark: SparkSession, specs: list[MetricSpec]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rivulet.plans.catalog import AlarmSpec, alarm_specs, metric_specs
+from rivulet.plans.catalog import AlarmSpec, alarm_metrics, alarm_specs, metric_specs, watched_metrics
 from rivulet.plans.queries import BOARD_ALARMS
 
 BAD = "event_id % 97 = 0"
@@ -15,6 +15,15 @@ log_records AS (
          CASE WHEN {BAD} THEN '{{bad' ELSE props END AS payload
   FROM events)"""
 
+ENVELOPES = """
+placed AS (
+  SELECT topic, "partition", "offset", "offset" // 100 AS invocation,
+         CASE WHEN "offset" % 89 <> 0 THEN payload END AS payload,
+         CASE WHEN "offset" % 89 = 0 THEN 'base64' END AS error_type
+  FROM log_records),
+good AS (SELECT * FROM placed WHERE invocation % 7 NOT IN (3, 5)),
+lost AS (SELECT DISTINCT invocation FROM placed WHERE invocation % 7 IN (3, 5))"""
+
 LINES = f"""{LOG_RECORDS},
 lines AS (
   SELECT topic, "partition", "offset",
@@ -61,12 +70,17 @@ HOURLY_MAX = f"""
 hourly AS (
   SELECT event_type AS stream, {period(3600)} AS period, max(value) AS stat FROM events GROUP BY 1, 2)"""
 
-GRID = """
+def grid(low: str, high: str) -> str:
+    return f"""
 grid AS (
-  SELECT stream, unnest(generate_series(min(period), max(period), INTERVAL 1 HOUR)) AS period
+  SELECT stream, unnest(generate_series({low}, {high}, INTERVAL 1 HOUR)) AS period
   FROM hourly GROUP BY stream),
 filled AS (SELECT g.stream, g.period, h.stat FROM grid g LEFT JOIN hourly h USING (stream, period))"""
 
+
+GRID = grid("min(period)", "max(period)")
+FULL_GRID = grid("(SELECT min(period) FROM hourly)", "(SELECT max(period) FROM hourly)")
+
 LOGS = """
 app_logs AS (
   SELECT event_id, ts,
@@ -98,8 +112,7 @@ points AS (
          value FROM events)"""
 
 
-def catalogue_points() -> str:
-    watched = list(dict.fromkeys((s.namespace, s.metric_name) for s in metric_specs()))
+def catalogue_points(watched: list[tuple[str, str]]) -> str:
     names = ", ".join(f"({i}, '{ns}', '{name}')" for i, (ns, name) in enumerate(watched))
     return f"""
 watched(turn, namespace, metric_name) AS (VALUES {names}),
@@ -139,8 +152,10 @@ valued AS (
          CASE WHEN over_metric IS NULL THEN v1 * scale / per ELSE scale * (v1 / nullif(v2, 0)) END AS value
   FROM both_sides b JOIN specs USING (alarm)),
 spans AS (
-  SELECT v.alarm, v.broker, s.period_s, min(period) AS low, max(period) AS high
-  FROM valued v JOIN specs s USING (alarm) GROUP BY ALL),
+  SELECT alarm, broker, period_s, {period("period_s", "(SELECT min(ts) FROM points)")} AS low,
+         {period("period_s", "(SELECT max(ts) FROM points)")} AS high
+  FROM (SELECT DISTINCT alarm, broker FROM valued
+        UNION ALL SELECT alarm, NULL FROM specs WHERE alarm NOT IN (SELECT alarm FROM valued)) JOIN specs USING (alarm)),
 grid AS (
   SELECT alarm, broker, unnest(generate_series(low, high, to_seconds(period_s))) AS period FROM spans),
 judged AS (
@@ -149,7 +164,7 @@ judged AS (
                                     WHEN '<=' THEN v.value <= s.threshold END,
                   s.treat_missing = 'breaching') AS breached
   FROM grid g JOIN specs s USING (alarm)
-  LEFT JOIN valued v ON v.alarm = g.alarm AND v.broker = g.broker AND v.period = g.period),
+  LEFT JOIN valued v ON v.alarm = g.alarm AND v.broker IS NOT DISTINCT FROM g.broker AND v.period = g.period),
 runs AS (
   SELECT *, count(*) FILTER (WHERE NOT breached) OVER (PARTITION BY alarm, broker ORDER BY period) AS run
   FROM judged),
@@ -181,6 +196,12 @@ outcomes AS (
          CASE kind WHEN 0 THEN 'ServiceUnavailableException' WHEN 3 THEN 'InternalFailure' END AS error
   FROM kinds)"""
 
+# What JSON text escapes among the characters that documents hold.
+DOCUMENT_LINE = (
+    "'{\"doc_id\":' || doc_id || ',\"text\":\"' || replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), "
+    "'\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), chr(13), chr(92) || 'r') || '\"}'"
+)
+
 PARTS = """strftime(ts, '%Y') AS "year", strftime(ts, '%m') AS "month", strftime(ts, '%d') AS "day",
        strftime(ts, '%H') AS "hour\""""
 
@@ -188,8 +209,10 @@ DAY = PARTS[: PARTS.index(",\n")]
 
 ORACLES: dict[str, str] = {
     "tick_table": f"""
-SELECT event_type AS ticker, value AS price, date_trunc('millisecond', ts) AS event_time
-FROM events WHERE NOT {BAD}""",
+SELECT CASE WHEN NOT {BAD} THEN event_type END AS ticker, CASE WHEN NOT {BAD} THEN value END AS price,
+       CASE WHEN NOT {BAD} THEN date_trunc('millisecond', ts) END AS event_time,
+       CASE WHEN {BAD} THEN 'json' END AS error_type
+FROM events""",
     "archive_roundtrip": f"""
 WITH {LOG_RECORDS} SELECT topic, "partition", "offset", payload FROM log_records""",
     "replay_slice": """
@@ -204,19 +227,20 @@ FROM events""",
 SELECT event_id, ts, event_type, value FROM events
 WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 168 HOUR""",
     "stream_envelope": f"""
-WITH {LOG_RECORDS}
-SELECT "offset" // 100 AS invocation,
-       CAST(row_number() OVER (PARTITION BY "offset" // 100 ORDER BY "offset") - 1 AS INTEGER) AS position,
+WITH {LOG_RECORDS}, {ENVELOPES}
+SELECT invocation,
+       CAST(row_number() OVER (PARTITION BY invocation ORDER BY "offset") - 1 AS INTEGER) AS position,
        CAST("partition" AS VARCHAR) AS partition_key,
-       lpad(CAST("offset" AS VARCHAR), 20, '0') AS sequence_number, payload
-FROM log_records""",
+       lpad(CAST("offset" AS VARCHAR), 20, '0') AS sequence_number, payload, error_type
+FROM good
+UNION ALL SELECT invocation, NULL, NULL, NULL, NULL, 'envelope' FROM lost""",
     "log_envelope": f"""
-WITH {LOG_RECORDS}
-SELECT "offset" // 100 AS invocation, topic || '-' || "partition" AS topic_partition,
-       CAST(row_number() OVER (PARTITION BY "offset" // 100, "partition" ORDER BY "offset") - 1 AS INTEGER)
-         AS position,
-       "offset", payload
-FROM log_records""",
+WITH {LOG_RECORDS}, {ENVELOPES}
+SELECT invocation, topic || '-' || "partition" AS topic_partition,
+       CAST(row_number() OVER (PARTITION BY invocation, "partition" ORDER BY "offset") - 1 AS INTEGER) AS position,
+       "offset", payload, error_type
+FROM good
+UNION ALL SELECT invocation, NULL, NULL, NULL, NULL, 'envelope' FROM lost""",
     "consume_summary": f"""
 WITH {LOG_RECORDS}
 SELECT topic || '-' || "partition" AS topic_partition, count(*) AS records, count(payload) AS decoded
@@ -233,7 +257,8 @@ SELECT event_id,
 FROM events""",
     "ride_sampled": f"""
 WITH {RIDES}
-SELECT event_id, CAST(NULL AS BIGINT) AS trip_id, event_id AS ride_request_id, vehicle_id FROM rides""",
+SELECT event_id, CAST(NULL AS BIGINT) AS trip_id, event_id AS ride_request_id, vehicle_id, NULL AS error_type FROM rides
+UNION ALL SELECT event_id, NULL, NULL, NULL, 'json' FROM events WHERE event_type = 'purchase' AND {BAD}""",
     "fare_model": f"""
 SELECT event_id, CAST(CASE WHEN event_id = 0 THEN 400 ELSE 200 END AS INTEGER) AS status,
        CASE WHEN event_id <> 0 THEN {fare("event_id")} END AS expected_fare
@@ -278,18 +303,19 @@ WITH RECURSIVE sized AS (
   FROM documents),
 placed AS (
   SELECT invocation, size, row_number() OVER (PARTITION BY invocation ORDER BY lang, doc_id) AS position
-  FROM sized WHERE size <= 262144),
+  FROM sized WHERE size <= 32768),
 packed AS (
   SELECT invocation, position, size, CAST(1 AS BIGINT) AS batch_no, CAST(1 AS BIGINT) AS held, size AS used
   FROM placed WHERE position = 1
   UNION ALL
   SELECT n.invocation, n.position, n.size,
-         CASE WHEN p.held + 1 > 500 OR p.used + n.size > 262144 THEN p.batch_no + 1 ELSE p.batch_no END,
-         CASE WHEN p.held + 1 > 500 OR p.used + n.size > 262144 THEN 1 ELSE p.held + 1 END,
-         CASE WHEN p.held + 1 > 500 OR p.used + n.size > 262144 THEN n.size ELSE p.used + n.size END
+         CASE WHEN p.held + 1 > 500 OR p.used + n.size > 32768 THEN p.batch_no + 1 ELSE p.batch_no END,
+         CASE WHEN p.held + 1 > 500 OR p.used + n.size > 32768 THEN 1 ELSE p.held + 1 END,
+         CASE WHEN p.held + 1 > 500 OR p.used + n.size > 32768 THEN n.size ELSE p.used + n.size END
   FROM packed p JOIN placed n ON n.invocation = p.invocation AND n.position = p.position + 1)
 SELECT invocation, batch_no, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes
-FROM packed GROUP BY 1, 2""",
+FROM packed GROUP BY 1, 2
+UNION ALL SELECT invocation, NULL, count(*), CAST(sum(size) AS BIGINT) FROM sized WHERE size > 32768 GROUP BY 1""",
     "delivery_outcome": f"""
 WITH {OUTCOMES} SELECT * FROM outcomes""",
     "delivery_report": f"""
@@ -299,10 +325,29 @@ SELECT invocation, batch_no, count(*) AS attempted, count(*) FILTER (WHERE statu
        max(attempts) AS calls,
        count(*) FILTER (WHERE status = 'delivered') * 100 / count(*) AS delivered_percent
 FROM outcomes GROUP BY 1, 2""",
+    "object_sizes": f"""
+SELECT lang AS prefix, count(*) AS records, CAST(sum(strlen({DOCUMENT_LINE}) + 1) AS BIGINT) AS bytes, true AS bounded
+FROM documents GROUP BY 1""",
+    "no_delimiter": """
+SELECT doc_id, md5(text) AS digest, NULL AS error_type FROM documents""",
+    "codec_roundtrip": f"""
+SELECT codec, count(*) AS records, CAST(sum(strlen({DOCUMENT_LINE})) AS BIGINT) AS bytes
+FROM documents, (VALUES ('GZIP'), ('HADOOP_SNAPPY'), ('Snappy'), ('UNCOMPRESSED')) AS codecs(codec) GROUP BY 1""",
+    "fixed_count": """
+SELECT count(*) AS records, CAST(100 AS BIGINT) AS most FROM events""",
+    "keyed_routes": """
+SELECT user_id, count(*) AS records, CAST(1 AS BIGINT) AS tasks FROM events GROUP BY 1""",
+    "even_routes": """
+SELECT count(*) AS records, CAST(4 AS BIGINT) AS tasks FROM events""",
+    "latest_start": """
+SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15'""",
+    "tick_sql": f"""
+SELECT event_type AS ticker, strftime(ts, '%Y-%m-%d') AS dt, count(*) AS ticks, max(value) AS highest
+FROM events WHERE value > 50 AND NOT {BAD} GROUP BY 1, 2""",
     "time_prefix": f"""
 SELECT event_id, {PARTS} FROM events""",
     "error_routing": f"""
-SELECT CASE WHEN {BAD} THEN 'errors' ELSE 'data' END AS route, {PARTS},
+SELECT CASE WHEN {BAD} THEN 'errors' ELSE 'data' END AS route, {DAY},
        CASE WHEN {BAD} THEN 'json' END AS error_type, count(*) AS records
 FROM events GROUP BY ALL""",
     "dynamic_partition": f"""
@@ -333,9 +378,14 @@ SELECT event_type AS stream, {period(3600)} AS period,
        min((epoch_us(ts) // 1000) - 5000 - (event_id * 7919 % 1200) * 1000) - min((epoch_us(ts) // 1000)) AS latency_ms
 FROM events GROUP BY 1, 2""",
     "consumer_lag": """
-SELECT CAST(user_id % 3 AS INTEGER) AS "partition", max((event_id * 7919) % 1200 * 1000) AS max_millis_behind,
-       max(event_id * 7919 % 1200) AS max_offset_lag, CAST(sum(event_id * 7919 % 1200) AS BIGINT) AS sum_offset_lag
-FROM events GROUP BY 1""",
+WITH arrivals AS (
+  SELECT CAST(user_id % 3 AS INTEGER) AS "partition", event_id, ts, (event_id * 7919) % 1200 < 900 AS consumed FROM events),
+latest AS (SELECT "partition", max(event_id) AS latest_offset, max(ts) AS newest FROM arrivals GROUP BY 1),
+done AS (
+  SELECT "partition", max(event_id) AS committed_offset, max(ts) AS reached FROM arrivals WHERE consumed GROUP BY 1)
+SELECT "partition", latest_offset, committed_offset, latest_offset - committed_offset AS offset_lag,
+       (epoch_us(newest) // 1000) - (epoch_us(reached) // 1000) AS millis_behind
+FROM latest JOIN done USING ("partition")""",
     "metric_stream": f"""
 SELECT {period(3600)} AS period, event_type AS stream, count(*) AS datapoints, round(avg(value), 9) AS average,
        round(sum(value), 9) AS total, min(value) AS lowest, max(value) AS highest
@@ -402,7 +452,7 @@ QUALIFY row_number() OVER (PARTITION BY stream, shard ORDER BY period DESC) = 1"
 WITH {HOURLY_MAX}
 SELECT stream, period, stat, CASE WHEN stat > 80 THEN 'ALARM' ELSE 'OK' END AS state FROM hourly""",
     "alarm_missing": f"""
-WITH {HOURLY_MAX}, {GRID}
+WITH {HOURLY_MAX}, {FULL_GRID}
 SELECT stream, period, CASE WHEN coalesce(stat > 80, true) THEN 'ALARM' ELSE 'OK' END AS breaching,
        CASE WHEN coalesce(stat > 80, false) THEN 'ALARM' ELSE 'OK' END AS not_breaching
 FROM filled""",
@@ -423,7 +473,7 @@ stepped AS (
   FROM states)
 SELECT * FROM stepped WHERE previous <> state""",
     "alarm_catalogue": f"""
-WITH {catalogue_points()}, {alarm_ctes(alarm_specs())}
+WITH {catalogue_points(alarm_metrics())}, {alarm_ctes(alarm_specs())}
 SELECT alarm, broker, state, count(*) AS periods FROM states GROUP BY 1, 2, 3""",
     "log_task_distribution": f"""
 WITH {LOGS}
@@ -442,12 +492,12 @@ ORDER BY ts, event_id LIMIT 20""",
 
 _PRICED = f"""
 WITH {RIDES}
-SELECT CAST(NULL AS BIGINT) AS trip_id, event_id AS ride_request_id, vehicle_id, {fare("event_id")} AS expected_fare
-FROM rides WHERE event_id <> 0"""
+SELECT CAST(NULL AS BIGINT) AS trip_id, event_id AS ride_request_id, vehicle_id, {fare("event_id")} AS expected_fare,
+       NULL AS error_type
+FROM rides WHERE event_id <> 0
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'json' FROM events WHERE event_type = 'purchase' AND {BAD}"""
 ORACLES["ride_enriched"] = _PRICED
-ORACLES["ride_enriched_udf"] = _PRICED
 ORACLES["ride_job"] = _PRICED
-ORACLES["delivery_job"] = ORACLES["delivery_outcome"]
 
 
 def _board() -> str:
@@ -457,7 +507,7 @@ def _board() -> str:
     )
     by_stat = " ".join(f"WHEN '{name}' THEN {fn}(value)" for name, fn in STATS_SQL.items())
     return f"""
-WITH {catalogue_points()},
+WITH {catalogue_points(watched_metrics())},
 specs(namespace, metric_name, stat, period_s, fans_out) AS (VALUES {rows})
 SELECT namespace, metric_name, CAST(period_s AS INTEGER) AS period_s,
        CASE WHEN fans_out THEN broker END AS broker, {period("period_s")} AS period, stat,

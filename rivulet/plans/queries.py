@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rivulet import tables
 from rivulet.functions import fare as fares
@@ -12,7 +12,9 @@ from rivulet.functions.payload import decode_payload, encode_payload, json_line
 from rivulet.functions.shards import shard_of
 from rivulet.functions.times import epoch_millis
 from rivulet.operators import alarms, decode, delivery, enrich, lag, logs, metrics, packing, routing
-from rivulet.plans.catalog import AlarmSpec, DISK_LINE, alarm_specs, metric_specs, metric_table
+from rivulet.plans.catalog import (
+    AlarmSpec, DISK_LINE, alarm_metrics, alarm_specs, metric_specs, metric_table, watched_metrics,
+)
 from rivulet.session import prepare, workspace
 from rivulet.sources import archive, streams, ticks
 from rivulet.streaming import jobs, sinks, windows
@@ -25,8 +27,8 @@ RETENTION_HOURS = 168
 REPLAY_FROM, REPLAY_TO = "2024-01-08", "2024-01-15"
 RIDE_TYPE = "purchase"
 APPLICATION = "application/app-1"
-# Small enough for whole documents to close batches by size, large enough for every single one.
-DOCUMENT_BATCH_BYTES = 262_144
+# Small enough for whole documents to close batches by size, and for some to exceed it alone.
+DOCUMENT_BATCH_BYTES = 32_768
 
 BOARD_ALARMS = [
     AlarmSpec("ViewPeak", tables.NAMESPACE, "view", "Maximum", HOUR, ">", 80.0, alarms.BREACHING),
@@ -37,6 +39,7 @@ BOARD_ALARMS = [
         "ErrorShare", tables.NAMESPACE, "error", "Sum", HOUR, ">", 75.0013, alarms.BREACHING, 1, 100.0, 1.0,
         "view", "Maximum",
     ),
+    AlarmSpec("NeverSeen", tables.NAMESPACE, "refund", "Sum", HOUR, ">", 1.0, alarms.BREACHING, 2),
 ]
 
 # Sums of doubles depend on their order; results are compared to this many digits.
@@ -65,7 +68,7 @@ def naive(df: DataFrame) -> DataFrame:
 def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a file stream. The pattern lets the table be one file or a folder of files."""
     schema = tables.events(spark, sf_dir).schema
-    rows = streams.read_files(spark, f"{sf_dir}/events*.parquet", schema)
+    rows = streams.read_files(spark, f"{sf_dir}/events.parquet*", schema)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -75,7 +78,9 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tick_table(spark, sf_dir):
     streams.register_tick_table(spark, tables.tick_messages(spark, sf_dir))
-    return spark.sql("SELECT ticker, price, event_time FROM stock_table")
+    return spark.sql("""
+        SELECT ticker, price, event_time, CAST(NULL AS STRING) AS error_type FROM stock_table
+        UNION ALL SELECT ticker, price, event_time, error_type FROM stock_table_errors""")
 
 
 @query
@@ -98,7 +103,7 @@ def replay_slice(spark, sf_dir):
     days = tables.events(spark, sf_dir).withColumn("dt", F.date_format("ts", "yyyy-MM-dd"))
     days.repartitionByRange("dt", "event_id").write.partitionBy("dt").parquet(f"{root}/history")
     week = (F.col("dt") >= REPLAY_FROM) & (F.col("dt") < REPLAY_TO)
-    stream = archive.replay(spark, f"{root}/history", days.schema, week)
+    stream = archive.replay(spark, f"{root}/history", days.schema, ["dt"], week)
     columns = ["event_id", "dt", "event_type", "value"]
     stream.select(*columns).writeStream.format("parquet").option(
         "checkpointLocation", f"{root}/checkpoint"
@@ -121,21 +126,35 @@ def retention_trim(spark, sf_dir):
 # --- decode, project, filter -----------------------------------------------------------------------
 
 
+def _envelope_texts(envelopes: DataFrame, records: str) -> DataFrame:
+    """Envelopes as JSON text; some cannot be read and some hold no records."""
+    body = F.to_json(F.struct(records))
+    text = F.when(F.col("invocation") % 7 == 3, "{bad").when(F.col("invocation") % 7 == 5, "{}").otherwise(body)
+    return envelopes.select("invocation", text.alias("body"))
+
+
+def _records_of_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log records, some without a payload."""
+    return tables.log_records(spark, sf_dir).withColumn("value", F.when(F.col("offset") % 89 != 0, F.col("value")))
+
+
 @query
 def stream_envelope(spark, sf_dir):
-    records = tables.log_records(spark, sf_dir)
+    records = _records_of_envelopes(spark, sf_dir)
     batches = decode.stream_envelopes(records, packing.invocation_of(F.col("offset"), ENVELOPE_SIZE))
-    return decode.explode_stream_envelope(batches).select(
-        "invocation", "position", "partition_key", "sequence_number", "payload"
+    read = decode.parse_envelope(_envelope_texts(batches, "Records"), "body", decode.STREAM_ENVELOPE)
+    return decode.explode_stream_envelope(read).select(
+        "invocation", "position", "partition_key", "sequence_number", "payload", "error_type"
     )
 
 
 @query
 def log_envelope(spark, sf_dir):
-    records = tables.log_records(spark, sf_dir)
+    records = _records_of_envelopes(spark, sf_dir)
     batches = decode.log_envelopes(records, packing.invocation_of(F.col("offset"), ENVELOPE_SIZE))
-    return decode.explode_log_envelope(batches).select(
-        "invocation", "topic_partition", "position", "offset", "payload"
+    read = decode.parse_envelope(_envelope_texts(batches, "records"), "body", decode.LOG_ENVELOPE)
+    return decode.explode_log_envelope(read).select(
+        "invocation", "topic_partition", "position", "offset", "payload", "error_type"
     )
 
 
@@ -165,20 +184,17 @@ def encode_ride(spark, sf_dir):
     return decode.encode_json(rides, decode.RIDE_REQUEST.names)
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled ride requests with their request id, bad records routed away."""
-    messages = enrich.only_type(tables.ride_messages(spark, sf_dir), F.col("type"), RIDE_TYPE)
-    keyed = enrich.with_request_id(decode.decode_json(messages, decode.RIDE_REQUEST))
-    good, _ = delivery.route_errors(keyed)
-    return enrich.sample_mod(good, "ride_request_id")
-
-
 @query
 def ride_sampled(spark, sf_dir):
-    return _requests(spark, sf_dir).select("event_id", "trip_id", "ride_request_id", "vehicle_id")
+    """Sampled ride requests with their request id, and those that cannot be read."""
+    messages = enrich.only_type(tables.ride_messages(spark, sf_dir), F.col("type"), RIDE_TYPE)
+    keyed = enrich.with_request_id(decode.decode_json(messages, decode.RIDE_REQUEST))
+    return enrich.sample_mod(keyed, "ride_request_id").select(
+        "event_id", "trip_id", "ride_request_id", "vehicle_id", "error_type"
+    )
 
 
-RIDE_COLUMNS = ["trip_id", "ride_request_id", "vehicle_id", "expected_fare"]
+RIDE_COLUMNS = ["trip_id", "ride_request_id", "vehicle_id", "expected_fare", "error_type"]
 
 
 @query
@@ -186,13 +202,6 @@ def ride_enriched(spark, sf_dir):
     return jobs.priced_rides(tables.ride_messages(spark, sf_dir), kind=RIDE_TYPE).select(*RIDE_COLUMNS)
 
 
-@query
-def ride_enriched_udf(spark, sf_dir):
-    """The same job with the fare asked of a client, twenty calls at a time."""
-    priced = jobs.priced_rides(tables.ride_messages(spark, sf_dir), lambda: fares.fare_response, RIDE_TYPE)
-    return priced.select(*RIDE_COLUMNS)
-
-
 @query
 def ride_job(spark, sf_dir):
     """The same job on a stream of messages, into files."""
@@ -283,63 +292,140 @@ def pack_bytes(spark, sf_dir):
         encode_payload(F.col("text")).alias("value"),
     )
     lines = packing.to_lines(rows, rows.columns, ["topic", "partition", "offset"]).drop("line")
-    fits, _ = packing.split_oversize(lines, DOCUMENT_BATCH_BYTES)
-    keyed = fits.withColumn("invocation", packing.invocation_of(F.col("offset"), ENVELOPE_SIZE))
-    packed = packing.pack_batches(keyed, "invocation", archive.LOG_ORDER, max_bytes=DOCUMENT_BATCH_BYTES)
-    return packing.batch_sizes(packed)
+    keyed = lines.withColumn("invocation", packing.invocation_of(F.col("offset"), ENVELOPE_SIZE))
+    fits, oversize = packing.split_oversize(keyed, DOCUMENT_BATCH_BYTES)
+    packed = packing.pack_batches(fits, "invocation", archive.LOG_ORDER, max_bytes=DOCUMENT_BATCH_BYTES)
+    refused = oversize.withColumn("batch_no", F.lit(None).cast("bigint"))
+    return packing.batch_sizes(packed).unionByName(packing.batch_sizes(refused))
 
 
-class FlakyReceiver:
-    """A receiver that fails some records in a repeatable way, by ``offset * 7919 % 11``: 0 always,
-    1 once, 2 twice (all retryable), 3 for good."""
+BATCH = ["invocation", "batch_no"]
 
-    def __init__(self):
-        self.seen: dict[int, int] = {}
 
-    def __call__(self, lines: list[str]) -> list[str | None]:
-        return [self.answer(int(line.split('"offset":')[1].split(",")[0])) for line in lines]
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes as a receiver gives them that fails by ``offset * 7919 % 11``: 0 always, 1 once, 2
+    twice (all retryable), 3 for good. Oversize records are lost without an attempt."""
+    fits, oversize = packing.split_oversize(_invocations(spark, sf_dir).drop("line"))
+    kind = F.col("offset") * 7919 % 11
+    packed = packing.pack_by_count(fits, "invocation", archive.LOG_ORDER)
+    tried = packed.select(
+        *BATCH, *archive.LOG_ORDER,
+        F.when(kind == 0, delivery.MAX_RETRIES + 1).when(kind.isin(1, 2), kind + 1).otherwise(1).cast("int").alias("attempts"),
+        F.when(kind.isin(0, 3), delivery.LOST).otherwise(delivery.DELIVERED).alias("status"),
+        F.when(kind == 0, delivery.RETRYABLE).when(kind == 3, "InternalFailure").alias("error"),
+    )
+    refused = oversize.select(
+        "invocation", F.lit(None).cast("bigint").alias("batch_no"), *archive.LOG_ORDER, F.lit(0).alias("attempts"),
+        F.lit(delivery.LOST).alias("status"), F.col("error_type").alias("error"),
+    )
+    return tried.unionByName(refused)
 
-    def answer(self, offset: int) -> str | None:
-        kind = offset * 7919 % 11
-        calls = self.seen.pop(offset, 0) + 1
-        if kind == 3:
-            return "InternalFailure"
-        if kind == 0 or (kind in (1, 2) and calls <= kind):
-            self.seen[offset] = calls
-            return delivery.RETRYABLE
-        return None
 
+@query
+def delivery_outcome(spark, sf_dir):
+    return _outcomes(spark, sf_dir)
 
-BATCH = ["invocation", "batch_no"]
 
+@query
+def delivery_report(spark, sf_dir):
+    return delivery.delivery_report(_outcomes(spark, sf_dir), BATCH)
 
-def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits, _ = packing.split_oversize(_invocations(spark, sf_dir))
-    return delivery.pack_and_deliver(
-        fits, FlakyReceiver, "invocation", archive.LOG_ORDER, archive.LOG_ORDER, backoff=float
+
+def _written(spark: SparkSession, sf_dir: str, label: str, **options) -> tuple[str, DataFrame]:
+    """Whole documents as JSON lines, written as objects by language."""
+    root = workspace(spark, label)
+    lines = tables.load(spark, sf_dir, "documents").select(
+        F.col("lang").alias("prefix"), json_line(["doc_id", "text"]).alias("line")
     )
+    delivery.write_objects(lines, root, ["prefix"], **options)
+    return root, spark.read.schema("value string, prefix string").text(root, wholetext=True)
 
 
 @query
-def delivery_outcome(spark, sf_dir):
-    return _outcomes(spark, sf_dir)
+def object_sizes(spark, sf_dir):
+    """Objects of at most one mebibyte: records, bytes, and whether all keep to it."""
+    _, objects = _written(spark, sf_dir, "objects", buffer_mb=1, compression="UNCOMPRESSED")
+    size = F.octet_length("value")
+    return objects.groupBy("prefix").agg(
+        F.sum(F.size(F.split("value", "\n")) - 1).alias("records"), F.sum(size).alias("bytes"),
+        F.bool_and(size <= 1024 * 1024).alias("bounded"),
+    )
 
 
 @query
-def delivery_job(spark, sf_dir):
-    """Stream all records through packing and delivery; one outcome per record."""
-    root = workspace(spark, "delivery")
-    records = tables.log_records_of(streamed_events(spark, sf_dir))
-    jobs.delivery_job(
-        records, packing.invocation_of(F.col("offset"), PACK_SIZE), FlakyReceiver, root,
-        f"{root}/checkpoint", backoff=float,
-    ).awaitTermination()
-    return spark.read.parquet(f"{root}/outcomes").drop("batch", "line")
+def no_delimiter(spark, sf_dir):
+    """Objects without line breaks between records, taken apart again."""
+    _, objects = _written(spark, sf_dir, "joined", buffer_mb=1, compression="UNCOMPRESSED", delimiter=False)
+    parts = decode.deaggregate(objects.select("prefix", F.rtrim(F.col("value"), F.lit("\n")).alias("value")))
+    read = decode.decode_json(parts.withColumnRenamed("object", "value"), DOCUMENT_LINE)
+    return read.select("doc_id", F.md5("text").alias("digest"), "error_type")
+
+
+DOCUMENT_LINE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
 
 
 @query
-def delivery_report(spark, sf_dir):
-    return delivery.delivery_report(_outcomes(spark, sf_dir), BATCH)
+def codec_roundtrip(spark, sf_dir):
+    """Every compression written and read back: records and bytes per codec."""
+    found = None
+    for name in delivery.CODECS:
+        root, _ = _written(spark, sf_dir, name.lower(), compression=name)
+        lines = spark.read.text(root).select(F.lit(name).alias("codec"), F.octet_length("value").alias("size"))
+        found = lines if found is None else found.unionByName(lines)
+    return found.groupBy("codec").agg(F.count(F.lit(1)).alias("records"), F.sum("size").alias("bytes"))
+
+
+@query
+def fixed_count(spark, sf_dir):
+    """Objects of a fixed number of records: all records, and the most that any file holds."""
+    root = workspace(spark, "fixed")
+    rows = tables.events(spark, sf_dir).select("event_id", "event_type")
+    delivery.write_fixed_count(rows, root, flush_size=FLUSH_SIZE, tasks=tables.SHARDS)
+    files = spark.read.schema("event_id bigint, event_type string").json(root).groupBy(F.input_file_name().alias("f"))
+    return files.agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("records"), F.max("n").alias("most"))
+
+
+FLUSH_SIZE = 100
+
+
+@query
+def keyed_routes(spark, sf_dir):
+    """Records routed by key over a fixed number of tasks: each key is in one of them."""
+    routed = routing.route_by_key(tables.events(spark, sf_dir), tables.SHARDS, "user_id")
+    placed = routed.select("user_id", F.spark_partition_id().alias("task"))
+    return placed.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("task").alias("tasks")
+    )
+
+
+@query
+def even_routes(spark, sf_dir):
+    """Records dealt out evenly over a fixed number of tasks: all of them, and the tasks used."""
+    dealt = routing.rebalance(tables.events(spark, sf_dir), tables.SHARDS).select(F.spark_partition_id().alias("task"))
+    return dealt.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("task").alias("tasks"))
+
+
+@query
+def latest_start(spark, sf_dir):
+    """A stream that starts at the latest position reads what came since."""
+    root = workspace(spark, "latest")
+    schema = tables.events(spark, sf_dir).schema
+    rows = streams.read_files(
+        spark, f"{sf_dir}/events.parquet*", schema, start=streams.LATEST, since=f"{REPLAY_TO} 00:00:00"
+    )
+    rows.select("event_id", "event_type").writeStream.format("parquet").option(
+        "checkpointLocation", f"{root}/checkpoint"
+    ).trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("event_id", "event_type")
+
+
+@query
+def tick_sql(spark, sf_dir):
+    """Free SQL over the tick table."""
+    streams.register_tick_table(spark, tables.tick_messages(spark, sf_dir))
+    return spark.sql("""
+        SELECT ticker, date_format(event_time, 'yyyy-MM-dd') AS dt, count(*) AS ticks, max(price) AS highest
+        FROM stock_table WHERE price > 50 GROUP BY ALL""")
 
 
 @query
@@ -351,13 +437,21 @@ def time_prefix(spark, sf_dir):
 
 @query
 def error_routing(spark, sf_dir):
-    """Objects by prefix: good ticks under data, unreadable ones under errors by type."""
-    stamped = delivery.with_time_prefix(decode.decode_ticks(tables.tick_messages(spark, sf_dir)), "ts")
+    """Write ticks as objects by day: good ones under data, unreadable ones under errors by type."""
+    root = workspace(spark, "routed")
+    decoded = decode.decode_ticks(tables.tick_messages(spark, sf_dir))
+    line = json_line(["event_id", "ticker", "price"])
+    stamped = delivery.with_time_prefix(decoded, "ts").withColumn("line", line)
     good, bad = delivery.route_errors(stamped)
-    routed = good.withColumns({"route": F.lit("data"), "error_type": F.lit(None).cast("string")}).unionByName(
-        bad.withColumn("route", F.lit("errors"))
+    delivery.write_objects(good, f"{root}/data", DAY_PARTITIONS)
+    delivery.write_objects(bad, f"{root}/errors", [*DAY_PARTITIONS, "error_type"])
+    parts = ", ".join(f"{name} string" for name in DAY_PARTITIONS)
+    data = spark.read.schema(f"value string, {parts}").text(f"{root}/data")
+    errors = spark.read.schema(f"value string, {parts}, error_type string").text(f"{root}/errors")
+    routed = data.withColumns({"route": F.lit("data"), "error_type": F.lit(None).cast("string")}).unionByName(
+        errors.withColumn("route", F.lit("errors"))
     )
-    return routed.groupBy("route", *sinks.TIME_PARTITIONS, "error_type").agg(F.count(F.lit(1)).alias("records"))
+    return routed.groupBy("route", *DAY_PARTITIONS, "error_type").agg(F.count(F.lit(1)).alias("records"))
 
 
 @query
@@ -451,11 +545,10 @@ def streams_delay_ms():
 
 @query
 def consumer_lag(spark, sf_dir):
+    """Lag per partition where everything that arrived within a quarter of an hour is consumed."""
     rows = tables.arrivals(spark, sf_dir)
-    return lag.lag_stats(
-        rows, ["partition"], F.col("arrival"), F.col("ts"), F.col("event_id"),
-        F.col("event_id") - F.col("event_id") * 7919 % 1200,
-    )
+    consumed = F.col("arrival") < F.col("ts") + F.make_dt_interval(mins=F.lit(15))
+    return lag.lag_stats(rows, ["partition"], "event_id", "ts", consumed)
 
 
 @query
@@ -465,7 +558,7 @@ def metric_stream(spark, sf_dir):
     points = streamed_events(spark, sf_dir).select("ts", F.col("event_type").alias("stream"), "value")
     stats = windows.metric_stream(points, ["stream"], HOUR)
     windows.latest_to_table(stats, f"{root}/table", f"{root}/checkpoint").awaitTermination()
-    return windows.read_latest(spark, f"{root}/table").select(
+    return windows.read_latest(spark, f"{root}/table", ["stream"]).select(
         "period", "stream", "datapoints", F.round("Average", DIGITS).alias("average"),
         F.round("Sum", DIGITS).alias("total"), F.col("Minimum").alias("lowest"), F.col("Maximum").alias("highest"),
     )
@@ -582,9 +675,8 @@ def metric_latest(spark, sf_dir):
     )
 
 
-def _catalogue_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _catalogue_points(spark: SparkSession, sf_dir: str, watched: list[tuple[str, str]]) -> DataFrame:
     """Events as datapoints of the watched metrics, dealt round-robin by id."""
-    watched = list(dict.fromkeys((s.namespace, s.metric_name) for s in metric_specs()))
 
     def pick(values: list[str]):
         options = ", ".join(f"'{value}'" for value in values)
@@ -603,7 +695,7 @@ def _catalogue_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_board(spark, sf_dir):
     """Every statistic of the metric catalogue."""
     specs = metric_table(spark, metric_specs())
-    board = metrics.metric_board(_catalogue_points(spark, sf_dir), specs, ["broker"])
+    board = metrics.metric_board(_catalogue_points(spark, sf_dir, watched_metrics()), specs, ["broker"])
     return board.withColumn("stat_value", F.round("stat_value", DIGITS))
 
 
@@ -617,7 +709,10 @@ def alarm_threshold(spark, sf_dir):
 
 @query
 def alarm_missing(spark, sf_dir):
-    filled = alarms.fill_periods(_hourly(spark, sf_dir, "Maximum"), ["stream"], HOUR)
+    events = tables.events(spark, sf_dir)
+    start, end = (events.agg(edge("ts")).scalar() for edge in (F.min, F.max))
+    ranged = alarms.over_range(_hourly(spark, sf_dir, "Maximum"), ["stream"], HOUR, start, end)
+    filled = alarms.fill_periods(ranged, ["stream"], HOUR)
     over = filled["stat"] > 80.0
     return filled.select(
         "stream",
@@ -653,7 +748,7 @@ def alarm_transitions(spark, sf_dir):
 @query
 def alarm_catalogue(spark, sf_dir):
     """The whole published alarm catalogue: periods per alarm, broker and state."""
-    states = alarms.evaluate_alarms(_catalogue_points(spark, sf_dir), alarm_specs(), ["broker"])
+    states = alarms.evaluate_alarms(_catalogue_points(spark, sf_dir, alarm_metrics()), alarm_specs(), ["broker"])
     return states.groupBy("alarm", "broker", "state").agg(F.count(F.lit(1)).alias("periods"))
 
 

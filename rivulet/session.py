@@ -60,9 +60,3 @@ def fixed_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFra
     names = [column.split()[0] for column in columns.split(",")]
     values = dict(zip(names, map(list, zip(*rows))))
     return spark.createDataFrame(pa.table(values), columns)
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -25,12 +25,20 @@ def replay(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
-    partition_filter: Column,
+    partitions: list[str],
+    wanted: Column,
     fmt: str = "parquet",
     files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Stream the partitions of a historical data set that match the filter; others are not read."""
-    reader = spark.readStream.format(fmt).schema(schema)
+    """Stream the partitions of a historical data set that match the filter.
+
+    The folders of the first of ``partitions`` are chosen before the stream starts, so others are
+    neither listed nor logged; the filter prunes what lies deeper. Without a match the stream is empty.
+    """
+    known = spark.read.format(fmt).schema(schema).load(path)
+    names = sorted(r[0] for r in known.where(wanted).select(F.col(partitions[0]).cast("string")).distinct().collect())
+    folders = ",".join(f"{partitions[0]}={name}" for name in names)
+    reader = spark.readStream.format(fmt).schema(schema).option("basePath", path)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path).where(partition_filter)
+    return reader.load(f"{path}/{{{folders}}}" if names else path).where(wanted)

@@ -77,9 +77,13 @@ def read_files(
 
 
 def register_tick_table(spark: SparkSession, messages: DataFrame, name: str = "stock_table") -> DataFrame:
-    """Bind JSON tick messages, batch or stream, to a SQL table with a watermark on event time."""
-    rows = decode_ticks(messages).where(F.col("error_type").isNull())
-    table = rows.select(
+    """Bind JSON tick messages, batch or stream, to a SQL table with a watermark on event time.
+
+    Messages that cannot be read are the rows of a second table, ``<name>_errors``.
+    """
+    rows = decode_ticks(messages)
+    rows.where(F.col("error_type").isNotNull()).createOrReplaceTempView(f"{name}_errors")
+    table = rows.where(F.col("error_type").isNull()).select(
         "ticker", "price", F.date_trunc("millisecond", "event_time").alias("event_time")
     ).withWatermark("event_time", WATERMARK_DELAY)
     table.createOrReplaceTempView(name)

@@ -18,15 +18,17 @@ def priced_rides(
 ) -> DataFrame:
     """The ride job's rows: decode, keep one type, re-key, sample, price.
 
-    Without a client the fare model runs as an expression. Unreadable rows are not priced.
+    Without a client the fare model runs as an expression. Rows that cannot be read or have no id are
+    not priced and keep their ``error_type``; priced rows have none.
     """
     wanted = messages if kind is None else enrich.only_type(messages, F.col("type"), kind)
     keyed = enrich.with_request_id(decode.decode_json(wanted, decode.RIDE_REQUEST))
-    good, _ = delivery.route_errors(keyed)
-    sampled = enrich.sample_mod(good, "ride_request_id")
+    sampled = enrich.sample_mod(keyed, "ride_request_id")
     if make_client is None:
         return enrich.price_natively(sampled)
-    return enrich.apply_response(enrich.enrich(sampled, make_client))
+    good, bad = delivery.route_errors(sampled)
+    answered = enrich.apply_response(enrich.enrich(good, make_client))
+    return answered.withColumn("error_type", F.lit(None).cast("string")).unionByName(bad)
 
 
 def ride_job(
@@ -37,7 +39,8 @@ def ride_job(
     kind: str | None = None,
     every_s: int | None = None,
 ) -> StreamingQuery:
-    """Priced rides of a stream as Parquet files, each once through the sink's commit log."""
+    """Priced rides of a stream, and its unreadable requests with their ``error_type``, as Parquet
+    files, each once through the sink's commit log."""
     trigger = {"availableNow": True} if every_s is None else {"processingTime": f"{every_s} seconds"}
     return (
         priced_rides(messages, make_client, kind)

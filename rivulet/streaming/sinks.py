@@ -38,17 +38,18 @@ def sink_ticks(
     checkpoint: str,
     every_s: int | None = COMMIT_INTERVAL_S,
     writers: int | None = None,
+    split: int = 1,
 ) -> StreamingQuery:
     """JSON files by (ticker, dt, hr), each record exactly once through the sink's commit log.
 
-    Without an interval the query takes what is there and ends. A task writes one file per partition
-    value it meets, which is few while records arrive roughly in time order. For input that is not,
-    ``writers`` gathers each partition value in that many tasks first; more than one keeps a hot
-    ticker from ending in a single task.
+    Without an interval the query takes what is there and ends. Each micro-batch is dealt out over
+    ``writers`` tasks (by default as many as the cluster has cores) by partition value, so a value has
+    one file per micro-batch, whatever the order of the input. ``split`` spreads each value over that
+    many tasks, for a ticker too hot for one.
     """
-    if writers:
-        salt = F.pmod(F.xxhash64("event_time", "price"), F.lit(writers))
-        ticks = ticks.repartition(*TICK_PARTITIONS, salt)
+    writers = writers or ticks.sparkSession.sparkContext.defaultParallelism
+    salt = F.pmod(F.xxhash64("event_time", "price"), F.lit(split))
+    ticks = ticks.repartition(writers, *TICK_PARTITIONS, salt)
     return (
         ticks.writeStream.format("json")
         .partitionBy(*TICK_PARTITIONS)
@@ -132,14 +133,9 @@ def archive_sink(
 
 
 def dynamic_partition_sink(
-    records: DataFrame, path: str, checkpoint: str, keys: list[str], retry_s: int = d.DEFAULT_RETRY_DURATION_S, **options
+    records: DataFrame, path: str, checkpoint: str, keys: list[str], **options
 ) -> StreamingQuery:
-    """``archive_sink`` with extracted keys as leading path parts.
-
-    ``retry_s`` is the time Spark may spend on a failing batch: it bounds the task attempts through
-    the job's own retry, so here it is only checked against its range.
-    """
-    d.within(retry_s, d.RETRY_DURATION_S, "retry duration")
+    """``archive_sink`` with extracted keys as leading path parts. Spark retries a failing batch."""
     return archive_sink(records, path, checkpoint, keys=keys, **options)
 
 

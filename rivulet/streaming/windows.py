@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from rivulet.operators.metrics import STATS
 from rivulet.sources.streams import WATERMARK_DELAY
@@ -24,11 +24,12 @@ def metric_stream(
 
 
 def latest_to_table(
-    stats: DataFrame, path: str, checkpoint: str, mode: str = "complete", every_s: int | None = None
+    stats: DataFrame, path: str, checkpoint: str, mode: str = "update", every_s: int | None = None
 ) -> StreamingQuery:
     """Write each micro-batch's statistics below ``path``, one folder per batch.
 
-    In complete mode the newest folder holds every period; in append mode all folders together do.
+    In update mode a batch holds the periods it changed, so state and output follow the open periods;
+    ``read_latest`` gives the newest row of each. In append mode all folders together are the table.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -43,17 +44,33 @@ def latest_to_table(
     )
 
 
-def read_latest(spark, path: str) -> DataFrame:
-    """The newest batch of a complete-mode table."""
+def read_latest(spark, path: str, keys: list[str]) -> DataFrame:
+    """The newest row per period and key of an update-mode table."""
     rows = spark.read.parquet(path)
-    newest = rows.agg(F.max("batch")).first()[0]
-    return rows.where(F.col("batch") == newest).drop("batch")
+    values = [c for c in rows.columns if c not in ("period", "batch", *keys)]
+    newest = rows.groupBy("period", *keys).agg(F.max_by(F.struct(*values), "batch").alias("__row"))
+    return newest.select("period", *keys, "__row.*")
 
 
-def dropped_as_late(query: StreamingQuery) -> list[int]:
-    """Rows dropped behind the watermark, per micro-batch that had state."""
-    return [
-        sum(op["numRowsDroppedByWatermark"] for op in progress["stateOperators"])
-        for progress in query.recentProgress
-        if progress["stateOperators"]
-    ]
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries dropped behind their watermark, over their whole life.
+
+    Add it with ``spark.streams.addListener``; ``dropped`` holds the counts by query id.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(state.numRowsDroppedByWatermark for state in event.progress.stateOperators)
+        name = str(event.progress.id)
+        self.dropped[name] = self.dropped.get(name, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -3,10 +3,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from rivulet.functions.fare import fare, fare_response, fare_status
+from rivulet.functions.fare import fare, fare_status
 from rivulet.functions.payload import encode_payload
 from rivulet.functions.times import parse_event_time
 from rivulet.operators import decode, enrich
+from tests.doubles import priced
 
 import pytest
 
@@ -29,6 +30,16 @@ def test_stream_envelope_without_data_is_an_error_row(spark):
     assert [(r.payload, r.error_type) for r in out] == [(None, "base64")]
 
 
+def test_envelopes_that_cannot_be_read_or_are_empty_stay_as_error_rows(spark):
+    texts = ["{bad", "{}", '{"Records":[]}', '{"records":{"t-0":[]}}', None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    for schema, explode in (
+        (decode.STREAM_ENVELOPE, decode.explode_stream_envelope), (decode.LOG_ENVELOPE, decode.explode_log_envelope)
+    ):
+        out = explode(decode.parse_envelope(rows, "body", schema).drop("eventSource")).collect()
+        assert sorted((r.id, r.position, r.error_type) for r in out) == [(k, None, "envelope") for k in range(5)]
+
+
 def test_log_envelope_of_three_records(spark):
     def record(partition, offset, text):
         return {"topic": "MyTopic", "partition": partition, "offset": offset, "timestamp": offset,
@@ -114,17 +125,17 @@ def test_extract_keys_takes_paths_only(spark, path):
 
 def test_fare_for_an_id_and_for_none(spark):
     row = spark.range(123, 124).select(fare(F.col("id")).alias("f"), fare_status(F.col("id")).alias("s")).first()
-    status, body = fare_response("123")
+    status, body = priced("123")
     assert (row.s, status) == (200, 200) and json.loads(body)["expected_fare"] == row.f
     for missing in (None, "0", "nan", ""):
-        assert fare_response(missing)[0] == 400
+        assert priced(missing)[0] == 400
     empty = spark.createDataFrame([(0.0,), (float("nan"),), (None,)], "id double")
     assert {tuple(r) for r in empty.select(fare_status(F.col("id")), fare(F.col("id"))).collect()} == {(400, None)}
 
 
 def test_fare_of_negative_id_matches_call(spark):
     row = spark.createDataFrame([(-7,)], "id bigint").select(fare(F.col("id"))).first()
-    assert json.loads(fare_response("-7")[1])["expected_fare"] == row[0]
+    assert json.loads(priced("-7")[1])["expected_fare"] == row[0]
 
 
 def test_request_without_trip_id_goes_to_errors(spark):

@@ -1,6 +1,5 @@
 import threading
 import time
-from concurrent.futures import ThreadPoolExecutor
 
 from rivulet.operators import enrich
 
@@ -18,8 +17,7 @@ def test_calls_overlap_up_to_capacity():
         return 200, value
 
     values = [str(i) for i in range(60)]
-    with ThreadPoolExecutor(100) as pool:
-        assert enrich.call_all(values, client, pool, 20, 30) == [(200, v) for v in values]
+    assert enrich.call_all(values, client, 20, 30) == [(200, v) for v in values]
     assert 1 < state["most"] <= 20
 
 
@@ -33,12 +31,25 @@ def test_overdue_call_answers_504_and_frees_its_slot():
             raise OSError("no route")
         return 200, value
 
-    pool = ThreadPoolExecutor(10)
-    answers = enrich.call_all(["slow", "slow", "a", "bad", "b"], client, pool, 2, 0.2)
+    answers = enrich.call_all(["slow", "slow", "a", "bad", "b"], client, 2, 0.2)
     release.set()
     assert answers == [(504, None), (504, None), (200, "a"), (500, "no route"), (200, "b")]
 
 
+def test_hung_calls_hold_nothing_up():
+    release = threading.Event()
+
+    def client(value):
+        if value.startswith("hung"):
+            release.wait(20)
+        return 200, value
+
+    requests = [f"hung{k}" for k in range(60)] + [str(k) for k in range(40)]
+    answers = enrich.call_all(requests, client, 20, 0.3)
+    release.set()
+    assert answers == [(504, None)] * 60 + [(200, str(k)) for k in range(40)]
+
+
 def test_enrich_keeps_rows_whole_and_apply_drops_failures(spark):
     rows = spark.createDataFrame(
         [(2**60 + 1, 1, "x"), (None, None, None), (3, 404, "y")], "big bigint, ride_request_id bigint, note string"

@@ -2,10 +2,10 @@ import json
 
 from pyspark.sql import functions as F
 
-from rivulet.functions.fare import fare_response
 from rivulet.operators import decode, delivery, packing
 from rivulet.sources import streams
 from rivulet.streaming import jobs, sinks
+from tests.doubles import priced
 
 
 def stream_of(spark, path, rows, schema):
@@ -36,10 +36,12 @@ def test_ride_job_with_and_without_a_client(spark, tmp_path):
     rows = [(json.dumps({"trip_id": i, "vehicle_id": 1}),) for i in (0, 20, 21, 40)]
     messages = stream_of(spark, str(tmp_path / "in"), [*rows, ("{bad",), ('{"vehicle_id":2}',)], "value string")
     found = []
-    for name, make_client in (("native", None), ("called", lambda: fare_response)):
+    for name, make_client in (("native", None), ("called", lambda: priced)):
         out = str(tmp_path / name)
         jobs.ride_job(messages, out, str(tmp_path / f"c{name}"), make_client).awaitTermination()
-        found.append(sorted((r.ride_request_id, r.trip_id, r.expected_fare) for r in spark.read.parquet(out).collect()))
+        rows = spark.read.parquet(out).collect()
+        found.append(sorted((r.ride_request_id, r.trip_id, r.expected_fare) for r in rows if not r.error_type))
+        assert sorted(r.error_type for r in rows if r.error_type) == ["json", "trip_id"]
     assert found[0] == found[1]
     assert [ride for ride, _, _ in found[0]] == [20, 40] and all(trip is None for _, trip, _ in found[0])
 

@@ -161,8 +161,31 @@ def test_catalogue_without_ratios(spark):
         F.create_map(F.lit("name"), F.col("stream")).alias("dims"), "value",
     )
     specs = [s for s in catalog.alarm_specs() if s.alarm in ("CpuUtilization", "HeapMemory")]
-    states = alarms.evaluate_alarms(df, specs, ["name"])
-    assert minutes(states.collect(), "alarm", "state") == [
-        (0, "CpuUtilization", "ALARM"), (1, "CpuUtilization", "OK"), (2, "CpuUtilization", "ALARM"),
-        (3, "CpuUtilization", "OK"),
+    states = alarms.evaluate_alarms(df, specs, ["name"]).collect()
+    assert minutes([r for r in states if r.alarm == "CpuUtilization"], "name", "state") == [
+        (0, "n", "ALARM"), (1, "n", "OK"), (2, "n", "ALARM"), (3, "n", "OK"),
     ]
+    # Its metric never came, and missing periods breach.
+    assert minutes([r for r in states if r.alarm == "HeapMemory"], "name", "state") == [
+        (m, None, "ALARM") for m in range(4)
+    ]
+
+
+def test_alarms_cover_the_common_range_and_silent_metrics(spark):
+    df = points(spark, [(0, 1.0, "a"), (9, 1.0, "a"), (4, 9.0, "b")]).select(
+        "ts", F.lit("n").alias("namespace"), F.lit("m").alias("metric_name"),
+        F.create_map(F.lit("stream"), F.col("stream")).alias("dims"), "value",
+    )
+    specs = [
+        catalog.AlarmSpec("Seen", "n", "m", "Maximum", 60, ">", 5.0, alarms.BREACHING),
+        catalog.AlarmSpec("Quiet", "n", "other", "Maximum", 60, ">", 5.0, alarms.NOT_BREACHING),
+        catalog.AlarmSpec("Lost", "n", "other", "Maximum", 300, ">", 5.0, alarms.BREACHING, 2),
+    ]
+    found = {}
+    for r in alarms.evaluate_alarms(df, specs, ["stream"]).collect():
+        found.setdefault((r.alarm, r.stream), {})[r.period.minute] = r.state
+    assert set(found) == {("Seen", "a"), ("Seen", "b"), ("Quiet", None), ("Lost", None)}
+    assert found["Seen", "b"] == dict.fromkeys(range(10), "ALARM")
+    assert [found["Seen", "a"][m] for m in range(10)] == ["OK"] + ["ALARM"] * 8 + ["OK"]
+    assert found["Quiet", None] == dict.fromkeys(range(10), "OK")
+    assert found["Lost", None] == {0: "OK", 5: "ALARM"}

@@ -13,8 +13,6 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
 ).split()
-# The hour-partitioned sink makes one file per ticker and hour, whatever the scale; see test_streaming.
-SLOW = {"partitioned_counts"}
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +38,7 @@ def test_entry(spark):
     assert contract.entry(spark).columns == ["event_time", "ticker", "price", "dt", "hr"]
 
 
-@pytest.mark.parametrize("name", sorted(set(REGISTRY) - SLOW))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query(spark, sf_dir, db, name):
     df = REGISTRY[name](spark, sf_dir)
     ours = normal(df.columns, [tuple(r) for r in df.collect()])

@@ -7,14 +7,6 @@ from pyspark.sql import functions as F
 from rivulet.operators import lag, metrics, ordered
 
 
-@pytest.fixture(autouse=True)
-def many_slices(spark):
-    """Small data would otherwise be coalesced into one slice."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-
-
 def skewed(spark, n=3000):
     """A third of the rows under one key, some under null; many equal values."""
     draw = random.Random(5)
@@ -33,9 +25,12 @@ def by_key(rows):
     return groups
 
 
-def test_running_max_before(spark):
+@pytest.mark.parametrize("slice_s", [1, 60, 7200])
+def test_running_max_before(spark, slice_s):
     rows, df = skewed(spark)
-    out = ordered.running_max_before(df, ["k"], ["at"], "value", "high")
+    # Half a minute a row, so that slices, days and ties in time all occur.
+    timed = df.withColumn("t", F.timestamp_seconds(F.floor(F.col("at") / 2) * 60 + 1_700_000_000))
+    out = ordered.running_max_before(timed, ["k"], "t", "at", "value", "high", slice_s)
     found = {r["at"]: r.high for r in out.collect()}
     expected = {}
     for values in by_key(rows).values():
@@ -46,40 +41,45 @@ def test_running_max_before(spark):
     assert found == expected
 
 
-def test_running_sum(spark):
-    rows, df = skewed(spark)
-    found = {r["at"]: r.total for r in ordered.running_sum(df, ["k"], ["at"], "value", "total").collect()}
-    expected = {}
-    for values in by_key(rows).values():
-        total = 0.0
-        for at, value in values:
-            total += value
-            expected[at] = total
-    assert found == expected
+def jobs_of(spark, build):
+    """How many jobs run while a plan is built."""
+    spark.sparkContext.setJobGroup("planning", "")
+    build()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning"))
 
 
-def test_hot_key_is_spread_over_slices(spark):
+def test_plans_are_built_without_running_jobs(spark):
     _, df = skewed(spark)
-    slices = ordered.sliced(df, ["k"], ["at"]).where(F.col("k") == "hot")
-    sizes = [r["count"] for r in slices.groupBy("slice").count().collect()]
-    assert len(sizes) >= 2 and max(sizes) < 1000
+    timed = df.withColumn("t", F.timestamp_seconds("at"))
+    assert jobs_of(spark, lambda: metrics.exact_percentile(df, ["k"], "value", 0.99, "p")) == 0
+    assert jobs_of(spark, lambda: lag.late_audit(timed, "k", "t", "t", "at", 3600)) == 0
 
 
-@pytest.mark.parametrize("largest", [10_000, 700, 0])
+@pytest.mark.parametrize("accuracy", [10_000, 50])
 @pytest.mark.parametrize("q", [0.99, 0.5, 0.0, 1.0])
-def test_percentile_is_the_same_by_either_way(spark, largest, q):
+def test_percentile_equals_the_built_in(spark, monkeypatch, accuracy, q):
+    monkeypatch.setattr(metrics, "SKETCH_ACCURACY", accuracy)
     rows, df = skewed(spark)
-    out = metrics.exact_percentile(df, ["k"], "value", q, "p", largest)
-    found = {r.k: r.p for r in out.collect()}
+    found = {r.k: r.p for r in metrics.exact_percentile(df, ["k"], "value", q, "p").collect()}
     assert found == {r.k: r.p for r in df.groupBy("k").agg(F.percentile("value", q).alias("p")).collect()}
     for key, values in by_key(rows).items():
         assert found[key] == pytest.approx(np.percentile([v for _, v in values], q * 100), abs=1e-9)
 
 
+def test_percentile_of_one_key_with_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "SKETCH_ACCURACY", 200)
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 50 > 0, "hot").otherwise("cold").alias("k"),
+        (F.xxhash64("id") % 100_000 / 7).alias("value"),
+    )
+    for q in (0.001, 0.37, 0.99):
+        found = {r.k: r.p for r in metrics.exact_percentile(df, ["k"], "value", q, "p").collect()}
+        assert found == {r.k: r.p for r in df.groupBy("k").agg(F.percentile("value", q).alias("p")).collect()}
+
+
 def test_percentile_ignores_nulls(spark):
     df = spark.createDataFrame([("a", None), ("a", 4.0), ("b", None)], "k string, value double")
-    for largest in (10, 0):
-        assert {r.k: r.p for r in metrics.exact_percentile(df, ["k"], "value", 0.99, "p", largest).collect()} == {"a": 4.0}
+    assert {r.k: r.p for r in metrics.exact_percentile(df, ["k"], "value", 0.99, "p").collect()} == {"a": 4.0}
 
 
 def test_late_flags_need_an_earlier_higher_mark(spark):

@@ -2,6 +2,7 @@ import glob
 import gzip
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,16 @@ def test_tick_sink_survives_restart_without_duplicates(spark, tmp_path, writers)
     assert set(os.listdir(out)) >= {"ticker=AAPL", "_spark_metadata"}
 
 
+def test_tick_sink_writes_with_several_tasks_and_one_file_per_value(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    tick_rows(spark, 3000).orderBy(F.xxhash64("event_time")).coalesce(1).write.parquet(source)
+    stream = sinks.with_dt_hr(sinks.hot_ticks(tick_files(spark, source)))
+    sinks.sink_ticks(stream, out, str(tmp_path / "cp"), None, 3).awaitTermination()
+    files = glob.glob(f"{out}/ticker=*/dt=*/hr=*/*.json")
+    assert len({os.path.dirname(f) for f in files}) == len(files)
+    assert len({os.path.basename(f).split("-")[1] for f in files}) == 3
+
+
 def test_streamed_files_match_batch(spark, sf_dir):
     out = REGISTRY["hot_ticks"](spark, sf_dir).where(F.col("dt") == "2024-01-05")
     root = workspace(spark, "t")
@@ -113,15 +124,46 @@ def test_objects_stay_below_the_buffer_size(spark, tmp_path, delimiter):
     files = glob.glob(f"{out}/p=x/*.txt")
     assert len(files) >= 3 and max(map(os.path.getsize, files)) <= 1024 * 1024
     text = "".join(open(f, encoding="utf-8").read() for f in files)
-    assert ("\n" in text) == delimiter
+    assert (text.count("\n") == 3000) if delimiter else (text.count("\n") == len(files))
     decoder, at, ids = json.JSONDecoder(), 0, []
     while at < len(text):
         item, at = decoder.raw_decode(text, at)
         ids.append(item["id"])
-        at += int(delimiter)
+        at += int(text[at : at + 1] == "\n")
     assert sorted(ids) == list(range(3000))
 
 
+def test_one_long_line_does_not_shrink_all_files_and_nulls_stay(spark, tmp_path):
+    rows = [("x", "y" * 3_000_000 if k == 700 else None if k == 5 else f"line {k}\n") for k in range(2000)]
+    lines = spark.createDataFrame(rows, "p string, line string").repartition(3)
+    out = str(tmp_path / "o")
+    delivery.write_objects(lines, out, ["p"], buffer_mb=1, compression="UNCOMPRESSED")
+    files = glob.glob(f"{out}/p=x/*.txt")
+    assert len(files) <= 12
+    written = "".join(open(f, encoding="utf-8").read() for f in files).split("\n")[:-1]
+    assert sorted(written) == sorted((line or "").removesuffix("\n") for _, line in rows)
+    none = spark.createDataFrame([("e", None)] * 3, "p string, line string")
+    delivery.write_objects(none, out, ["p"], compression="UNCOMPRESSED")
+    assert spark.read.text(f"{out}/p=e").count() == 3
+
+
+def test_state_follows_open_periods(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "ts timestamp, stream string, value double"
+    for hour in range(6):
+        spark.range(60).select(
+            F.timestamp_seconds(F.lit(1_704_067_200 + 3600 * hour) + F.col("id") * 60).alias("ts"),
+            F.lit("s").alias("stream"), F.lit(1.0).alias("value"),
+        ).coalesce(1).write.mode("append").parquet(source)
+    stats = windows.metric_stream(streams.read_files(spark, source, schema, files_per_trigger=1), ["stream"], 600)
+    query = windows.latest_to_table(stats, out, checkpoint)
+    query.awaitTermination()
+    rows = windows.read_latest(spark, out, ["stream"]).collect()
+    assert len(rows) == 36 and all(r.datapoints == 10 for r in rows)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= 13 and held[-1] <= 8
+
+
 @pytest.mark.parametrize("name, codec", [("GZIP", "gzip"), ("Snappy", "snappy"), ("HADOOP_SNAPPY", "snappy"), ("UNCOMPRESSED", "none")])
 def test_codecs(name, codec):
     assert delivery.codec(name) == codec
@@ -138,12 +180,6 @@ def test_buffer_bounds(spark, options):
         sinks.archive_sink(None, "o", "c", **options)
 
 
-@pytest.mark.parametrize("retry", [-1, 7201])
-def test_retry_bounds(retry):
-    with pytest.raises(ValueError):
-        sinks.dynamic_partition_sink(None, "o", "c", ["k"], retry)
-
-
 def test_fixed_records_per_object(spark, tmp_path):
     out = str(tmp_path / "o")
     delivery.write_fixed_count(spark.range(100), out, flush_size=10, tasks=2)
@@ -169,9 +205,13 @@ def test_replay_reads_only_matching_partitions(spark, tmp_path):
     path = str(tmp_path / "h")
     spark.range(60).select("id", (2016 + F.col("id") % 4).cast("int").alias("dropoff_year")).write.partitionBy("dropoff_year").parquet(path)
     schema = "id bigint, dropoff_year int"
-    stream = archive.replay(spark, path, schema, F.col("dropoff_year") == 2018, files_per_trigger=1)
+    stream = archive.replay(
+        spark, path, schema, ["dropoff_year"], F.col("dropoff_year") == 2018, files_per_trigger=1
+    )
     query = stream.writeStream.format("memory").queryName("replayed").trigger(availableNow=True).start()
     query.awaitTermination()
+    listed = sum(p["sources"][0]["numInputRows"] for p in query.recentProgress)
+    assert listed == 15, "other partitions do not reach the stream"
     assert {r.dropoff_year for r in spark.table("replayed").collect()} == {2018}
     assert spark.table("replayed").count() == 15
 
@@ -186,12 +226,22 @@ def test_late_rows_are_dropped_behind_the_watermark(spark, tmp_path):
 
     def run():
         stats = windows.metric_stream(streams.read_files(spark, source, schema), ["stream"], 60)
+        late = windows.LateRows()
+        spark.streams.addListener(late)
         query = windows.latest_to_table(stats, out, checkpoint, mode="append")
         query.awaitTermination()
-        return sum(windows.dropped_as_late(query))
+        deadline = time.time() + 20
+        while time.time() < deadline and not any(late.dropped.values()):
+            time.sleep(0.2 if done else 20)
+        spark.streams.removeListener(late)
+        return sum(late.dropped.values())
 
+    done = []
     add("2024-01-01 00:00:10", "2024-01-01 00:05:00")
-    assert run() == 0
+    windows.latest_to_table(
+        windows.metric_stream(streams.read_files(spark, source, schema), ["stream"], 60), out, checkpoint, mode="append"
+    ).awaitTermination()
+    done.append(True)
     # 00:00:20 is behind the watermark 00:04:55; 00:04:57 and 00:10:00 are not.
     add("2024-01-01 00:00:20", "2024-01-01 00:04:57", "2024-01-01 00:10:00")
     assert run() == 1
