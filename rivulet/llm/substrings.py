@@ -4,8 +4,8 @@ A text's units are its lines, cut further after sentences of at least ``LEAST_SE
 a line has units of its own. Units are normalised (words in A-Z lower case, white space between them dropped), and their
 128-bit digests are grouped over all documents; the document of the smallest doc_id, and in it the first place, keeps
 a unit. A run of neighbouring units that all have an earlier place goes if it holds at least ``LEAST_RUN`` words:
-sentences that recur by chance, or short stock lines, stay. Units of few words carry no digest; they follow their
-neighbours.
+sentences that recur by chance, or short stock lines, stay. A unit of few words is hashed together with the unit before
+it (the first of a text with the one behind it): it counts as repeated only in the same company.
 """
 
 from __future__ import annotations
@@ -53,17 +53,22 @@ def units(data: np.ndarray, offsets: np.ndarray):
     turned = words.mix(hashes + words.mix(place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7)))
     a = words.mix(np.add.reduceat(turned, head))
     b = words.mix(np.add.reduceat(words.mix(turned ^ np.uint64(0x5851F42D4C957F2D)), head))
-    return row[head], starts[head], ends[tail], count, a, b
+    owner, at = row[head], np.arange(len(head))
+    before, behind = np.maximum(at - 1, 0), np.minimum(at + 1, len(at) - 1)
+    near = np.where((owner[before] == owner) & (before < at), before, behind)
+    short = np.flatnonzero((count < LEAST_UNIT) & (owner[near] == owner) & (near != at))
+    together = [words.combine([d[near[short]], d[short]]) for d in (a, b)]
+    a[short], b[short] = together
+    return owner, starts[head], ends[tail], count, a, b
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, offsets in words.slices(batch.column("text")):
-            row, _, _, count, a, b = units(data, offsets)
-            # The first place of each digest in its row, among units of enough words.
+            row, _, _, _, a, b = units(data, offsets)
+            # The first place of each digest in its row.
             index = np.arange(len(row)) - np.searchsorted(row, row)
-            long = np.flatnonzero(count >= LEAST_UNIT)
-            order = long[np.lexsort((index[long], a[long], row[long]))]
+            order = np.lexsort((index, a, row))
             new = np.ones(len(order), dtype=bool)
             new[1:] = (a[order][1:] != a[order][:-1]) | (row[order][1:] != row[order][:-1])
             own = order[new]
@@ -92,18 +97,13 @@ def _removed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
                 s, e = bound[k], bound[k + 1]
                 holder = {x["unit"]: x["holder"] for x in found[low + k].as_py() or []}
                 own, size, first, keeper = a[s:e], count[s:e], {}, [None] * (e - s)
-                for u, (value, long) in enumerate(zip(own.tolist(), (size >= LEAST_UNIT).tolist())):
-                    if not long:
-                        continue
+                for u, value in enumerate(own.tolist()):
                     if value in first:
                         keeper[u] = holder.get(first[value], ids[low + k].as_py())
                     else:
                         first[value] = u
                         keeper[u] = holder.get(u)
                 repeated = np.array([x is not None for x in keeper], dtype=bool)
-                short = np.flatnonzero(size < LEAST_UNIT)
-                for u in short:
-                    repeated[u] = (u > 0 and repeated[u - 1]) or (u + 1 < len(size) and bool(repeated[u + 1]))
                 runs = _runs(repeated, size, least)
                 if not runs:
                     continue

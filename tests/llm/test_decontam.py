@@ -56,7 +56,7 @@ def test_lightly_edited_passages(spark):
 def test_simhashes_match_bit_counts():
     draw = np.random.default_rng(1)
     hashes = draw.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2) + draw.integers(0, 2, 500, dtype=np.uint64)
-    for size, stride in ((1, 1), (12, 4), (200, 50), (500, 3)):
+    for size, stride in ((1, 1), (12, 4), (200, 50), (254, 3)):
         got = decontam.simhashes(hashes, size, stride)
         assert len(got) == len(range(0, 500 - size + 1, stride))
         for at, value in zip(range(0, 500 - size + 1, stride), got.tolist()):
