@@ -135,15 +135,18 @@ def features(shares: dict[str, np.ndarray], hits: np.ndarray, bare: np.ndarray,
     return np.concatenate(rows), np.concatenate(indexes), np.concatenate(values)
 
 
-def agreement(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def agreement(
+    patterns: np.ndarray, counts: np.ndarray, balance: float | None = None, rounds: int = ROUNDS
+) -> np.ndarray:
     """Posterior probability of bad of each vote pattern, by expectation-maximisation.
 
     Votes are independent given the class; each labeller has its own probabilities of voting bad, good or nothing on
-    bad and on good documents. The start takes a pattern with a vote for bad as likely bad.
+    bad and on good documents. The start takes a pattern with a vote for bad as likely bad. ``balance`` fixes the share
+    of bad documents; without it, it is estimated too, which takes labellers that often judge the same documents.
     """
     bad = np.where((patterns == BAD).any(axis=1), 0.9, 0.05)
     for _ in range(rounds):
-        prior = (counts @ bad + 1) / (counts.sum() + 2)
+        prior = (counts @ bad + 1) / (counts.sum() + 2) if balance is None else balance
         odds = np.full(len(patterns), np.log(prior / (1 - prior)))
         for k in range(patterns.shape[1]):
             for vote in (GOOD, BAD, NONE):
@@ -155,6 +158,18 @@ def agreement(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
     return bad
 
 
+def posterior_labels(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Posterior of each pattern, with the annotators' share of bad documents as balance.
+
+    Without annotators nothing ties faults that never come together to one class; then a vote for bad decides.
+    """
+    by_annotator = patterns[:, LABELLERS.index("annotators")]
+    known = counts[by_annotator != NONE].sum()
+    if not known:
+        return agreement(patterns, counts, rounds=0)
+    return agreement(patterns, counts, float(np.clip(counts[by_annotator == BAD].sum() / known, 0.001, 0.999)))
+
+
 def trained(rows: np.ndarray, indexes: np.ndarray, values: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression on probabilities as labels, by AdaGrad over all rows; weights and intercept."""
     order = np.argsort(rows, kind="stable")
@@ -288,7 +303,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     )
     patterns = voted.groupBy(*LABELLERS).count().toArrow().to_pandas().sort_values(list(LABELLERS))
     table = patterns[list(LABELLERS)].to_numpy()
-    posterior = agreement(table, patterns["count"].to_numpy().astype(float)) if len(table) else np.zeros(0)
+    counts = patterns["count"].to_numpy().astype(float)
+    posterior = posterior_labels(table, counts) if len(table) else np.zeros(0)
     key = F.concat_ws("", *LABELLERS)
     bad = F.element_at(F.create_map(*(
         F.lit(x) for row, p in zip(table.tolist(), posterior.tolist()) for x in ("".join(map(str, row)), p)
