@@ -1,10 +1,12 @@
 """Repeated passages, found by hashing lines and the sentences within them.
 
-A text's units are its lines, cut further after sentences of at least ``LEAST_SENTENCE`` words, so that a passage inside
-a line has units of its own. Units are normalised (words in A-Z lower case, white space between them dropped), and their
+A text's units are its lines, cut further at the ends of sentences and after words that their hash picks (one in
+``ANCHORS``), where at least ``LEAST_PIECE`` words stand between two such places. The places depend on the words around
+them alone, so a passage inside a line has units of its own, the same wherever it stands. Units are normalised (words in A-Z lower case, white space between them dropped), and their
 128-bit digests are grouped over all documents; the document of the smallest doc_id, and in it the first place, keeps
-a unit. A run of neighbouring units that all have an earlier place goes if it holds at least ``LEAST_RUN`` words:
-sentences that recur by chance, or short stock lines, stay. A unit of few words is hashed together with the unit before
+a unit. A run of neighbouring units that all have an earlier place goes if it holds at least ``LEAST_RUN`` words, and
+``LEAST_SHARED`` of them are kept by one document: phrases that recur by chance, here and there, or short stock lines,
+stay. A unit of few words is hashed together with the unit before
 it (the first of a text with the one behind it): it counts as repeated only in the same company.
 """
 
@@ -18,9 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from rivulet.llm import words
 
-LEAST_SENTENCE = 4
+LEAST_PIECE = 4
+ANCHORS = 6
 LEAST_UNIT = 3
 LEAST_RUN = 20
+LEAST_SHARED = 12
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 REMOVED = (
@@ -42,13 +46,15 @@ def units(data: np.ndarray, offsets: np.ndarray):
     last[:-1] = newlines[starts[1:]] > newlines[ends[:-1]]
     last[:-1] |= row[1:] != row[:-1]
     last[-1] = True
-    sentence = last | _ENDS[data[ends - 1]]
-    at = np.flatnonzero(sentence)
+    hashes = words.hashes(words.lower_ascii(data), starts, ends)
+    stop = _ENDS[data[ends - 1]]
+    # Where every word ends like a sentence, such ends say nothing.
+    stop[1:] &= ~_ENDS[data[ends[:-1] - 1]]
+    at = np.flatnonzero(last | stop | (words.mix(hashes) % np.uint64(ANCHORS) == 0))
     length = np.diff(np.concatenate([[-1], at]))
-    tail = at[last[at] | (length >= LEAST_SENTENCE)]
+    tail = at[last[at] | (length >= LEAST_PIECE)]
     head = np.concatenate([[0], tail[:-1] + 1])
     count = tail - head + 1
-    hashes = words.hashes(words.lower_ascii(data), starts, ends)
     place = (np.arange(n) - np.repeat(head, count)).astype(np.uint64)
     turned = words.mix(hashes + words.mix(place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7)))
     a = words.mix(np.add.reduceat(turned, head))
@@ -79,10 +85,18 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["doc_id", "text_hash", "unit", "a", "b"])
 
 
-def _runs(repeated: np.ndarray, count: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """First and last unit of each run of repeated units with enough words."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]])))
-    return [(s, e - 1) for s, e in edge.reshape(-1, 2).tolist() if count[s:e].sum() >= least]
+def _runs(keeper: list[int | None], count: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """First and last unit of each run of repeated units with enough words, enough of them of one keeper."""
+    repeated = np.array([k is not None for k in keeper], dtype=np.int8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], repeated, [0]])))
+    out = []
+    for s, e in edge.reshape(-1, 2).tolist():
+        shared: dict[int, int] = {}
+        for k, n in zip(keeper[s:e], count[s:e].tolist()):
+            shared[k] = shared.get(k, 0) + n
+        if count[s:e].sum() >= least and max(shared.values()) >= min(least, LEAST_SHARED):
+            out.append((s, e - 1))
+    return out
 
 
 def _removed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -103,8 +117,7 @@ def _removed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
                     else:
                         first[value] = u
                         keeper[u] = holder.get(u)
-                repeated = np.array([x is not None for x in keeper], dtype=bool)
-                runs = _runs(repeated, size, least)
+                runs = _runs(keeper, size, least)
                 if not runs:
                     continue
                 whole = data[offsets[k] : offsets[k + 1]].tobytes()
