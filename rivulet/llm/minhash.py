@@ -10,9 +10,11 @@ pairs far more rarely; that is the only chance the method takes. Every pair that
 refuted on its full shingle sets, or is already in one class:
 
 1. Documents with equal word sequences are one representative (the smallest id), however many copies there are.
-2. In each band bucket all representatives are compared with the smallest one.
-3. Representatives of one bucket that are still in different classes are compared through their signatures, in blocks
-   of bounded size; those that could reach the threshold are confirmed. Pairs within a class are never made.
+2. In each band bucket all representatives are compared with ``CENTERS`` of them: the smallest id, and others that a
+   hash picks. This leaves most classes whole.
+3. Buckets that still hold different classes are dealt out in pairs of blocks of bounded size. A task compares what is
+   in different classes, by signature and size first and then on full shingle sets, and joins classes as it goes; it
+   returns no more links than it has documents. Pairs within a class, or that met in an earlier band, are not compared.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ THRESHOLD = 0.8
 PERMUTATIONS = 56
 ROWS = 4
 BLOCK = 512
+CENTERS = ("c0", "c1", "c2")
 SEED = 20240501
 SIGNED = "doc_id long, seq_a long, seq_b long, n_shingles long, bands array<long>, sketch binary"
 ROOM = 1 << 23
@@ -126,34 +129,49 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) ->
     )
 
 
-def _block_pairs(table: pa.Table, threshold: float) -> pa.Table:
-    """Pairs of one pair of blocks that may reach the threshold, are of different classes and are not yet compared.
+def _block_links(table: pa.Table, size: int, threshold: float) -> pa.Table:
+    """Links between the classes of one pair of blocks, as few as join what belongs together.
 
     Two sets at the threshold agree in that share of the signature rows on average; six standard deviations below it
-    is where a pair counts as refuted. Sizes alone refute more.
+    is where a pair counts as refuted. Sizes alone refute more. What is left is compared on full sets.
     """
-    home, away, same = (table.column(c)[0].as_py() for c in ("i", "j", "same"))
-    ids, kind = table.column("rep").to_numpy(), table.column("component").to_numpy()
-    count, block = table.column("n_shingles").to_numpy(), table.column("block").to_numpy()
+    home, away, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+    ids, block = table.column("rep").to_numpy(), table.column("block").to_numpy()
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+    bands = np.array(table.column("bands").to_pylist(), dtype=np.int64).reshape(len(ids), -1)[:, :band]
+    kind = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+    center = np.isin(ids, [table.column(c)[0].as_py() for c in CENTERS])
+    sets = []
+    for _, _, data, offsets in words.slices(table.column("text")):
+        hashes, first = words.word_hashes(data, offsets)
+        sets += [np.unique(words.shingles(hashes[s:e], size)) for s, e in zip(first[:-1], first[1:])]
+    count = np.array([len(own) for own in sets])
     rows = sketch.shape[1]
     least = threshold * rows - 6 * np.sqrt(threshold * (1 - threshold) * rows)
-    center = table.column("center")[0].as_py()
-    left, right = np.flatnonzero(block == home), np.flatnonzero(block == away)
+    left, right = np.flatnonzero((block == home) & ~center), np.flatnonzero((block == away) & ~center)
     us, vs = [], []
     for a in left:
-        others = right if not same else right[right > a]
-        others = others[(kind[others] != kind[a]) & (ids[others] != center) & (ids[a] != center)]
+        others = right if home != away else right[right > a]
+        others = others[kind[others] != kind[a]]
         low, high = np.minimum(count[others], count[a]), np.maximum(count[others], count[a])
         others = others[low >= threshold * high - 1e-9]
         others = others[(sketch[others] == sketch[a]).sum(axis=1) >= least]
-        us += np.minimum(ids[others], ids[a]).tolist()
-        vs += np.maximum(ids[others], ids[a]).tolist()
+        others = others[~(bands[others] == bands[a]).any(axis=1)]
+        for b in others[np.argsort(-(sketch[others] == sketch[a]).sum(axis=1), kind="stable")]:
+            if kind[b] == kind[a]:
+                continue
+            shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * shared >= round(100 * threshold) * (count[a] + count[b] - shared):
+                us.append(min(ids[a], ids[b]))
+                vs.append(max(ids[a], ids[b]))
+                kind[kind == kind[b]] = kind[a]
     return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
-def _rest(members: DataFrame, reps: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that share a bucket, are in different classes after the first round and have not been compared."""
+def _rest(
+    members: DataFrame, reps: DataFrame, texts: DataFrame, classes: DataFrame, size: int, threshold: float
+) -> DataFrame:
+    """Links between representatives that share a bucket and are in different classes after the first round."""
     placed = members.join(classes, members.rep == classes.u, "left").select(
         members["*"], F.coalesce("v", "rep").alias("component")
     )
@@ -163,15 +181,16 @@ def _rest(members: DataFrame, reps: DataFrame, classes: DataFrame, threshold: fl
     rows = placed.join(open_buckets, ["band", "bucket"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn(
         "block", F.pmod(F.xxhash64("rep", F.lit(SEED)), "blocks")
     )
+    known = reps.select("rep", "sketch", "bands").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     # Every block meets itself and each other block once; a row takes part in all meetings of its block.
-    mates = rows.join(reps.select("rep", "n_shingles", "sketch"), "rep").withColumn(
+    mates = rows.join(known, "rep").withColumn(
         "mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     ).select(
-        "band", "bucket", F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j"),
-        (F.col("block") == F.col("mate")).alias("same"), "block", "rep", "component", "n_shingles", "sketch", "center",
+        "band", "bucket", F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j"), "block", "rep",
+        "component", "sketch", "bands", "text", *CENTERS,
     )
     return mates.groupBy("band", "bucket", "i", "j").applyInArrow(
-        lambda table: _block_pairs(table, threshold), "u long, v long"
+        lambda table: _block_links(table, size, threshold), "u long, v long"
     ).distinct()
 
 
@@ -195,22 +214,27 @@ def near_duplicates(
         copies, (known.doc_id == copies.rep) & (known.seq_a == copies.seq_a) & (known.seq_b == copies.seq_b), "left_semi"
     ).dropDuplicates(["doc_id", "seq_a", "seq_b"]).withColumnRenamed("doc_id", "rep")
     banded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    shared = banded.groupBy("band", "bucket").agg(F.min("rep").alias("center"), F.count("*").alias("m")).where("m > 1")
+    picked = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(c) for k, c in enumerate(CENTERS[1:])]
+    shared = banded.groupBy("band", "bucket").agg(
+        F.min("rep").alias(CENTERS[0]), *picked, F.count("*").alias("m")
+    ).where("m > 1")
     members = written(banded.join(shared.drop("m"), ["band", "bucket"]).distinct(), "buckets")
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = written(
         docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").distinct(), "texts"
     )
-    pairs = members.where("rep <> center").select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct()
+    pairs = members.select("rep", F.explode(F.array_distinct(F.array(*CENTERS))).alias("center")).where(
+        "rep <> center"
+    ).select(F.least("rep", "center").alias("u"), F.greatest("rep", "center").alias("v")).distinct()
     several = known.join(copies, ["seq_a", "seq_b"]).groupBy("doc_id").agg(
         F.min("rep").alias("u"), F.collect_set("rep").alias("reps")
     ).where("size(reps) > 1").select("u", F.explode("reps").alias("v"))
     links = written(confirm(pairs, texts, shingle, threshold).unionByName(several), "confirmed")
     classes = components(links)
-    more = written(_rest(members, reps, classes, threshold), "candidates")
+    more = written(_rest(members, reps, texts, classes, shingle, threshold), "links")
     if not more.isEmpty():
         # The classes stand for the links of the first round.
-        classes = components(classes.unionByName(written(confirm(more, texts, shingle, threshold), "confirmed")))
+        classes = components(classes.unionByName(more))
     groups = copies.join(classes, copies.rep == classes.u, "left").select(
         "seq_a", "seq_b", F.coalesce("v", "rep").alias("group")
     )
