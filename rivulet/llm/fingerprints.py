@@ -33,9 +33,13 @@ PRINTED = (
 )
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A smaller number with the same remainder: 2^31 is 1 modulo the prime."""
+    return (x & _P) + (x >> _SHIFT)
+
+
 def _reduced(x: np.ndarray) -> np.ndarray:
-    x = (x & _P) + (x >> _SHIFT)
-    x = (x & _P) + (x >> _SHIFT)
+    x = _folded(_folded(x))
     return np.where(x >= _P, x - _P, x)
 
 
@@ -65,24 +69,25 @@ class Prefix:
         self.sums = []
         for powers in _POWERS:
             sums = np.zeros(self.n + 1, dtype=np.uint64)
-            np.cumsum(_reduced(codes * powers.upto(self.n)), out=sums[1:])
-            self.sums.append(_reduced(sums))
+            np.cumsum(_folded(codes * powers.upto(self.n)), out=sums[1:])
+            # Below 2^31 + 4; only hashes that are compared need to be reduced in full.
+            self.sums.append(_folded(_folded(sums)))
 
-    def spans(self, size: int, starts: np.ndarray | None = None) -> np.ndarray:
-        """62-bit hashes of the spans of ``size`` code points at ``starts`` (default: at every position)."""
+    def spans(self, size: int) -> np.ndarray:
+        """62-bit hashes of the spans of ``size`` code points at every position."""
         out = None
         for sums, inverse in zip(self.sums, _INVERSE):
-            back = inverse.upto(self.n + 1)
-            if starts is None:
-                part = sums[size:] + _P - sums[: self.n + 1 - size]
-                part = _reduced(_reduced(part) * back[: len(part)])
-            else:
-                part = _reduced(_reduced(sums[starts + size] + _P - sums[starts]) * back[starts])
+            part = _folded(sums[size:] + _P + _P - sums[: self.n + 1 - size])
+            part = _reduced(part * inverse.upto(self.n + 1)[: len(part)])
             out = part if out is None else (out << _SHIFT) | part
         return out
 
     def span(self, start: int, size: int) -> int:
-        return int(self.spans(size, np.array([start]))[0])
+        out = 0
+        for sums, inverse in zip(self.sums, _INVERSE):
+            back = inverse.upto(self.n + 1)
+            out = out << 31 | (int(sums[start + size]) - int(sums[start])) % PRIME * int(back[start]) % PRIME
+        return out
 
     def equal(self, start: int, other: Prefix, other_start: int, size: int) -> bool:
         """Whether two spans of the same size are equal."""
