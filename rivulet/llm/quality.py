@@ -26,7 +26,7 @@ from rivulet.llm.components import written
 LEXICON_SAMPLE = 40_000
 SAMPLE = 20_000
 LEXICON_SIZE = 5_000
-LEAST_EVIDENCE = 20.0
+LEAST_EVIDENCE = 25.0
 HASHED = 1 << 18
 ROUNDS = 50
 EPOCHS = 150
@@ -34,6 +34,7 @@ RATE = 0.5
 DECAY = 1e-5
 WORD_VALUE = 0.2
 THRESHOLD = 0.5
+ANCHOR = 5
 SEED = 9
 GOOD, BAD, NONE = 0, 1, 2
 LABELLERS = ("symbols", "shouting", "stutter", "repetition", "lexicon", "annotators")
@@ -161,13 +162,15 @@ def agreement(
 def posterior_labels(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Posterior of each pattern, with the annotators' share of bad documents as balance.
 
-    Without annotators nothing ties faults that never come together to one class; then a vote for bad decides.
+    Labelled documents count ``ANCHOR`` times in the estimates, for there the class is hardly in doubt. Without
+    annotators nothing ties faults that never come together to one class; then a vote for bad decides.
     """
     by_annotator = patterns[:, LABELLERS.index("annotators")]
     known = counts[by_annotator != NONE].sum()
     if not known:
         return agreement(patterns, counts, rounds=0)
-    return agreement(patterns, counts, float(np.clip(counts[by_annotator == BAD].sum() / known, 0.001, 0.999)))
+    balance = float(np.clip(counts[by_annotator == BAD].sum() / known, 0.001, 0.999))
+    return agreement(patterns, np.where(by_annotator != NONE, ANCHOR, 1) * counts, balance)
 
 
 def trained(rows: np.ndarray, indexes: np.ndarray, values: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
@@ -210,6 +213,7 @@ def _share_of(rows: DataFrame, key: str, bound: int) -> DataFrame:
 
 
 def _bare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct words with its mark, and its smallest word hash, which copies and near copies share."""
     for batch in batches:
         for low, high, data, offsets in words.slices(batch.column("text")):
             hashes, first = words.word_hashes(data, offsets, words.PUNCTUATION)
@@ -218,9 +222,14 @@ def _bare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, row = hashes[order], row[order]
             new = np.ones(len(hashes), dtype=bool)
             new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+            hashes, row = hashes[new], row[new]
+            turned, head = words.mix(hashes), np.flatnonzero(np.diff(row, prepend=-1))
+            least = np.minimum.reduceat(turned, head) if len(head) else turned
+            kin = np.repeat(least, np.diff(np.append(head, len(row))))
             toxic = batch.column("toxic").slice(low, high - low)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words.signed(hashes[new])), toxic.take(pa.array(row[new]))], ["word", "toxic"]
+                [pa.array(words.signed(hashes)), toxic.take(pa.array(row)), pa.array(words.signed(kin))],
+                ["word", "toxic", "kin"],
             )
 
 
@@ -228,17 +237,18 @@ def lexicon(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Hashes of words that occur in significantly more toxic than other labelled documents.
 
     The measure is the log-likelihood ratio of a word's documents between the classes; what chance gives among
-    millions of words stays below ``LEAST_EVIDENCE``.
+    millions of words stays below ``LEAST_EVIDENCE``. Copies and near copies count as one document: else every rare
+    word of a toxic text that is copied often would seem toxic.
     """
     chosen = _share_of(labels.where("toxic IS NOT NULL"), "doc_id", LEXICON_SAMPLE)
     rows = docs.select("doc_id", "text").join(chosen.select("doc_id", "toxic"), "doc_id")
-    numbers = chosen.agg(F.sum(F.col("toxic").cast("long")), F.count("*")).first()
+    found = rows.select("text", "toxic").mapInArrow(_bare_words, "word long, toxic boolean, kin long").distinct()
+    found = written(found, "labelled-words")
+    numbers = found.select("kin", "toxic").distinct().agg(F.sum(F.col("toxic").cast("long")), F.count("*")).first()
     toxic, other = float(numbers[0] or 0), float(numbers[1] - (numbers[0] or 0))
     if not toxic or not other:
         return np.zeros(0, dtype=np.uint64)
-    counted = rows.select("text", "toxic").mapInArrow(_bare_words, "word long, toxic boolean").groupBy("word").agg(
-        F.sum(F.col("toxic").cast("long")).alias("x"), F.count("*").alias("n")
-    )
+    counted = found.groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("x"), F.count("*").alias("n"))
     expected = F.col("n") * (toxic / (toxic + other))
     rest = F.greatest(F.col("n") - F.col("x"), F.lit(0.5))
     evidence = 2 * (
