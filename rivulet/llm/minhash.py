@@ -6,7 +6,7 @@ of their Jaccard similarity, and they vary less together than two minima would,
 a larger set. Bands hold rows of one end from different permutations.
 
 With ``ROWS`` = 4 and 28 bands a pair at the threshold of 0.8 meets in no band once in 2.6 million times, more similar
-pairs far more rarely; that is the only chance the method takes. Every pair that meets in a band ends up linked or
+pairs far more rarely. The only other chance is step 3's refutation by signature, six standard deviations off. Every pair that meets in a band ends up linked or
 refuted on its full shingle sets, or is already in one class:
 
 1. Documents with equal word sequences are one representative (the smallest id), however many copies there are.
