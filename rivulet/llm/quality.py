@@ -213,22 +213,27 @@ def _share_of(rows: DataFrame, key: str, bound: int) -> DataFrame:
 
 
 def _bare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's distinct words with its mark, and its smallest word hash, which copies and near copies share."""
+    """Each text's distinct words with its mark, and its smallest hash of three words, which copies and most near copies
+    share and hardly any other texts do."""
     for batch in batches:
         for low, high, data, offsets in words.slices(batch.column("text")):
             hashes, first = words.word_hashes(data, offsets, words.PUNCTUATION)
             row = np.repeat(np.arange(high - low), np.diff(first))
+            # Texts of fewer words go by the sequence as far as it reaches.
+            ahead = [np.where(np.append(row[k:], [-1] * min(k, len(row))) == row, np.roll(hashes, -k), 0) for k in range(3)]
+            kin = np.full(high - low, np.iinfo(np.uint64).max, dtype=np.uint64)
+            three = words.combine([part.astype(np.uint64) for part in ahead])
+            whole = np.append(row[2:], [-1] * min(2, len(row))) == row
+            whole |= (np.diff(first) < 3)[row]
+            np.minimum.at(kin, row[whole], three[whole])
             order = np.lexsort((hashes, row))
             hashes, row = hashes[order], row[order]
             new = np.ones(len(hashes), dtype=bool)
             new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
             hashes, row = hashes[new], row[new]
-            turned, head = words.mix(hashes), np.flatnonzero(np.diff(row, prepend=-1))
-            least = np.minimum.reduceat(turned, head) if len(head) else turned
-            kin = np.repeat(least, np.diff(np.append(head, len(row))))
             toxic = batch.column("toxic").slice(low, high - low)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words.signed(hashes)), toxic.take(pa.array(row)), pa.array(words.signed(kin))],
+                [pa.array(words.signed(hashes)), toxic.take(pa.array(row)), pa.array(words.signed(kin[row]))],
                 ["word", "toxic", "kin"],
             )
 
