@@ -10,7 +10,8 @@ window: shingles of five words, each weighing one over the number of items that
 similarity of at least 0.8.
 
 The benchmark is a query set that goes against all documents in blocks of a bounded size; only a block is ever sent
-to the executors. Documents are not shuffled.
+to the executors, with twelve bytes for each shingle that several items of the whole benchmark have, so that a weight
+does not depend on the blocks. Documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -65,10 +66,12 @@ def window_size(n: int) -> int:
 class Block:
     """The index of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int, threshold: float):
+    def __init__(
+        self, items: list[tuple[int, str]], shingle: int, threshold: float, common: tuple[np.ndarray, np.ndarray]
+    ):
         self.shingle, self.threshold = shingle, threshold
         self.ids, self.sizes, self.sets = [], [], []
-        by_size, rarity, all_words = defaultdict(list), Counter(), []
+        by_size, all_words = defaultdict(list), []
         for item_id, text in items:
             own = _words(pa.array([text or ""]))[0][0]
             if not len(own):
@@ -76,10 +79,9 @@ class Block:
             self.ids.append(item_id)
             self.sizes.append(len(own))
             self.sets.append(Counter(words.shingles(own, shingle).tolist()))
-            rarity.update(self.sets[-1].keys())
             all_words.append(own)
             by_size[window_size(len(own))].append(len(self.ids) - 1)
-        self.weight = {value: 1.0 / seen for value, seen in rarity.items()}
+        self.common, self.seen = common
         self.windows = []
         for size, members in sorted(by_size.items()):
             stride = min(self.sizes[m] for m in members) - size + 1
@@ -108,12 +110,21 @@ class Block:
                 found.update(zip(row[at[which]].tolist(), owner[target].tolist(), (at[which] - offset[target]).tolist()))
         return found
 
+    def weights(self, values: np.ndarray) -> np.ndarray:
+        """One over the number of items of the whole benchmark that have each shingle; 1 for shingles of no item."""
+        out = np.ones(len(values))
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, values), len(self.common) - 1)
+            own = self.common[at] == values
+            out[own] = 1.0 / self.seen[at[own]]
+        return out
+
     def similarity(self, item: int, window: np.ndarray) -> float:
-        """Weighted Jaccard similarity of the multisets of shingles; shingles of no item weigh 1."""
+        """Weighted Jaccard similarity of the multisets of shingles."""
         own = Counter(words.shingles(window, self.shingle).tolist())
         theirs, shared, total = self.sets[item], 0.0, 0.0
-        for value in own.keys() | theirs.keys():
-            weight = self.weight.get(value, 1.0)
+        values = sorted(own.keys() | theirs.keys())
+        for value, weight in zip(values, self.weights(np.array(values, dtype=np.uint64)).tolist()):
             shared += weight * min(own[value], theirs[value])
             total += weight * max(own[value], theirs[value])
         return shared / total if total else 0.0
@@ -168,6 +179,25 @@ def _hits(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.Record
         )
 
 
+def _item_shingles(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """The shingles of every item, each once an item."""
+    for batch in batches:
+        for hashes, first, low, high in _words(batch.column("text")):
+            own = [np.unique(words.shingles(hashes[first[k] : first[k + 1]], shingle)) for k in range(high - low)]
+            keys = np.concatenate([np.zeros(0, dtype=np.uint64), *own])
+            yield pa.RecordBatch.from_arrays([pa.array(words.signed(keys))], ["key"])
+
+
+def common_shingles(benchmark: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that several items of the whole benchmark have, sorted, and how many have each."""
+    rows = benchmark.select("item_id", "text").distinct()
+    keys = rows.mapInArrow(lambda batches: _item_shingles(batches, shingle), "key long")
+    found = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    values, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy().astype(np.int32)
+    order = np.argsort(values)
+    return values[order], n[order]
+
+
 def blocks(benchmark: DataFrame, size: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's rows in blocks of about ``size`` bytes of text."""
     rows = benchmark.select("item_id", "text").distinct()
@@ -189,9 +219,9 @@ def contaminated(
     shingle. Null and empty texts contain nothing, items without words are contained in nothing, and a null doc_id is
     carried as it is. Columns other than doc_id, item_id and text are not looked at. No rows on either side give none.
     """
-    spark, out = docs.sparkSession, None
+    spark, out, common = docs.sparkSession, None, common_shingles(benchmark, shingle)
     for items in blocks(benchmark, block_bytes):
-        block = spark.sparkContext.broadcast(Block(items, shingle, threshold))
+        block = spark.sparkContext.broadcast(Block(items, shingle, threshold, common))
         found = docs.select("doc_id", "text").mapInArrow(lambda batches, b=block: _hits(batches, b.value), HITS)
         out = found if out is None else out.unionByName(found)
     return out
@@ -202,7 +232,7 @@ def cleaned(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item, with their columns; nothing is shuffled."""
-    spark = docs.sparkSession
+    spark, common = docs.sparkSession, common_shingles(benchmark, shingle)
 
     def run(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,6 +245,6 @@ def cleaned(
             yield batch.filter(pa.array(~bad))
 
     for items in blocks(benchmark, block_bytes):
-        block = spark.sparkContext.broadcast(Block(items, shingle, threshold))
+        block = spark.sparkContext.broadcast(Block(items, shingle, threshold, common))
         docs = docs.mapInArrow(lambda batches, b=block: run(batches, b.value), docs.schema)
     return docs

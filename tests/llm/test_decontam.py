@@ -92,3 +92,18 @@ def test_odd_rows_and_no_rows(spark):
     assert decontam.contaminated(docs, bench.where("false")).count() == 0
     assert decontam.cleaned(docs, bench.where("false")).count() == len(rows)
     assert decontam.cleaned(docs, bench).count() == len(rows) - 3
+
+
+def test_weights_do_not_depend_on_the_blocks(spark):
+    shared, ends = prose(800, 56).rstrip("."), [prose(801 + k, 4).lower() for k in range(3)]
+    bench = items(spark, [(1, f"{shared} {ends[0]}"), (2, f"{shared} {ends[1]}")])
+    around = [prose(810 + k, 30) for k in range(2)]
+    docs = documents(spark, [(k, f"{around[0]} {shared} {end} {around[1]}") for k, end in ((1, ends[2]), (2, ends[0]))])
+
+    def found(size):
+        return {(r.doc_id, r.item_id, r.start): round(r.similarity, 9) for r in decontam.contaminated(docs, bench, block_bytes=size).collect()}
+
+    assert sum(1 for own in decontam.blocks(bench, 60) if own) > 1
+    # 52 shared shingles weigh a half each, the four of each ending 1.
+    assert found(1 << 20) == found(60) == {(2, 1, 30): 1.0}
+    assert [r.doc_id for r in decontam.cleaned(docs, bench, block_bytes=60).collect()] == [1]
