@@ -5,9 +5,13 @@ benchmark item, windows of about four fifths of its size are fingerprinted at ev
 hashes); document windows of the same size start every ``stride`` words, with ``stride`` so short that every passage
 of an item's size holds a whole window that starts at one of the item's offsets. A fingerprint is cut into four blocks
 of 16 bits, and the index holds each block's values within Hamming distance 1: two fingerprints within ``RADIUS`` = 7
-differ by at most 1 in some block, so no pair within the radius is missed. Candidates are confirmed on the item-sized
-window: shingles of five words, each weighing one over the number of items that have it, and a weighted Jaccard
-similarity of at least 0.8.
+differ by at most 1 in some block, so no pair within the radius is missed. An edit may move a fingerprint farther than
+that, so shorter windows are looked up as they are, too: at a similarity of 0.8 the edits leave a run of words between
+them whose least length follows from the item's size (``run_length``), and every such run holds a whole short window
+that starts at a multiple of its stride. Candidates are confirmed on the item-sized windows around the window that was
+found, at every offset: shingles of five words, each weighing one over the number of items that have it, and a weighted
+Jaccard similarity of at least 0.8. The run's length counts shingles alike; where a benchmark's weights differ much
+within an item, edits in its common parts cost less than that, and only the fingerprints are left to find it.
 
 The benchmark is a query set that goes against all documents in blocks of a bounded size; only a block is ever sent
 to the executors, with twelve bytes for each shingle that several items of the whole benchmark have, so that a weight
@@ -16,6 +20,7 @@ does not depend on the blocks. Documents are not shuffled.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -63,6 +68,23 @@ def window_size(n: int) -> int:
     return size
 
 
+def run_length(n: int, shingle: int, threshold: float) -> int:
+    """Words in a row that an item of n words surely shares with a window as similar to it as ``threshold``.
+
+    Each place where the shared shingles break costs at least shingle - 1 on both sides, so few breaks are possible.
+    """
+    own = min(shingle, n)
+    size, cost = n - own + 1, own - 1
+    most = int((1 - threshold) * size / (cost * (1 + threshold)) + 1e-9) if cost else 0
+    least = min((threshold * size + threshold * cost * j) / (j + 1) for j in {0, most})
+    return max(1, math.ceil(least - 1e-9)) + cost
+
+
+def probe_size(run: int) -> int:
+    """Size of the short windows for runs of that length; what is left over gives their stride."""
+    return next((size for least, size in ((20, 12), (12, 8), (8, 6)) if run >= least), max(1, run - 1))
+
+
 class Block:
     """The index of a block of benchmark items."""
 
@@ -71,7 +93,7 @@ class Block:
     ):
         self.shingle, self.threshold = shingle, threshold
         self.ids, self.sizes, self.sets = [], [], []
-        by_size, all_words = defaultdict(list), []
+        by_size, by_probe, all_words = defaultdict(list), defaultdict(list), []
         for item_id, text in items:
             own = _words(pa.array([text or ""]))[0][0]
             if not len(own):
@@ -81,35 +103,111 @@ class Block:
             self.sets.append(Counter(words.shingles(own, shingle).tolist()))
             all_words.append(own)
             by_size[window_size(len(own))].append(len(self.ids) - 1)
+            run = run_length(len(own), shingle, threshold)
+            by_probe[probe_size(run)].append((len(self.ids) - 1, run))
         self.common, self.seen = common
+        self.full = [
+            float(sum(w * c for w, c in zip(self.weights(np.array(list(own), dtype=np.uint64)).tolist(), own.values())))
+            for own in self.sets
+        ]
         self.windows = []
         for size, members in sorted(by_size.items()):
             stride = min(self.sizes[m] for m in members) - size + 1
             prints = [simhashes(all_words[m], size, 1) for m in members]
             owner = np.repeat(members, [len(p) for p in prints])
-            offset = np.concatenate([np.arange(len(p)) for p in prints])
-            self.windows.append((size, stride, np.concatenate(prints), owner, offset, _index(np.concatenate(prints))))
-
-    def candidates(self, hashes: np.ndarray, row: np.ndarray) -> set[tuple[int, int, int]]:
-        """(row, item, where the item would start) of windows within the radius of an item's window."""
+            self.windows.append((size, stride, np.concatenate(prints), owner, _index(np.concatenate(prints))))
+
+        self.probes = []
+        for size, members in sorted(by_probe.items()):
+            stride = min(run for _, run in members) - size + 1
+            keys = [np.unique(words.shingles(all_words[m], size)) for m, _ in members]
+            owner = np.repeat([m for m, _ in members], [len(k) for k in keys])
+            keys = np.concatenate(keys)
+            order = np.argsort(keys, kind="stable")
+            self.probes.append((size, stride, keys[order], owner[order]))
+
+    def candidates(self, hashes: np.ndarray, row: np.ndarray) -> set[tuple[int, int, int, int]]:
+        """(row, item, where a window starts, its size) of windows within the radius of an item's or equal to one."""
         found = set()
-        for size, stride, prints, owner, offset, index in self.windows:
+
+        def add(size, at, items):
+            found.update(zip(row[at].tolist(), items.tolist(), at.tolist(), [size] * len(at)))
+
+        def spread(hit, low, high):
+            count = high - low
+            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            return np.repeat(hit, count), np.repeat(low, count) + step
+
+        for size, stride, prints, owner, index in self.windows:
             own = simhashes(hashes, size, stride)
             at = np.arange(len(own)) * stride
             for k, (heads, values) in enumerate(index):
                 block = ((own >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)
-                count = heads[block + 1] - heads[block]
-                hit = np.flatnonzero((count > 0) & (row[at] == row[np.minimum(at + size - 1, len(row) - 1)]))
+                low, high = heads[block], heads[block + 1]
+                hit = np.flatnonzero((high > low) & (row[at] == row[np.minimum(at + size - 1, len(row) - 1)]))
                 if not len(hit):
                     continue
-                which = np.repeat(hit, count[hit])
-                step = np.arange(len(which)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
-                target = values[heads[block[which]] + step]
+                which, target = spread(hit, low[hit], high[hit])
+                target = values[target]
                 near = np.bitwise_count(own[which] ^ prints[target]) <= RADIUS
-                which, target = which[near], target[near]
-                found.update(zip(row[at[which]].tolist(), owner[target].tolist(), (at[which] - offset[target]).tolist()))
+                add(size, at[which[near]], owner[target[near]])
+        for size, stride, keys, owner in self.probes:
+            at = np.arange(0, len(hashes) - size + 1, stride)
+            if not len(at):
+                continue
+            own = words.combine([hashes[k : len(hashes) - size + 1 + k : stride] for k in range(size)])
+            low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
+            hit = np.flatnonzero((high > low) & (row[at] == row[at + size - 1]))
+            which, target = spread(hit, low[hit], high[hit])
+            add(size, at[which], owner[target])
         return found
 
+    def best(self, item: int, text: np.ndarray, found: list[tuple[int, int]]) -> tuple[float, int, int]:
+        """Similarity, start and words of the best window that holds a found one (start and size within the text).
+
+        Windows have the item's size, less what lies beyond the ends of the text; of equal ones the first is told.
+        """
+        n, own, theirs, best = self.sizes[item], min(self.shingle, self.sizes[item]), self.sets[item], (0.0, 0, 0)
+        spans = []
+        for low, high in sorted((at + size - n, at) for at, size in found):
+            if spans and low <= spans[-1][1] + 1:
+                spans[-1][1] = max(spans[-1][1], high)
+            else:
+                spans.append([low, high])
+        for low, high in spans:
+            base, end = max(low, 0), min(high + n, len(text))
+            if end - base < own:
+                continue
+            values = words.shingles(text[base:end], own)
+            weight, values = self.weights(values).tolist(), values.tolist()
+            have, shared, total = Counter(), 0.0, self.full[item]
+            first = last = 0
+            for start in range(low, high + 1):
+                to = max(0, min(start + n, len(text)) - own + 1 - base)
+                for k in range(last, to):
+                    value = values[k]
+                    if have[value] < theirs.get(value, 0):
+                        shared += weight[k]
+                    else:
+                        total += weight[k]
+                    have[value] += 1
+                last = max(last, to)
+                for k in range(first, max(start, 0) - base):
+                    value = values[k]
+                    have[value] -= 1
+                    if have[value] < theirs.get(value, 0):
+                        shared -= weight[k]
+                    else:
+                        total -= weight[k]
+                first = max(first, max(start, 0) - base)
+                if shared > (best[0] + 1e-9) * total:
+                    begin = max(start, 0)
+                    best = (shared / total, begin, min(start + n, len(text)) - begin)
+        if best[2]:
+            begin, size = best[1:]
+            best = (self.similarity(item, text[begin : begin + size]), begin, size)
+        return best
+
     def weights(self, values: np.ndarray) -> np.ndarray:
         """One over the number of items of the whole benchmark that have each shingle; 1 for shingles of no item."""
         out = np.ones(len(values))
@@ -160,17 +258,13 @@ def _hits(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.Record
             if not len(hashes):
                 continue
             row = np.repeat(np.arange(high - low), np.diff(first))
-            best = {}
-            for doc, item, start in block.candidates(hashes, row):
-                n = block.sizes[item]
-                begin, end = max(start, int(first[doc])), min(start + n, int(first[doc + 1]))
-                alike = block.similarity(item, hashes[begin:end])
+            found = defaultdict(list)
+            for doc, item, at, size in block.candidates(hashes, row):
+                found[doc, item].append((at - int(first[doc]), size))
+            for (doc, item), places in found.items():
+                alike, start, n = block.best(item, hashes[first[doc] : first[doc + 1]], places)
                 if alike >= block.threshold - 1e-9:
-                    best[(doc, item)] = max(
-                        best.get((doc, item), (0.0, 0, 0)), (alike, -(begin - int(first[doc])), end - begin)
-                    )
-            for (doc, item), (alike, minus, n) in best.items():
-                rows.append((ids[low + doc].as_py(), block.ids[item], -minus, n, alike))
+                    rows.append((ids[low + doc].as_py(), block.ids[item], start, n, alike))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(c), t) for c, t in zip(
                 list(zip(*rows)) or [()] * 5, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]

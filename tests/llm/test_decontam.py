@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from rivulet.llm import decontam
@@ -107,3 +109,42 @@ def test_weights_do_not_depend_on_the_blocks(spark):
     # 52 shared shingles weigh a half each, the four of each ending 1.
     assert found(1 << 20) == found(60) == {(2, 1, 30): 1.0}
     assert [r.doc_id for r in decontam.cleaned(docs, bench, block_bytes=60).collect()] == [1]
+
+
+def edited(draw, own):
+    """The words with some changed, left out, put in, or the last part put first."""
+    own = list(own)
+    for _ in range(draw.randint(1, max(1, len(own) // 36))):
+        at, kind = draw.randrange(len(own)), draw.randrange(8)
+        if kind < 5:
+            own[at] = f"x{draw.randrange(10**6)}"
+        elif kind == 5:
+            del own[at]
+        elif kind == 6:
+            own.insert(at, f"x{draw.randrange(10**6)}")
+        else:
+            own = own[at:] + own[:at]
+    return own
+
+
+def test_every_edited_passage_of_the_threshold_is_found():
+    draw, none = random.Random(3), (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32))
+    sizes = [3, 5, 8, 12, 20, 35, 50, 60, 100, 200]
+    texts = [[f"w{draw.randrange(20_000)}" for _ in range(n)] for n in sizes]
+    block = decontam.Block([(k, " ".join(own)) for k, own in enumerate(texts)], 5, 0.8, none)
+    alike = 0
+    for turn in range(400):
+        item = turn % len(sizes)
+        around = [[f"v{draw.randrange(20_000)}" for _ in range(draw.randrange(60))] for _ in range(2)]
+        text = " ".join([*around[0], *edited(draw, texts[item]), *around[1]])
+        (hashes, _, _, _), = decontam._words(decontam.pa.array([text]))
+        n = sizes[item]
+        want = max(block.similarity(item, hashes[max(s, 0) : s + n]) for s in range(1 - n, len(hashes)))
+        batch = decontam.pa.RecordBatch.from_pydict({"doc_id": [turn], "text": [text]})
+        got = {r["item_id"]: r["similarity"] for out in decontam._hits(iter([batch]), block) for r in out.to_pylist()}
+        if want >= 0.8:
+            alike += 1
+            assert abs(got[item] - want) < 1e-9
+        else:
+            assert item not in got
+    assert alike > 150
