@@ -5,8 +5,9 @@ A text's units are its lines, cut further at the ends of sentences and after wor
 them alone, so a passage inside a line has units of its own, the same wherever it stands. Units are normalised (words in A-Z lower case, white space between them dropped), and their
 128-bit digests are grouped over all documents; the document of the smallest doc_id, and in it the first place, keeps
 a unit. A run of neighbouring units that all have an earlier place goes if it holds at least ``LEAST_RUN`` words, and
-``LEAST_SHARED`` of them are kept by one document: phrases that recur by chance, here and there, or short stock lines,
-stay. A unit of few words is hashed together with the unit before
+``LEAST_SHARED`` of them are kept by one document or stand in units of which each two neighbours stand together in an
+earlier document, too: phrases that recur by chance, here and there, stay. Whole lines whose units stand together
+earlier go from ``LEAST_LINE`` words on; shorter stock lines stay outside of a longer run. A unit of few words is hashed together with the unit before
 it (the first of a text with the one behind it): it counts as repeated only in the same company.
 """
 
@@ -16,15 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rivulet.llm import words
+from rivulet.llm.components import written
 
 LEAST_PIECE = 4
 ANCHORS = 6
 LEAST_UNIT = 3
 LEAST_RUN = 20
 LEAST_SHARED = 12
+LEAST_LINE = 5
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 REMOVED = (
@@ -34,12 +37,12 @@ REMOVED = (
 
 
 def units(data: np.ndarray, offsets: np.ndarray):
-    """Of each unit: row, first and last byte, number of words, and two digests."""
+    """Of each unit: row, first and last byte, number of words, two digests, and whether it ends a line."""
     starts, ends, first = words.spans(data, offsets)
     n = len(starts)
     if not n:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64), none.astype(bool)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     newlines = np.concatenate([[0], np.cumsum(data == 10)])
     last = np.zeros(n, dtype=bool)
@@ -65,37 +68,60 @@ def units(data: np.ndarray, offsets: np.ndarray):
     short = np.flatnonzero((count < LEAST_UNIT) & (owner[near] == owner) & (near != at))
     together = [words.combine([d[near[short]], d[short]]) for d in (a, b)]
     a[short], b[short] = together
-    return owner, starts[head], ends[tail], count, a, b
+    return owner, starts[head], ends[tail], count, a, b, last[tail]
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, offsets in words.slices(batch.column("text")):
-            row, _, _, _, a, b = units(data, offsets)
-            # The first place of each digest in its row.
+            row, _, _, _, a, b, _ = units(data, offsets)
             index = np.arange(len(row)) - np.searchsorted(row, row)
-            order = np.lexsort((index, a, row))
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (a[order][1:] != a[order][:-1]) | (row[order][1:] != row[order][:-1])
-            own = order[new]
-            take = pa.array(low + row[own])
+            take = pa.array(low + row)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").cast(pa.int64()).take(take), batch.column("text_hash").take(take),
-                pa.array(index[own].astype(np.int32)), pa.array(words.signed(a[own])), pa.array(words.signed(b[own])),
+                pa.array(index.astype(np.int32)), pa.array(words.signed(a)), pa.array(words.signed(b)),
             ], ["doc_id", "text_hash", "unit", "a", "b"])
 
 
-def _runs(keeper: list[int | None], count: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """First and last unit of each run of repeated units with enough words, enough of them of one keeper."""
+def _shared(keeper: list[int], joined: list[bool], count: list[int]) -> int:
+    """Most words of a run that one document keeps, or that stand in units joined to their neighbours earlier.
+
+    ``joined`` tells of each unit but the last whether it stands earlier together with the next.
+    """
+    one: dict[int, int] = {}
+    most = chain = 0
+    for k, (holder, n) in enumerate(zip(keeper, count)):
+        one[holder] = one.get(holder, 0) + n
+        chain = chain + n if k and joined[k - 1] else n
+        most = max(most, chain)
+    return max(most, *one.values())
+
+
+def _runs(
+    keeper: list[int | None], joined: list[bool], count: np.ndarray, closes: np.ndarray, least: int
+) -> list[tuple[int, int]]:
+    """First and last unit of what goes: runs of repeated units with enough words, enough of them together earlier,
+    and of other runs the whole lines that stand together earlier."""
     repeated = np.array([k is not None for k in keeper], dtype=np.int8)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], repeated, [0]])))
-    out = []
+    out, size = [], count.tolist()
     for s, e in edge.reshape(-1, 2).tolist():
-        shared: dict[int, int] = {}
-        for k, n in zip(keeper[s:e], count[s:e].tolist()):
-            shared[k] = shared.get(k, 0) + n
-        if count[s:e].sum() >= least and max(shared.values()) >= min(least, LEAST_SHARED):
+        total = sum(size[s:e])
+        if total >= least and _shared(keeper[s:e], joined[s : e - 1], size[s:e]) >= min(least, LEAST_SHARED):
             out.append((s, e - 1))
+            continue
+        first = s if s == 0 or closes[s - 1] else None
+        for u in range(s, e):
+            if not closes[u]:
+                continue
+            if first is not None:
+                n, alone = sum(size[first : u + 1]), len(set(keeper[first : u + 1])) == 1
+                if n >= min(least, LEAST_LINE) and (alone or all(joined[first:u])):
+                    if out and out[-1][1] == first - 1:
+                        out[-1] = (out[-1][0], u)
+                    else:
+                        out.append((first, u))
+            first = u + 1
     return out
 
 
@@ -105,19 +131,22 @@ def _removed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
     for batch in batches:
         ids, found, rows = batch.column("doc_id"), batch.column("earlier"), []
         for low, high, data, offsets in words.slices(batch.column("text")):
-            row, start, end, count, a, _ = units(data, offsets)
+            row, start, end, count, a, _, closes = units(data, offsets)
             bound = np.searchsorted(row, np.arange(high - low + 1))
             for k in range(high - low):
                 s, e = bound[k], bound[k + 1]
-                holder = {x["unit"]: x["holder"] for x in found[low + k].as_py() or []}
-                own, size, first, keeper = a[s:e], count[s:e], {}, [None] * (e - s)
-                for u, value in enumerate(own.tolist()):
-                    if value in first:
-                        keeper[u] = holder.get(first[value], ids[low + k].as_py())
-                    else:
-                        first[value] = u
-                        keeper[u] = holder.get(u)
-                runs = _runs(keeper, size, least)
+                earlier = found[low + k].as_py() or []
+                holder = {x["unit"]: x["holder"] for x in earlier if x["holder"] is not None}
+                together = {x["unit"] for x in earlier if x["joined"]}
+                own, size, first, keeper = a[s:e].tolist(), count[s:e], set(), [None] * (e - s)
+                pairs, joined = set(), [False] * (e - s)
+                for u, value in enumerate(own):
+                    keeper[u] = holder.get(u, ids[low + k].as_py() if value in first else None)
+                    first.add(value)
+                    pair = (value, own[u + 1]) if u + 1 < len(own) else None
+                    joined[u] = u in together or pair in pairs
+                    pairs.add(pair)
+                runs = _runs(keeper, joined, size, closes[s:e], least)
                 if not runs:
                     continue
                 whole = data[offsets[k] : offsets[k + 1]].tobytes()
@@ -158,8 +187,24 @@ def repeats_removed(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     holders = digests.groupBy("a", "b").agg(
         F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")
     ).where("holder <> last").drop("last")
-    earlier = digests.join(holders, ["a", "b"]).where("doc_id <> holder").groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("unit", "holder")).alias("earlier")
+    # Only repeated units can have repeated neighbours; the smallest doc_id keeps a pair as it keeps a unit.
+    repeated = written(digests.join(holders, ["a", "b"]), "repeated")
+    place = Window.partitionBy("doc_id", "text_hash").orderBy("unit")
+    following = F.when(F.lead("unit").over(place) == F.col("unit") + 1, F.struct(F.lead("a").over(place), F.lead("b").over(place)))
+    # Equal rows of a document have each place twice; one is enough.
+    once = repeated.dropDuplicates(["doc_id", "text_hash", "unit"]).withColumn("next", following)
+    marked = written(once.select(
+        "doc_id", "text_hash", "unit", "holder", F.when(F.col("next").isNotNull(), F.xxhash64("a", "b", "next")).alias("pair")
+    ), "marked")
+    pairs = marked.where("pair IS NOT NULL").groupBy("pair").agg(
+        F.min("doc_id").alias("pair_holder"), F.max("doc_id").alias("pair_last")
+    ).where("pair_holder <> pair_last").drop("pair_last")
+    single = marked.where("doc_id <> holder").select("doc_id", "text_hash", "unit", "holder", F.lit(False).alias("joined"))
+    double = marked.join(pairs, "pair").where("doc_id <> pair_holder").select(
+        "doc_id", "text_hash", "unit", F.lit(None).cast("long").alias("holder"), F.lit(True).alias("joined")
+    )
+    earlier = single.unionByName(double).groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.struct("unit", "holder", "joined")).alias("earlier")
     )
     joined = rows.join(earlier, ["doc_id", "text_hash"], "left").select("doc_id", "text", "earlier")
     return joined.mapInArrow(lambda batches: _removed(batches, least_run), REMOVED)

@@ -56,3 +56,22 @@ def test_odd_texts_nulls_repeats_and_no_rows(spark):
     assert sorted(r.doc_id for r in got) == [101, 101]
     assert {tuple(r.kept_in) for r in got} == {(100,)}
     assert substrings.repeats_removed(docs.where("false")).count() == 0
+
+
+def test_lines_and_passages_whose_lines_have_other_keepers(spark):
+    lines = [prose(900 + k, 7).replace("\n", " ") for k in range(12)]
+    rows = [(k, f"{prose(k, 40)}\n{line}\n{prose(50 + k, 40)}") for k, line in enumerate(lines)]
+    passage = "\n".join(lines)
+    rows += [(20 + k, f"{prose(100 + k, 40)}\n{passage}\n{prose(150 + k, 40)}") for k in range(2)]
+    rows += [(30, prose(200, 40) + "\n" + lines[5] + "\n" + prose(250, 40))]
+    got = by_id(substrings.repeats_removed(documents(spark, rows)).collect())
+    assert set(got) == {20, 21, 30}
+    assert got[21].n_removed == 84 and passage not in got[21].text and len(got[21].removed) == 1
+    assert got[30].n_removed == 7 and got[30].kept_in == [5]
+
+
+def test_joined_units_count_as_shared():
+    keeper, size = list(range(6)), substrings.np.full(6, 4)
+    closes = substrings.np.zeros(6, dtype=bool)
+    assert substrings._runs(keeper, [True] * 5 + [False], size, closes, 20) == [(0, 5)]
+    assert substrings._runs(keeper, [False, True] * 3, size, closes, 20) == []
