@@ -3,7 +3,7 @@
 A document's key is ``-ln(u) / weight`` with u drawn by hashing its id, so better documents tend to come first and
 every run draws the same. A source's token budget first takes whole epochs of the source; the rest goes to documents
 in the order of their keys, as far as the running sum of their sizes stays within it. Room left by a document that did
-not fit goes, in the same order, to later ones that do.
+not fit goes, in the same order, to later ones that do, until no document that is left out fits.
 
 The running sum is kept apart by source and by slices of the key: slices are summed first, and only the slice in which
 a budget ends is put in order, so that no source is gathered in one task.
@@ -23,7 +23,6 @@ from rivulet.llm.components import written
 MOST_REPEATS = 3
 WEIGHTS = (1.0, 2.0, 3.0)
 SLICE_ROWS = 4096
-FILLS = 3
 SEED = 11
 SYMBOLS = np.zeros(256, dtype=np.uint8)
 SYMBOLS[[ord(c) for c in "#$%&*|~^<>{}!"]] = 1
@@ -108,12 +107,12 @@ def _fill(rows: DataFrame, left: Column) -> DataFrame:
 
 
 def mixture(
-    rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, fills: int = FILLS
+    rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS
 ) -> DataFrame:
     """doc_id, source, text_hash, size, source_size, target, taken and copies for rows of doc_id, source, text_hash, size, weight.
 
     ``taken`` is size x copies; a document is taken at most ``most`` times. A source's taken words fall short of its
-    target by less than the smallest document that was left out after the last fill, and never exceed it. Rows without
+    target by less than the smallest document that was left out and one word, and never exceed it. Rows without
     words are taken as often as their source's epochs. Null or non-positive weights count as the smallest positive
     weight, rows that repeat a document are documents of their own, ties in the key go by id, then text. Each null
     source row belongs to the one null source. No rows give no rows.
@@ -133,8 +132,10 @@ def mixture(
         "chosen", F.lit(False)
     )
     room = F.col("epochs") < most
-    for _ in range(fills):
-        state = state.withColumn("want", room & ~F.col("chosen") & (F.col("size") > 0) & (F.col("size") <= F.col("rest")))
+    fitting = room & ~F.col("chosen") & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
+    # The first fitting document is always taken, so every round leaves less room.
+    while not state.where(fitting).isEmpty():
+        state = state.withColumn("want", fitting)
         state = written(_fill(state, F.col("rest")), "fill")
         used = state.where("fits").groupBy("source").agg(F.sum("size").alias("used")).withColumnRenamed("source", "s")
         state = state.join(used, state.source.eqNullSafe(used.s), "left").withColumn(

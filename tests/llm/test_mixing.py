@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from rivulet.llm import mixing
@@ -80,3 +81,16 @@ def test_nulls_repeats_ties_and_no_rows(spark):
     assert mixing.mixed(docs.where("false")).count() == 0
     only_empty = documents(spark, [(1, "", "s"), (2, None, "t")])
     assert [r.taken for r in mixing.mixture(mixing.measured(only_empty)).collect()] == [0, 0]
+
+
+def test_no_document_that_is_left_out_fits(spark):
+    draw = random.Random(5)
+    rows = [(k, f"s{k % 6}", k, int(draw.lognormvariate(3, 2)) + 1, 1.0) for k in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text_hash long, size long, weight double")
+    got = mixing.mixture(table).collect()
+    for source in {r[1] for r in rows}:
+        own = [r for r in got if r.source == source]
+        room = own[0].target - sum(r.taken for r in own)
+        least = min(r.copies for r in own)
+        if least < mixing.MOST_REPEATS:
+            assert -1e-6 <= room < min(r["size"] for r in own if r.copies == least) + 1
