@@ -1,7 +1,7 @@
 """Tell the language of texts by multinomial naive Bayes over hashed character n-grams.
 
-Every text gives its n-grams of 1 to ``LONGEST`` code points, A-Z in lower case and white space as one blank at each
-end of a word; each is hashed into one of ``bins``. Training adds the n-grams up by language in Spark; the log
+Every text gives its n-grams of 1 to ``LONGEST`` code points, A-Z in lower case and white space as one blank; each is
+hashed into one of ``bins``. Training adds the n-grams up by language in Spark; the log
 probabilities, smoothed by ``ADDED``, form one matrix of languages by bins, whose size does not depend on the corpus,
 and which every task gets. Scoring counts each text's bins once (a sparse row) and adds the matrix columns times the
 counts.
@@ -29,6 +29,7 @@ ADDED = 0.5
 UNKNOWN = "und"
 SLICE_BYTES = 1 << 19
 BLANK = 32
+_ODD, _SPREAD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 LETTER = r"\p{L}"
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -57,33 +58,44 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and row of every n-gram of the rows."""
+    """Bin and row of every n-gram of the rows; ``bins`` is a power of two."""
     points, first = code_points(words.lower_ascii(data), offsets)
-    # One blank before, after and between the words of a row.
-    gap = np.zeros(len(points), dtype=bool)
-    low = points < 33
-    gap[low] = words.SPACE[points[low]]
-    gap[1:] &= ~(gap[1:] & gap[:-1])
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    keep = ~(low & words.SPACE[np.minimum(points, 255)]) | gap
-    points, row = np.where(gap, BLANK, points)[keep], row[keep]
-    if not len(points):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    edge = np.flatnonzero(np.diff(row)) + 1
-    points = np.insert(points, edge, BLANK)
-    row = np.insert(row, edge, row[edge])
-    points = np.concatenate([[BLANK], points, [BLANK]]).astype(np.uint64)
-    row = np.concatenate([row[:1], row, row[-1:]])
-    found, owner = [], []
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint32), np.diff(first))
+    # Only the first of several white spaces stays, as a blank.
+    gap = words.SPACE[np.minimum(points, 255)]
+    keep = ~gap
+    keep[:1] = True
+    keep[1:] |= ~gap[:-1]
+    points[gap] = BLANK
+    points, row = points[keep], row[keep]
+    shift = np.uint32(32 - bins.bit_length() + 1)
+    hashes, found, owner = points * _ODD, [], []
     for size in range(1, LONGEST + 1):
-        own = row[: len(row) - size + 1] if size > 1 else row
-        inside = own == row[size - 1 :]
-        hashes = words.combine([points[k : len(points) - size + 1 + k] for k in range(size)])
-        found.append((hashes[inside] & np.uint64(bins - 1)).astype(np.int64))
-        owner.append(own[inside])
+        own = row
+        if size > 1:
+            hashes = (hashes[:-1] ^ points[size - 1 :]) * _ODD
+            hashes ^= hashes >> np.uint32(15)
+            own = row[: len(hashes)]
+        number = (hashes * _SPREAD) >> shift
+        if size > 1:
+            inside = own == row[size - 1 :]
+            number, own = number[inside], own[inside]
+        found.append(number)
+        owner.append(own)
     return np.concatenate(found), np.concatenate(owner)
 
 
+def sparse(number: np.ndarray, row: np.ndarray, rows: int, bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table of rows by bins as row, bin and count of its entries that are not zero."""
+    kind = np.uint32 if rows * bins < 1 << 32 else np.uint64
+    keys = row.astype(kind) * kind(bins) + number
+    keys.sort()
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    at = np.flatnonzero(new)
+    return keys[at] // kind(bins), keys[at] % kind(bins), np.diff(np.append(at, len(keys)))
+
+
 def _counted(batches: Iterator[pa.RecordBatch], bins: int) -> Iterator[pa.RecordBatch]:
     """language, bin, n: the n-grams of a task's texts, added up as long as they fit the largest matrix."""
 
@@ -102,12 +114,12 @@ def _counted(batches: Iterator[pa.RecordBatch], bins: int) -> Iterator[pa.Record
             if len(known) * bins >= LARGEST_MATRIX:
                 yield flush()
                 known, total = {}, np.zeros((8, bins), dtype=np.int64)
-            own = np.array([known.setdefault(lang, len(known)) for lang in langs[low:high]])
+            own = np.array([known.setdefault(lang, len(known)) for lang in langs[low:high]], dtype=np.int64)
             if len(known) > len(total):
                 total = np.concatenate([total, np.zeros((len(known), bins), dtype=np.int64)])
             number, row = grams(data, offsets, bins)
-            values, counts = np.unique(own[row] * bins + number, return_counts=True)
-            total[values // bins, values % bins] += counts
+            for lang in np.unique(own).tolist():
+                total[lang] += np.bincount(number[(own == lang)[row]], minlength=bins)
     if known:
         yield flush()
 
@@ -136,8 +148,7 @@ def _posterior(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     """Probability of each language for each row."""
     rows, bins = len(offsets) - 1, model.logs.shape[1]
     number, row = grams(data, offsets, bins)
-    values, counts = np.unique(row * bins + number, return_counts=True)
-    row, number = values // bins, values % bins
+    row, number, counts = sparse(number, row, rows, bins)
     total = np.stack([np.bincount(row, counts * logs[number], rows) for logs in model.logs], 1) + model.prior
     total -= total.max(1, keepdims=True)
     odds = np.exp(total)
