@@ -29,7 +29,13 @@ TIME_PREFIX = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH"}
 
 DELIVERED, LOST = "delivered", "lost"
 
+# Seconds that a failing delivery is tried again.
+RETRY_S = (0, 7200)
+
 PutClient = Callable[[list[str]], list[str | None]]
+# Takes a batch whole; raises if it cannot.
+Process = Callable[[list[str]], None]
+Tried = tuple[list[int], list[str | None]]
 
 
 def random_backoff() -> float:
@@ -39,39 +45,86 @@ def random_backoff() -> float:
 def put_with_retry(
     lines: list[str],
     client: PutClient,
-    retries: int = MAX_RETRIES,
+    retries: int | None = MAX_RETRIES,
     backoff: Callable[[], float] = random_backoff,
-) -> tuple[list[int], list[str | None]]:
+    retry_s: float | None = None,
+    clock: Callable[[], float] = time.monotonic,
+) -> Tried:
     """Put one batch; attempts and last error per record, the error being null once delivered.
 
     The client answers one error code (or None) per record. Only records that failed with the
-    retryable error are sent again, and never an empty batch.
+    retryable error are sent again, and never an empty batch: ``retries`` times at most, and not after
+    ``retry_s`` seconds since the first put. Either bound may be None, but not both.
     """
+    if retries is None and retry_s is None:
+        raise ValueError("retries need a bound")
+    if retry_s is not None:
+        within(retry_s, RETRY_S, "retry duration")
+    began, attempt = clock(), 1
     errors = list(client(lines))
     if len(errors) != len(lines):
         raise ValueError("the client must answer for every record")
     attempts = [1] * len(lines)
     pending = [i for i, error in enumerate(errors) if error == RETRYABLE]
-    for attempt in range(2, retries + 2):
-        if not pending:
+    while pending and (retries is None or attempt <= retries):
+        pause = backoff()
+        if retry_s is not None and clock() + pause - began > retry_s:
             break
-        time.sleep(backoff())
+        time.sleep(pause)
+        attempt += 1
         for i, error in zip(pending, client([lines[i] for i in pending]), strict=True):
             attempts[i], errors[i] = attempt, error
         pending = [i for i in pending if errors[i] == RETRYABLE]
     return attempts, errors
 
 
+def process_bisecting(
+    lines: list[str],
+    process: Process,
+    retries: int = MAX_RETRIES,
+    backoff: Callable[[], float] = random_backoff,
+) -> Tried:
+    """Have one batch processed; attempts and last error per record, the error being null once done.
+
+    A batch that fails is cut in two, the earlier half first, and each half is tried by itself, down to
+    single records; only a failing single record is tried again, ``retries`` times. So a record is
+    tried at most ``1 + ceil(log2(n)) + retries`` times, records keep their order, and one bad record
+    costs about two calls per halving. Records of a failing batch may have been processed in part:
+    processing must stand repetition.
+    """
+    attempts, errors = [0] * len(lines), [None] * len(lines)
+    ranges = [(0, len(lines))] if lines else []
+    while ranges:
+        low, high = ranges.pop()
+        tries = 1 + (retries if high - low == 1 else 0)
+        for again in range(tries):
+            if again:
+                time.sleep(backoff())
+            for i in range(low, high):
+                attempts[i] += 1
+            try:
+                process(lines[low:high])
+            except Exception as problem:
+                failed = f"{type(problem).__name__}: {problem}"
+            else:
+                failed = None
+                break
+        if failed is not None and high - low > 1:
+            middle = (low + high) // 2
+            ranges += [(middle, high), (low, middle)]
+        elif failed is not None:
+            errors[low] = failed
+    return attempts, errors
+
+
 def put_batches(
     batches: Iterator[pa.RecordBatch],
-    client: PutClient,
+    attempt: Callable[[list[str]], Tried],
     batch: list[str],
     keep: list[str],
     line: str,
-    retries: int,
-    backoff: Callable[[], float],
 ) -> Iterator[pa.RecordBatch]:
-    """Put every run of rows with the same ``batch`` columns; the last run may go on in the next
+    """Attempt every run of rows with the same ``batch`` columns; the last run may go on in the next
     Arrow batch and is held back until it is whole."""
     names = [*batch, *keep]
 
@@ -80,7 +133,7 @@ def put_batches(
         attempts: list[int] = []
         errors: list[str | None] = []
         for low, high in zip(starts, [*starts[1:], len(lines)]):
-            tried, failed = put_with_retry(lines[low:high], client, retries, backoff)
+            tried, failed = attempt(lines[low:high])
             attempts += tried
             errors += failed
         status = [LOST if error else DELIVERED for error in errors]
@@ -125,8 +178,9 @@ def deliver(
     batch: list[str],
     keep: list[str],
     line: str = "line",
-    retries: int = MAX_RETRIES,
+    retries: int | None = MAX_RETRIES,
     backoff: Callable[[], float] = random_backoff,
+    retry_s: float | None = None,
 ) -> DataFrame:
     """Put the batches of ``pack_batches`` and report ``attempts``, ``status`` and ``error`` per record.
 
@@ -137,7 +191,10 @@ def deliver(
     schema = _outcome_schema([packed.schema[name] for name in [*batch, *keep]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return put_batches(batches, make_client(), batch, keep, line, retries, backoff)
+        client = make_client()
+        return put_batches(
+            batches, lambda lines: put_with_retry(lines, client, retries, backoff, retry_s), batch, keep, line
+        )
 
     return packed.select(*dict.fromkeys([*batch, *keep, line])).mapInArrow(run, schema)
 
@@ -151,8 +208,9 @@ def pack_and_deliver(
     line: str = "line",
     max_records: int = MAX_RECORDS,
     max_bytes: int = MAX_BYTES,
-    retries: int = MAX_RETRIES,
+    retries: int | None = MAX_RETRIES,
     backoff: Callable[[], float] = random_backoff,
+    retry_s: float | None = None,
 ) -> DataFrame:
     """``pack_batches`` and ``deliver`` in one pass, so that lines enter Python once."""
     batch = [invocation, "batch_no"]
@@ -160,8 +218,43 @@ def pack_and_deliver(
     schema = _outcome_schema([df.schema[invocation], number, *[df.schema[name] for name in keep]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client = make_client()
+        numbered = number_batches(batches, invocation, max_records, max_bytes)
+        return put_batches(
+            numbered, lambda lines: put_with_retry(lines, client, retries, backoff, retry_s), batch, keep, line
+        )
+
+    needed = df.select(*dict.fromkeys([invocation, *order, *keep, line, "size"]))
+    return by_invocation(needed, invocation, order).mapInArrow(run, schema)
+
+
+def pack_and_process(
+    df: DataFrame,
+    make_process: Callable[[], Process],
+    invocation: str,
+    order: list[str],
+    keep: list[str],
+    line: str = "line",
+    max_records: int = MAX_RECORDS,
+    max_bytes: int = MAX_BYTES,
+    retries: int = MAX_RETRIES,
+    backoff: Callable[[], float] = random_backoff,
+) -> DataFrame:
+    """Ordered batches for a processor that takes or refuses a batch whole, halved where it refuses.
+
+    One row per record with ``attempts``, ``status`` and ``error``, see ``process_bisecting``. Which
+    records are bad need not be known; a batch's records wait for nothing but their own batch.
+    """
+    batch = [invocation, "batch_no"]
+    number = T.StructField("batch_no", T.LongType())
+    schema = _outcome_schema([df.schema[invocation], number, *[df.schema[name] for name in keep]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process = make_process()
         numbered = number_batches(batches, invocation, max_records, max_bytes)
-        return put_batches(numbered, make_client(), batch, keep, line, retries, backoff)
+        return put_batches(
+            numbered, lambda lines: process_bisecting(lines, process, retries, backoff), batch, keep, line
+        )
 
     needed = df.select(*dict.fromkeys([invocation, *order, *keep, line, "size"]))
     return by_invocation(needed, invocation, order).mapInArrow(run, schema)
@@ -201,6 +294,13 @@ def mark_missing_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("error_type", F.coalesce(known, missing))
 
 
+def mark_missing_lines(df: DataFrame, line: str = "line") -> DataFrame:
+    """Rows without a line go to the error route: objects without a delimiter cannot hold them."""
+    missing = F.when(F.col(line).isNull(), "line")
+    known = F.col("error_type") if "error_type" in df.columns else F.lit(None).cast("string")
+    return df.withColumn("error_type", F.coalesce(known, missing))
+
+
 def with_dead_letter(df: DataFrame, valid: Column, metadata: list[str], error: Column) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and for each invalid one its metadata and error: not its payload."""
     ok = F.coalesce(valid, F.lit(False))
@@ -235,6 +335,8 @@ def _objects(batches: Iterator[pa.RecordBatch], prefix: list[str], line: str, li
         schema = schema or pa.schema([*[batch.schema.field(p) for p in prefix], pa.field("value", pa.string())])
         keys = list(zip(*[batch.column(p).to_pylist() for p in prefix])) or [()] * batch.num_rows
         for own, text in zip(keys, batch.column(line).to_pylist()):
+            if text is None and not between:
+                raise ValueError("a null line leaves no trace without a delimiter; see mark_missing_lines")
             # One newline ends a record, whether the line brings it or not; a null line is an empty record.
             data = (text or "").encode().removesuffix(b"\n")
             if held and (own != key or size + len(between) + len(data) + 1 > limit):
@@ -258,8 +360,8 @@ def write_objects(
     mode: str = "append",
 ) -> None:
     """Write JSON objects, one per line, below ``path`` in files of at most ``buffer_mb`` (before
-    compression). With ``delimiter=False`` the objects of a file simply follow one another, and a
-    newline ends the file.
+    compression). With ``delimiter=False`` the objects of a file simply follow one another, a newline
+    ends the file, and null lines are refused.
 
     Rows are brought together by prefix, and adaptive execution cuts a hot prefix into several tasks
     and joins small ones. A task adds up the bytes of its lines and closes a file before the one that

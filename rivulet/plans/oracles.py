@@ -216,8 +216,10 @@ FROM events""",
     "archive_roundtrip": f"""
 WITH {LOG_RECORDS} SELECT topic, "partition", "offset", payload FROM log_records""",
     "replay_slice": """
-SELECT event_id, strftime(ts, '%Y-%m-%d') AS dt, event_type, value FROM events
-WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15'""",
+SELECT event_id, CASE event_type WHEN 'view' THEN 'web:eu,us' WHEN 'click' THEN '{app} 50%'
+                 WHEN 'purchase' THEN 'till #3 ''x''' END AS origin,
+       '2024-01-08' AS week, event_type, value FROM events
+WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15' AND event_type <> 'signup' """,
     "gen_ticks": f"""
 SELECT event_id AS tick_id,
        (['AAPL', 'AMZN', 'MSFT', 'INTC', 'TBV'])[CAST(floor({draw("ticker")} * 5) AS INTEGER) + 1] AS ticker,
@@ -327,9 +329,15 @@ SELECT invocation, batch_no, count(*) AS attempted, count(*) FILTER (WHERE statu
 FROM outcomes GROUP BY 1, 2""",
     "object_sizes": f"""
 SELECT lang AS prefix, count(*) AS records, CAST(sum(strlen({DOCUMENT_LINE}) + 1) AS BIGINT) AS bytes, true AS bounded
+FROM documents GROUP BY 1""",
+    "buffered_objects": f"""
+SELECT lang AS prefix, count(*) AS records, CAST(sum(strlen({DOCUMENT_LINE}) + 1) AS BIGINT) AS bytes, true AS full
 FROM documents GROUP BY 1""",
     "no_delimiter": """
-SELECT doc_id, md5(text) AS digest, NULL AS error_type FROM documents""",
+SELECT lang AS prefix, CASE WHEN doc_id % 50 <> 0 THEN doc_id END AS doc_id,
+       CASE WHEN doc_id % 50 <> 0 THEN md5(text) END AS digest,
+       CASE WHEN doc_id % 50 = 0 THEN 'line' END AS error_type
+FROM documents""",
     "codec_roundtrip": f"""
 SELECT codec, count(*) AS records, CAST(sum(strlen({DOCUMENT_LINE})) AS BIGINT) AS bytes
 FROM documents, (VALUES ('GZIP'), ('HADOOP_SNAPPY'), ('Snappy'), ('UNCOMPRESSED')) AS codecs(codec) GROUP BY 1""",
@@ -339,6 +347,30 @@ SELECT count(*) AS records, CAST(100 AS BIGINT) AS most FROM events""",
 SELECT user_id, count(*) AS records, CAST(1 AS BIGINT) AS tasks FROM events GROUP BY 1""",
     "even_routes": """
 SELECT count(*) AS records, CAST(4 AS BIGINT) AS tasks FROM events""",
+    "dead_letter_bisect": f"""
+WITH RECURSIVE {LOG_RECORDS},
+numbered AS (
+  SELECT "offset" // 525 AS invocation, topic, "partition", "offset", payload = '{{bad' AS bad,
+         row_number() OVER (PARTITION BY "offset" // 525 ORDER BY topic, "partition", "offset") - 1 AS place
+  FROM log_records),
+placed AS (SELECT *, place // 200 + 1 AS batch_no, place % 200 AS pos FROM numbered),
+batches AS (
+  SELECT invocation, batch_no, count(*) AS n, coalesce(list(pos) FILTER (WHERE bad), []) AS bads
+  FROM placed GROUP BY 1, 2),
+ranges AS (
+  SELECT invocation, batch_no, bads, 0::BIGINT AS low, n AS high FROM batches
+  UNION ALL
+  SELECT invocation, batch_no, bads, CASE half WHEN 0 THEN low ELSE (low + high) // 2 END,
+         CASE half WHEN 0 THEN (low + high) // 2 ELSE high END
+  FROM ranges, (VALUES (0), (1)) AS halves(half)
+  WHERE high - low > 1 AND len(list_filter(bads, lambda x: x >= low AND x < high)) > 0)
+SELECT p.invocation, p.batch_no, p."partition", p."offset",
+       CAST(count(*) + CASE WHEN any_value(bad) THEN 2 ELSE 0 END AS INTEGER) AS attempts,
+       CASE WHEN any_value(bad) THEN 'lost' ELSE 'delivered' END AS status,
+       CASE WHEN any_value(bad) THEN 'JSONDecodeError' END AS error
+FROM placed AS p JOIN ranges AS r
+  ON p.invocation = r.invocation AND p.batch_no = r.batch_no AND p.pos >= r.low AND p.pos < r.high
+GROUP BY 1, 2, 3, 4""",
     "latest_start": """
 SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15'""",
     "tick_sql": f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -17,7 +19,7 @@ from rivulet.plans.catalog import (
 )
 from rivulet.session import prepare, workspace
 from rivulet.sources import archive, streams, ticks
-from rivulet.streaming import jobs, sinks, windows
+from rivulet.streaming import buffers, jobs, sinks, windows
 
 HOUR = 3600
 FIVE_MINUTES = metrics.FIVE_MINUTES
@@ -96,15 +98,24 @@ def archive_roundtrip(spark, sf_dir):
     return archive.read_archive(spark, path).select("topic", "partition", "offset", "payload")
 
 
+# Partition values as producers choose them; the type without one has none.
+SOURCE_NAMES = {"view": "web:eu,us", "click": "{app} 50%", "signup": "a=b/c", "purchase": "till #3 'x'"}
+
+
 @query
 def replay_slice(spark, sf_dir):
-    """Lay the events out by day, then stream one week of days into a table."""
+    """Lay the events out by source and week, then stream one week of all sources but one into a table."""
     root = workspace(spark, "replay")
-    days = tables.events(spark, sf_dir).withColumn("dt", F.date_format("ts", "yyyy-MM-dd"))
-    days.repartitionByRange("dt", "event_id").write.partitionBy("dt").parquet(f"{root}/history")
-    week = (F.col("dt") >= REPLAY_FROM) & (F.col("dt") < REPLAY_TO)
-    stream = archive.replay(spark, f"{root}/history", days.schema, ["dt"], week)
-    columns = ["event_id", "dt", "event_type", "value"]
+    origin = F.lit(None).cast("string")
+    for kind, name in SOURCE_NAMES.items():
+        origin = F.when(F.col("event_type") == kind, name).otherwise(origin)
+    monday = F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")
+    laid = tables.events(spark, sf_dir).withColumns({"origin": origin, "week": monday})
+    laid.repartitionByRange("week", "event_id").write.partitionBy("origin", "week").parquet(f"{root}/history")
+    wanted = (F.col("week") >= REPLAY_FROM) & (F.col("week") < REPLAY_TO)
+    others = ~F.col("origin").eqNullSafe(SOURCE_NAMES["signup"])
+    stream = archive.replay(spark, f"{root}/history", laid.schema, wanted & others)
+    columns = ["event_id", "origin", "week", "event_type", "value"]
     stream.select(*columns).writeStream.format("parquet").option(
         "checkpointLocation", f"{root}/checkpoint"
     ).trigger(availableNow=True).start(f"{root}/replayed").awaitTermination()
@@ -303,7 +314,7 @@ BATCH = ["invocation", "batch_no"]
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes as a receiver gives them that fails by ``offset * 7919 % 11``: 0 always, 1 once, 2
+    """Outcomes that a receiver leaves that fails by ``offset * 7919 % 11``: 0 always, 1 once, 2
     twice (all retryable), 3 for good. Oversize records are lost without an attempt."""
     fits, oversize = packing.split_oversize(_invocations(spark, sf_dir).drop("line"))
     kind = F.col("offset") * 7919 % 11
@@ -321,9 +332,35 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tried.unionByName(refused)
 
 
+def _receiver() -> delivery.PutClient:
+    """Answers as ``_outcomes`` says, by what it has seen of each record."""
+    seen: Counter[int] = Counter()
+
+    def put(lines: list[str]) -> list[str | None]:
+        answers = []
+        for line in lines:
+            offset = json.loads(line)["offset"]
+            seen[offset] += 1
+            kind = offset * 7919 % 11
+            refused = kind == 0 or kind in (1, 2) and seen[offset] <= kind
+            answers.append(delivery.RETRYABLE if refused else "InternalFailure" if kind == 3 else None)
+        return answers
+
+    return put
+
+
 @query
 def delivery_outcome(spark, sf_dir):
-    return _outcomes(spark, sf_dir)
+    """Whole lines packed and put with retries; the receiver refuses records as it meets them."""
+    fits, oversize = packing.split_oversize(_invocations(spark, sf_dir))
+    put = delivery.pack_and_deliver(
+        fits, _receiver, "invocation", archive.LOG_ORDER, archive.LOG_ORDER, backoff=lambda: 0.0
+    )
+    refused = oversize.select(
+        "invocation", F.lit(None).cast("bigint").alias("batch_no"), *archive.LOG_ORDER, F.lit(0).alias("attempts"),
+        F.lit(delivery.LOST).alias("status"), F.col("error_type").alias("error"),
+    )
+    return put.unionByName(refused)
 
 
 @query
@@ -354,13 +391,61 @@ def object_sizes(spark, sf_dir):
 
 @query
 def no_delimiter(spark, sf_dir):
-    """Objects without line breaks between records, taken apart again."""
-    _, objects = _written(spark, sf_dir, "joined", buffer_mb=1, compression="UNCOMPRESSED", delimiter=False)
+    """Objects without line breaks between records, taken apart again; some records have no line."""
+    root = workspace(spark, "joined")
+    lines = tables.load(spark, sf_dir, "documents").select(
+        F.col("lang").alias("prefix"), F.when(F.col("doc_id") % 50 != 0, json_line(["doc_id", "text"])).alias("line")
+    )
+    good, bad = delivery.route_errors(delivery.mark_missing_lines(lines))
+    delivery.write_objects(
+        good, f"{root}/data", ["prefix"], buffer_mb=1, compression="UNCOMPRESSED", delimiter=False
+    )
+    delivery.write_objects(bad, f"{root}/errors", ["prefix", "error_type"])
+    objects = spark.read.schema("value string, prefix string").text(f"{root}/data", wholetext=True)
     parts = decode.deaggregate(objects.select("prefix", F.rtrim(F.col("value"), F.lit("\n")).alias("value")))
     read = decode.decode_json(parts.withColumnRenamed("object", "value"), DOCUMENT_LINE)
-    return read.select("doc_id", F.md5("text").alias("digest"), "error_type")
+    errors = spark.read.schema("value string, prefix string, error_type string").text(f"{root}/errors")
+    return read.select("prefix", "doc_id", F.md5("text").alias("digest"), "error_type").unionByName(errors.select(
+        "prefix", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("digest"), "error_type"
+    ))
+
+
+TRICKLE = 4
+
+
+@query
+def buffered_objects(spark, sf_dir):
+    """Documents that come in several micro-batches, held back by language until they fill objects of a mebibyte:
+    what was written and still waits, and whether every object is full and keeps to the size."""
+    root = workspace(spark, "buffered")
+    lines = tables.load(spark, sf_dir, "documents").select(
+        "doc_id", F.col("lang").alias("prefix"), json_line(["doc_id", "text"]).alias("line")
+    )
+    lines.repartitionByRange(TRICKLE, "doc_id").write.parquet(f"{root}/in")
+    stream = streams.read_files(spark, f"{root}/in", lines.schema, files_per_trigger=1)
+    buffers.catch_up(buffers.buffered_sink(
+        stream, f"{root}/out", f"{root}/checkpoint", ["prefix"], interval_s=900, buffer_mb=1,
+        compression="UNCOMPRESSED",
+    ))
+    longest = lines.groupBy("prefix").agg((F.max(F.octet_length("line")) + 1).alias("longest"))
+    written = spark.read.schema("value string, prefix string, reason string, batch int").text(
+        f"{root}/out", wholetext=True
+    )
+    size = F.octet_length("value")
+    objects = written.join(longest, "prefix").select(
+        "prefix", (F.size(F.split("value", "\n")) - 1).alias("records"), size.cast("long").alias("bytes"),
+        ((size <= MEBIBYTE) & (size + F.col("longest") > MEBIBYTE) & (F.col("reason") == buffers.BY_SIZE)).alias("full"),
+    )
+    waiting = buffers.waiting_lines(spark, f"{root}/checkpoint").select(
+        "prefix", F.lit(1).alias("records"), (F.octet_length("line") + 1).cast("long").alias("bytes"),
+        F.lit(True).alias("full"),
+    )
+    return objects.unionByName(waiting).groupBy("prefix").agg(
+        F.sum("records").alias("records"), F.sum("bytes").alias("bytes"), F.bool_and("full").alias("full")
+    )
 
 
+MEBIBYTE = 1024 * 1024
 DOCUMENT_LINE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
 
 
@@ -507,6 +592,39 @@ def dead_letter(spark, sf_dir):
     return good.unionByName(spark.read.parquet(f"{root}/dead_letters").select("partition", "offset", "error"))
 
 
+def _reader() -> delivery.Process:
+    """Reads a batch of payloads and fails at the first that it cannot read."""
+
+    def process(lines: list[str]) -> None:
+        for line in lines:
+            json.loads(line)
+
+    return process
+
+
+BISECTED = 200
+
+
+@query
+def dead_letter_bisect(spark, sf_dir):
+    """Stream log records to a processor that refuses whole batches; find the records it fails on by halving."""
+    root = workspace(spark, "bisect")
+    body = F.when(tables.is_corrupt(), F.lit("{bad")).otherwise(F.col("props"))
+    stream = streamed_events(spark, sf_dir).select(
+        F.lit(tables.TOPIC).alias("topic"), (F.col("user_id") % tables.BROKERS).cast("int").alias("partition"),
+        F.col("event_id").alias("offset"), body.alias("line"),
+    )
+    sinks.bisecting_sink(
+        stream, packing.invocation_of(F.col("offset"), PACK_SIZE), archive.LOG_ORDER, _reader, f"{root}/out",
+        f"{root}/checkpoint", retries=2, backoff=lambda: 0.0, max_records=BISECTED,
+    ).awaitTermination()
+    rows = spark.read.parquet(f"{root}/out")
+    return rows.select(
+        "invocation", "batch_no", "partition", "offset", "attempts", "status",
+        F.substring_index("error", ":", 1).alias("error"),
+    )
+
+
 # --- streaming time --------------------------------------------------------------------------------
 
 

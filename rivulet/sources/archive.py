@@ -25,20 +25,19 @@ def replay(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
-    partitions: list[str],
     wanted: Column,
     fmt: str = "parquet",
     files_per_trigger: int | None = None,
+    within: str | None = None,
 ) -> DataFrame:
     """Stream the partitions of a historical data set that match the filter.
 
-    The folders of the first of ``partitions`` are chosen before the stream starts, so others are
-    neither listed nor logged; the filter prunes what lies deeper. Without a match the stream is empty.
+    Each micro-batch prunes its files by their partition values, so those of other partitions are listed but not
+    read, whatever the values look like (null included), and partitions that come later are seen. ``within`` is a
+    glob of folders below ``path``, such as ``dt=2024-01-*``, that bounds the listing of a long history; what lies
+    outside is not part of the stream. Partition columns are those of the folders, typed by ``schema``.
     """
-    known = spark.read.format(fmt).schema(schema).load(path)
-    names = sorted(r[0] for r in known.where(wanted).select(F.col(partitions[0]).cast("string")).distinct().collect())
-    folders = ",".join(f"{partitions[0]}={name}" for name in names)
     reader = spark.readStream.format(fmt).schema(schema).option("basePath", path)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(f"{path}/{{{folders}}}" if names else path).where(wanted)
+    return reader.load(f"{path}/{within}" if within else path).where(wanted)

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rivulet.functions.times import DATE_PART, HOUR_PART
 from rivulet.operators import delivery as d
+from rivulet.operators.packing import MAX_RECORDS
 
 # Least price that is kept, and the interval of exactly-once commits.
 HOT_PRICE = 50
@@ -103,7 +104,8 @@ def archive_sink(
     """Buffered delivery of lines: flushed every interval, cut at the buffer size.
 
     Good rows go to ``data/[keys/]year=/month=/day=/hour=/``, rows with ``error_type`` or without one
-    of the dynamic ``keys`` to ``errors/year=/month=/day=/hour=/error_type=/``. The last path level is
+    of the dynamic ``keys`` (or, without a delimiter, without a line) to
+    ``errors/year=/month=/day=/hour=/error_type=/``, one a line. The last path level is
     the micro-batch, overwritten if that batch is repeated, so a restart leaves no duplicates. A
     coarser prefix takes fewer ``time_parts``.
     """
@@ -116,11 +118,12 @@ def archive_sink(
     def write(batch: DataFrame, epoch: int) -> None:
         stamped = d.with_time_prefix(batch, arrival).withColumn("batch", F.lit(epoch))
         marked = d.mark_missing_keys(stamped, keys) if keys else stamped
+        marked = marked if delimiter else d.mark_missing_lines(marked, line)
         if "error_type" in marked.columns:
             good, bad = d.route_errors(marked)
             d.write_objects(
                 bad, f"{path}/errors", [*time_parts, "error_type", "batch"], line, buffer_mb,
-                compression, delimiter, "overwrite",
+                compression, mode="overwrite",
             )
         else:
             good = marked
@@ -158,3 +161,40 @@ def dead_letter_sink(
             writer.partitionBy("batch").parquet(f"{path}/{name}")
 
     return _each_batch(records, write, checkpoint, every_s)
+
+
+def bisecting_sink(
+    records: DataFrame,
+    invocation: Column,
+    order: list[str],
+    make_process: Callable[[], d.Process],
+    path: str,
+    checkpoint: str,
+    line: str = "line",
+    every_s: int | None = None,
+    retries: int = d.MAX_RETRIES,
+    backoff: Callable[[], float] = d.random_backoff,
+    max_records: int = MAX_RECORDS,
+) -> StreamingQuery:
+    """Hand the records of a stream to a processor in ordered batches; halve the batches it refuses.
+
+    ``invocation`` numbers bounded groups of records, see ``packing.invocation_of``. Outcomes go to
+    ``status=delivered`` and ``status=lost`` below ``path``: the latter are the dead letters, metadata
+    (``order``), attempts and error of each record that failed by itself after its last retry, not its
+    payload. A micro-batch that is repeated overwrites its own folder.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        sized = batch.withColumns({"invocation": invocation, "size": F.octet_length(line).cast("long")})
+        outcomes = d.pack_and_process(
+            sized, make_process, "invocation", order, order, line, max_records, retries=retries, backoff=backoff
+        )
+        writer = outcomes.withColumn("batch", F.lit(epoch)).write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("status", "batch").parquet(path)
+
+    return (
+        records.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(every_s))
+        .start()
+    )

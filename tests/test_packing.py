@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +153,52 @@ def test_deliver_reports_every_record_once(spark, fused):
         (0, 1, 500, 5, 0), (0, 2, 100, 1, 0), (1, 1, 500, 5, 0), (1, 2, 100, 1, 0), (2, 1, 100, 1, 0),
     ]
     assert delivery.undelivered(outcomes).count() == 0
+
+
+def test_retries_end_with_their_duration():
+    now = [0.0]
+
+    def client(lines):
+        now[0] += 1
+        return [delivery.RETRYABLE] * len(lines)
+
+    attempts, errors = delivery.put_with_retry(
+        ["a"], client, retries=None, backoff=float, retry_s=5, clock=lambda: now[0]
+    )
+    assert (attempts, errors) == ([6], [delivery.RETRYABLE])
+    with pytest.raises(ValueError):
+        delivery.put_with_retry(["a"], client, retries=None)
+    with pytest.raises(ValueError):
+        delivery.put_with_retry(["a"], client, retry_s=7201)
+
+
+@pytest.mark.parametrize("bad", [set(), {0}, {9}, {3, 4}, set(range(10)), {1, 5, 8}])
+def test_bisecting_finds_exactly_the_bad_records(bad):
+    calls, done = [], []
+
+    def process(lines):
+        calls.append(lines)
+        for line in lines:
+            if int(line) in bad:
+                raise ValueError(f"bad {line}")
+        done.extend(lines)
+
+    attempts, errors = delivery.process_bisecting([str(k) for k in range(10)], process, retries=2, backoff=float)
+    assert {k for k, e in enumerate(errors) if e} == bad
+    assert all(errors[k] == f"ValueError: bad {k}" for k in bad)
+    assert done == [str(k) for k in range(10) if k not in bad], "records keep their order"
+    assert all(a <= 1 + math.ceil(math.log2(10)) + (2 if k in bad else 0) for k, a in enumerate(attempts))
+    assert len(calls) <= 1 + len(bad) * (2 * math.ceil(math.log2(10)) + 2)
+
+
+def test_bisecting_retries_single_records_and_takes_no_records():
+    seen = Counter()
+
+    def process(lines):
+        seen.update(lines)
+        if "flaky" in lines and seen["flaky"] < 5:
+            raise OSError("down")
+
+    attempts, errors = delivery.process_bisecting(["a", "flaky", "b"], process, retries=3, backoff=float)
+    assert errors == [None] * 3 and attempts[1] == 5
+    assert delivery.process_bisecting([], process) == ([], [])

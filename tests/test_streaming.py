@@ -11,7 +11,7 @@ from rivulet.operators import delivery, routing
 from rivulet.plans.queries import REGISTRY, streamed_events
 from rivulet.session import shared_dir, workspace
 from rivulet.sources import archive, streams, ticks
-from rivulet.streaming import sinks, windows
+from rivulet.streaming import buffers, sinks, windows
 
 
 def tick_rows(spark, n, start="2024-01-01 00:00:00"):
@@ -206,16 +206,49 @@ def test_replay_reads_only_matching_partitions(spark, tmp_path):
     spark.range(60).select("id", (2016 + F.col("id") % 4).cast("int").alias("dropoff_year")).write.partitionBy("dropoff_year").parquet(path)
     schema = "id bigint, dropoff_year int"
     stream = archive.replay(
-        spark, path, schema, ["dropoff_year"], F.col("dropoff_year") == 2018, files_per_trigger=1
+        spark, path, schema, F.col("dropoff_year") == 2018, files_per_trigger=1
     )
     query = stream.writeStream.format("memory").queryName("replayed").trigger(availableNow=True).start()
     query.awaitTermination()
     listed = sum(p["sources"][0]["numInputRows"] for p in query.recentProgress)
-    assert listed == 15, "other partitions do not reach the stream"
+    assert listed == 15, "other partitions are not read"
     assert {r.dropoff_year for r in spark.table("replayed").collect()} == {2018}
     assert spark.table("replayed").count() == 15
 
 
+ODD_KEYS = ["plain", "A:B", "A,B", "{x}", "50%", "%41", " two words ", "a=b", "a/b", "#", "'q'", "*", "[z]", "ä", "\\"]
+
+
+def test_replay_streams_odd_and_null_partitions_and_later_ones(spark, tmp_path):
+    path, out, checkpoint = (str(tmp_path / n) for n in ("h", "out", "cp"))
+    schema = "id bigint, k string, day int"
+
+    def lay(first, keys):
+        rows = [(first + i, k, i % 2) for i, k in enumerate(keys)]
+        spark.createDataFrame(rows, schema).write.mode("append").partitionBy("k", "day").parquet(path)
+        return rows
+
+    def run():
+        wanted = ~F.col("k").eqNullSafe("plain")
+        stream = archive.replay(spark, path, schema, wanted, files_per_trigger=4)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        query.start(out).awaitTermination()
+        return sorted(map(tuple, spark.read.schema(schema).parquet(out).collect()))
+
+    rows = lay(0, [*ODD_KEYS, None])
+    assert run() == sorted(r for r in rows if r[1] != "plain")
+    rows += lay(100, ["later", "A:B", None])
+    assert run() == sorted(r for r in rows if r[1] != "plain")
+
+
+def test_replay_within_a_glob(spark, tmp_path):
+    path = str(tmp_path / "h")
+    spark.createDataFrame([(i, f"2024-0{i % 3 + 1}-01") for i in range(9)], "id bigint, dt string").write.partitionBy("dt").parquet(path)
+    stream = archive.replay(spark, path, "id bigint, dt string", F.lit(True), within="dt=2024-0[12]-*")
+    stream.writeStream.format("memory").queryName("within").trigger(availableNow=True).start().awaitTermination()
+    assert {r.dt for r in spark.table("within").collect()} == {"2024-01-01", "2024-02-01"}
+
+
 def test_late_rows_are_dropped_behind_the_watermark(spark, tmp_path):
     source, checkpoint, out = (str(tmp_path / n) for n in ("in", "cp", "out"))
     schema = "ts timestamp, stream string, value double"
@@ -339,3 +372,76 @@ def test_shard_bounds(spark, shards):
 
     with pytest.raises(ValueError):
         shard_of(F.col("id"), shards)
+
+
+def trickle(spark, path, batches, lines_of):
+    for b in range(batches):
+        rows = spark.createDataFrame(lines_of(b), "prefix string, line string")
+        rows.coalesce(1).write.mode("append").parquet(path)
+    return streams.read_files(spark, path, "prefix string, line string", files_per_trigger=1)
+
+
+def objects_of(out):
+    found = {}
+    for f in sorted(glob.glob(f"{out}/prefix=*/reason=*/batch=*/*.txt")):
+        prefix, reason = f.split("prefix=")[1].split("/")[0], f.split("reason=")[1].split("/")[0]
+        found.setdefault((prefix, reason), []).append(open(f, encoding="utf-8").read())
+    return found
+
+
+def test_a_trickle_gives_few_full_objects_and_survives_a_restart(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+
+    def lines_of(b):
+        return [("p", f"{b}-{i} " + "é" * 1_000) for i in range(150)] + [("q", None if b == 1 else f"only {b}\n")]
+
+    def run(batches, first):
+        stream = trickle(spark, source, batches, lambda b: lines_of(first + b))
+        query = buffers.buffered_sink(
+            stream, out, checkpoint, ["prefix"], interval_s=900, buffer_mb=1, compression="UNCOMPRESSED"
+        )
+        buffers.catch_up(query)
+
+    run(4, 0)
+    assert {k: len(v) for k, v in objects_of(out).items()} == {("p", "size"): 1}
+    run(4, 4)
+    full = objects_of(out)[("p", "size")]
+    assert len(full) == 2 and all(1_040_000 < len(t.encode()) <= 1_048_576 for t in full)
+    waiting = buffers.waiting_lines(spark, checkpoint).collect()
+    written = [line for text in full for line in text.split("\n")[:-1]]
+    kept = [r.line for r in waiting if r.prefix == "p"]
+    assert sorted(written + kept) == sorted(x for b in range(8) for p, x in lines_of(b) if p == "p")
+    assert sorted(r.line for r in waiting if r.prefix == "q") == sorted(["", *(f"only {b}" for b in range(8) if b != 1)])
+
+
+def test_buffers_flush_after_the_interval(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delivery, "INTERVAL_S", (1, 900))
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    stream = trickle(spark, source, 1, lambda b: [("p", f"line {i}") for i in range(5)])
+    query = buffers.buffered_sink(
+        stream, out, checkpoint, ["prefix"], interval_s=1, compression="UNCOMPRESSED", lanes=2
+    )
+    deadline = time.time() + 90
+    while time.time() < deadline and sum(t.count("\n") for v in objects_of(out).values() for t in v) < 5:
+        time.sleep(0.5)
+    query.stop()
+    assert set(objects_of(out)) == {("p", "interval")}
+    assert sorted("".join(objects_of(out)[("p", "interval")]).split()) == sorted("line 0 line 1 line 2 line 3 line 4".split())
+
+
+def test_null_lines_without_a_delimiter_go_to_the_errors(spark, tmp_path):
+    out = str(tmp_path / "o")
+    lines = spark.createDataFrame([("x", "{}"), ("x", None), ("x", "[]")], "p string, line string")
+    with pytest.raises(Exception, match="null line"):
+        delivery.write_objects(lines, out, ["p"], compression="UNCOMPRESSED", delimiter=False)
+    source = str(tmp_path / "in")
+    rows = spark.createDataFrame(
+        [("2024-01-01 00:00:00", "{}"), ("2024-01-01 00:00:00", None), (None, "[]")], "t string, line string"
+    )
+    rows.select(F.col("t").cast("timestamp").alias("arrival"), "line").coalesce(1).write.parquet(source)
+    stream = streams.read_files(spark, source, "arrival timestamp, line string")
+    sinks.archive_sink(
+        stream, f"{out}/s", str(tmp_path / "c"), interval_s=None, compression="UNCOMPRESSED", delimiter=False
+    ).awaitTermination()
+    assert spark.read.text(f"{out}/s/data").count() == 2
+    assert [r.error_type for r in spark.read.text(f"{out}/s/errors").collect()] == ["line"]
