@@ -43,25 +43,41 @@ def alarm_state(stats: DataFrame, comparison: str, threshold: float, value: str
     return stats.withColumn("state", F.when(fired, ALARM).otherwise(OK))
 
 
+# No array is longer than this, however long a gap.
+CHUNK = 1024
+
+
+def repeated(df: DataFrame, count: Column, number: str) -> DataFrame:
+    """Each row ``count`` times (not at all below 1), numbered from 0 in ``number``; counts of any size
+    are spread in two steps of short arrays."""
+    counted = df.withColumn("__count", count.cast("long")).where("__count >= 1")
+    last = (F.col("__count") - 1).cast("long")
+    chunked = counted.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / CHUNK))))
+    low = F.col("__chunk") * CHUNK
+    return chunked.withColumn(number, F.explode(F.sequence(low, F.least(low + CHUNK - 1, last)))).drop(
+        "__count", "__chunk"
+    )
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    """Whole seconds from one timestamp to another, zoned or not."""
+    return F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1_000_000)
+
+
 def fill_periods(stats: DataFrame, keys: list[str], period_s: Column | int, value: str = "stat") -> DataFrame:
     """Every period from the first to the last of each series; ``value`` is null in added ones.
 
-    Each period is stretched up to the one that follows it, so no grid is built and nothing joined.
+    Each period is repeated up to the one that follows it, so no grid is built and nothing joined.
     A series holds one row per period: its length depends on time, not on the volume of datapoints.
     """
     series = Window.partitionBy(*keys).orderBy("period")
     step = F.lit(period_s) if isinstance(period_s, int) else period_s
-    following = F.lead("period").over(series)
     others = [c for c in stats.columns if c not in ("period", value)]
-    gap = F.make_dt_interval(secs=step)
-    stretched = stats.withColumn(
-        "__periods",
-        F.when(following.isNull(), F.array("period")).otherwise(
-            F.sequence(F.col("period"), following - gap, gap)
-        ),
-    )
-    return stretched.select(*others, value, F.posexplode_outer("__periods").alias("__i", "period")).select(
-        *others, "period", F.when(F.col("__i") == 0, F.col(value)).alias(value)
+    ahead = stats.withColumns({"__step": step, "__next": F.lead("period").over(series)})
+    steps = F.floor(seconds_between(F.col("period"), F.col("__next")) / F.col("__step"))
+    return repeated(ahead, F.coalesce(steps, F.lit(1)), "__i").select(
+        *others, (F.col("period") + F.make_dt_interval(secs=F.col("__i") * F.col("__step"))).alias("period"),
+        F.when(F.col("__i") == 0, F.col(value)).alias(value),
     )
 
 
@@ -128,6 +144,9 @@ def evaluate_alarms(metrics: DataFrame, specs: list[NamedTuple], dims: list[str]
     datapoints came; an alarm without any is one series with null dims, judged by its policy.
     The catalogue is written by hand, so its rows are sent to every task. A datapoint meets each
     alarm it feeds as numerator or denominator, and one grouping yields both sides of every ratio.
+
+    The table is read twice: once for its range and the alarms that have data (one row), once for the
+    statistics. States come from the periods that have data, see ``judged``.
     """
     spark = metrics.sparkSession
     legs = []
@@ -153,6 +172,10 @@ def evaluate_alarms(metrics: DataFrame, specs: list[NamedTuple], dims: list[str]
         "threshold double, treat_missing string, evaluation_periods int, period_s bigint",
     )
 
+    fed = metrics.join(F.broadcast(leg_table.select("namespace", "metric_name", "alarm")), ["namespace", "metric_name"], "left")
+    facts = fed.agg(F.struct(
+        F.min("ts").alias("start"), F.max("ts").alias("end"), F.collect_set("alarm").alias("alarms")
+    )).scalar()
     points = by_dims(metrics, dims).join(F.broadcast(leg_table), ["namespace", "metric_name"])
     timed = points.withColumn("period", period_start(F.col("ts"), F.col("period_s")))
     keys = ["alarm", *dims]
@@ -173,18 +196,57 @@ def evaluate_alarms(metrics: DataFrame, specs: list[NamedTuple], dims: list[str]
     ruled = sides.join(F.broadcast(rule_table.drop("period_s")), "alarm").select(
         *keys, "period_s", "period", *rule, value.alias("stat")
     )
-    silent = rule_table.join(ruled.select("alarm").distinct(), "alarm", "left_anti").withColumns(
-        {dim: F.lit(None).cast("string") for dim in dims}
+    silent = rule_table.where(~F.array_contains(facts["alarms"], F.col("alarm"))).select(
+        "alarm", *[F.lit(None).cast(ruled.schema[d].dataType).alias(d) for d in dims], "period_s",
+        F.lit(None).cast(ruled.schema["period"].dataType).alias("period"), *rule, F.lit(None).cast("double").alias("stat"),
+    )
+    return judged(ruled.unionByName(silent), keys, facts["start"], facts["end"])
+
+
+def judged(ruled: DataFrame, keys: list[str], start: Column, end: Column) -> DataFrame:
+    """States of every period from ``start`` to ``end``, per series: ``keys``, period, value, state.
+
+    ``ruled`` has a row for each period with data and the rule's columns; a series without data is one row
+    without a period. Gaps are arithmetic on the numbers of the periods: a gap breaches as a whole or not
+    at all, so the last period that did not breach is known from the rows with data alone, in one window
+    over them. Rows of gaps are only written out at the end.
+    """
+    width = F.col("period_s")
+    first, last = period_start(start, width), period_start(end, width)
+    missing = F.col("treat_missing") == BREACHING
+    breached = with_missing(breach_by_spec(F.col("stat"), F.col("comparison"), F.col("threshold")), F.col("treat_missing"))
+    numbered = ruled.withColumns({
+        "__n": F.floor(seconds_between(first, last) / width),
+        "__at": F.floor(seconds_between(first, F.col("period")) / width), "__breached": breached,
+    })
+    series = Window.partitionBy(*keys).orderBy("__at")
+    before = F.coalesce(F.lag("__at").over(series), F.lit(-1))
+    stepped = numbered.withColumns({
+        "__before": before, "__next": F.coalesce(F.lead("__at").over(series), F.col("__n") + 1),
+    })
+    gap_good = F.when(~missing & (F.col("__before") < F.col("__at") - 1), F.col("__at") - 1)
+    good = F.greatest(F.when(~F.col("__breached"), F.col("__at")), gap_good)
+    upto = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = stepped.withColumn("__good", F.coalesce(F.max(good).over(upto), F.lit(-1)))
+    # The row itself and the gap behind it; before the first row of a series also the gap there, which starts at 0.
+    leads = F.col("__before") == -1
+    own = F.struct(
+        F.col("__at").alias("__from"), F.col("__next").alias("__to"), F.col("__good").alias("__since"),
+        F.lit(True).alias("__data"),
     )
-    start, end = (metrics.agg(edge("ts")).scalar() for edge in (F.min, F.max))
-    ranged = over_range(ruled, keys, F.col("period_s"), start, end, silent=silent)
-    filled = fill_periods(ranged, keys, F.col("period_s"))
-    breached = with_missing(
-        breach_by_spec(F.col("stat"), F.col("comparison"), F.col("threshold")), F.col("treat_missing")
+    lead = F.struct(
+        F.lit(0).cast("long").alias("__from"), F.coalesce("__at", F.col("__n") + 1).alias("__to"),
+        F.lit(-1).cast("long").alias("__since"), F.lit(False).alias("__data"),
     )
-    fired = filled.withColumn("breached", breached)
-    return over_consecutive(fired, keys, F.col("evaluation_periods")).select(
-        *keys, "period", F.col("stat").alias("value"), "state"
+    parts = F.when(F.col("__at").isNull(), F.array(lead)).when(leads, F.array(lead, own)).otherwise(F.array(own))
+    spread = repeated(held.select("*", F.inline(parts)), F.col("__to") - F.col("__from"), "__i")
+    at = F.col("__from") + F.col("__i")
+    is_data = F.col("__data") & (F.col("__i") == 0)
+    bad = F.when(is_data, F.col("__breached")).otherwise(missing)
+    state = F.when(bad & (at - F.col("__since") >= F.col("evaluation_periods")), ALARM).otherwise(OK)
+    return spread.select(
+        *keys, (first + F.make_dt_interval(secs=at * width)).alias("period"),
+        F.when(is_data, F.col("stat")).alias("value"), state.alias("state"),
     )
 
 

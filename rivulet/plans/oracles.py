@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from rivulet.plans.catalog import AlarmSpec, alarm_metrics, alarm_specs, metric_specs, watched_metrics
-from rivulet.plans.queries import BOARD_ALARMS
+from rivulet.plans.catalog import metric_specs, watched_metrics
 
 BAD = "event_id % 97 = 0"
 LOG_VALUE = f"to_base64(encode(CASE WHEN {BAD} THEN '{{bad' ELSE props END))"
@@ -121,14 +120,49 @@ points AS (
   FROM events JOIN watched ON event_id % {len(watched)} = turn)"""
 
 
-def alarm_ctes(specs: list[AlarmSpec]) -> str:
+# Fixed values, written out again for comparison: the published alarms and the metrics they read.
+PUBLISHED_ALARMS = """
+    ('IteratorAge', 'AWS/Kinesis', 'GetRecords.IteratorAgeMilliseconds', 'Maximum', 60, '>=', 60000, 'breaching', 1, 1, 1, NULL, NULL),
+    ('ReadProvisioned', 'AWS/Kinesis', 'ReadProvisionedThroughputExceeded', 'Average', 60, '>=', 0.01, 'breaching', 1, 1, 1, NULL, NULL),
+    ('WriteProvisioned', 'AWS/Kinesis', 'WriteProvisionedThroughputExceeded', 'Average', 60, '>=', 0.01, 'breaching', 1, 1, 1, NULL, NULL),
+    ('PutRecord', 'AWS/Kinesis', 'PutRecord.Success', 'Average', 60, '<=', 0.95, 'notBreaching', 1, 1, 1, NULL, NULL),
+    ('PutRecords', 'AWS/Kinesis', 'PutRecords.Success', 'Average', 60, '<=', 0.95, 'notBreaching', 1, 1, 1, NULL, NULL),
+    ('GetRecords', 'AWS/Kinesis', 'GetRecords.Success', 'Average', 60, '<=', 0.98, 'breaching', 1, 1, 1, NULL, NULL),
+    ('DataFreshness', 'AWS/Firehose', 'DeliveryToS3.DataFreshness', 'Maximum', 300, '>', 900, 'breaching', 1, 1, 1, NULL, NULL),
+    ('IncomingBytes', 'AWS/Firehose', 'IncomingBytes', 'Sum', 300, '>', 75, 'breaching', 1, 100, 1, 'BytesPerSecondLimit', 'Minimum'),
+    ('IncomingPutRequests', 'AWS/Firehose', 'IncomingPutRequests', 'Sum', 300, '>', 75, 'breaching', 1, 100, 1, 'PutRequestsPerSecondLimit', 'Minimum'),
+    ('IncomingRecords', 'AWS/Firehose', 'IncomingRecords', 'Sum', 300, '>', 75, 'breaching', 1, 100, 1, 'RecordsPerSecondLimit', 'Minimum'),
+    ('Downtime', 'AWS/KinesisAnalytics', 'downtime', 'Average', 60, '>', 0, 'breaching', 1, 1, 1, NULL, NULL),
+    ('Checkpoint', 'AWS/KinesisAnalytics', 'numberOfFailedCheckpoints', 'Average', 60, '>', 0, 'breaching', 1, 1, 1, NULL, NULL),
+    ('CpuUtilization', 'AWS/KinesisAnalytics', 'cpuUtilization', 'Maximum', 60, '>', 80, 'breaching', 1, 1, 1, NULL, NULL),
+    ('HeapMemory', 'AWS/KinesisAnalytics', 'heapMemoryUtilization', 'Maximum', 60, '>', 90, 'breaching', 1, 1, 1, NULL, NULL),
+    ('GCPercent', 'AWS/KinesisAnalytics', 'oldGenerationGCTime', 'Maximum', 60, '>', 60, 'breaching', 1, 100, 60000, NULL, NULL),
+    ('RecordsOut', 'AWS/KinesisAnalytics', 'numRecordsOutPerSecond', 'Average', 60, '<=', 0, 'breaching', 1, 1, 1, NULL, NULL),
+    ('MillisBehind', 'AWS/KinesisAnalytics', 'millisBehindLatest', 'Maximum', 60, '>', 60000, 'breaching', 1, 1, 1, NULL, NULL)"""
+PUBLISHED_METRICS = [
+    ("AWS/Kinesis", "GetRecords.IteratorAgeMilliseconds"), ("AWS/Kinesis", "ReadProvisionedThroughputExceeded"),
+    ("AWS/Kinesis", "WriteProvisionedThroughputExceeded"), ("AWS/Kinesis", "PutRecord.Success"),
+    ("AWS/Kinesis", "PutRecords.Success"), ("AWS/Kinesis", "GetRecords.Success"),
+    ("AWS/Firehose", "DeliveryToS3.DataFreshness"), ("AWS/Firehose", "IncomingBytes"),
+    ("AWS/Firehose", "BytesPerSecondLimit"), ("AWS/Firehose", "IncomingPutRequests"),
+    ("AWS/Firehose", "PutRequestsPerSecondLimit"), ("AWS/Firehose", "IncomingRecords"),
+    ("AWS/Firehose", "RecordsPerSecondLimit"), ("AWS/KinesisAnalytics", "downtime"),
+    ("AWS/KinesisAnalytics", "numberOfFailedCheckpoints"), ("AWS/KinesisAnalytics", "cpuUtilization"),
+    ("AWS/KinesisAnalytics", "heapMemoryUtilization"), ("AWS/KinesisAnalytics", "oldGenerationGCTime"),
+    ("AWS/KinesisAnalytics", "numRecordsOutPerSecond"), ("AWS/KinesisAnalytics", "millisBehindLatest"),
+]
+# The alarms of the board, written out again.
+BOARD = """
+    ('ViewPeak', 'rivulet/events', 'view', 'Maximum', 3600, '>', 80, 'breaching', 1, 1, 1, NULL, NULL),
+    ('ClickLow', 'rivulet/events', 'click', 'Average', 3600, '<=', 41.2371, 'notBreaching', 2, 1, 1, NULL, NULL),
+    ('SignupVolume', 'rivulet/events', 'signup', 'Sum', 3600, '>=', 60.0037, 'breaching', 3, 1, 1, NULL, NULL),
+    ('PurchaseFloor', 'rivulet/events', 'purchase', 'Minimum', 3600, '<=', 5, 'notBreaching', 1, 1, 1, NULL, NULL),
+    ('ErrorShare', 'rivulet/events', 'error', 'Sum', 3600, '>', 75.0013, 'breaching', 1, 100, 1, 'view', 'Maximum'),
+    ('NeverSeen', 'rivulet/events', 'refund', 'Sum', 3600, '>', 1, 'breaching', 2, 1, 1, NULL, NULL)"""
+
+
+def alarm_ctes(rows: str) -> str:
     """Alarm states by grid, left join and runs of breaching periods."""
-    rows = ",\n    ".join(
-        f"({text(s.alarm)}, {text(s.namespace)}, {text(s.metric_name)}, {text(s.stat)}, {s.period_s}, "
-        f"{text(s.comparison)}, {s.threshold}::DOUBLE, {text(s.treat_missing)}, {s.evaluation_periods}, "
-        f"{s.scale}::DOUBLE, {s.per}::DOUBLE, {text(s.over_metric)}, {text(s.over_stat)})"
-        for s in specs
-    )
     by_stat = " ".join(f"WHEN '{name}' THEN {fn}(p.value)" for name, fn in STATS_SQL.items())
 
     def side(metric: str, stat: str) -> str:
@@ -138,9 +172,9 @@ def alarm_ctes(specs: list[AlarmSpec]) -> str:
   GROUP BY s.alarm, s.{stat}, p.broker, 3"""
 
     return f"""
-specs(alarm, namespace, metric_name, stat, period_s, comparison, threshold, treat_missing, evaluation_periods,
-      scale, per, over_metric, over_stat) AS (VALUES
-    {rows}),
+listed(alarm, namespace, metric_name, stat, period_s, comparison, threshold, treat_missing, evaluation_periods,
+       scale, per, over_metric, over_stat) AS (VALUES {rows}),
+specs AS (SELECT * REPLACE (threshold::DOUBLE AS threshold, scale::DOUBLE AS scale, per::DOUBLE AS per) FROM listed),
 m1 AS ({side("metric_name", "stat")}),
 m2 AS ({side("over_metric", "over_stat")}),
 both_sides AS (
@@ -496,16 +530,16 @@ SELECT stream, period, stat,
             THEN 'ALARM' ELSE 'OK' END AS state
 FROM filled""",
     "alarm_board": f"""
-WITH {POINTS}, {alarm_ctes(BOARD_ALARMS)}
+WITH {POINTS}, {alarm_ctes(BOARD)}
 SELECT alarm, broker, period, round(value, 6) AS value, state FROM states""",
     "alarm_transitions": f"""
-WITH {POINTS}, {alarm_ctes(BOARD_ALARMS)},
+WITH {POINTS}, {alarm_ctes(BOARD)},
 stepped AS (
   SELECT alarm, broker, period, lag(state) OVER (PARTITION BY alarm, broker ORDER BY period) AS previous, state
   FROM states)
 SELECT * FROM stepped WHERE previous <> state""",
     "alarm_catalogue": f"""
-WITH {catalogue_points(alarm_metrics())}, {alarm_ctes(alarm_specs())}
+WITH {catalogue_points(PUBLISHED_METRICS)}, {alarm_ctes(PUBLISHED_ALARMS)}
 SELECT alarm, broker, state, count(*) AS periods FROM states GROUP BY 1, 2, 3""",
     "log_task_distribution": f"""
 WITH {LOGS}

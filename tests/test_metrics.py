@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +192,62 @@ def test_alarms_cover_the_common_range_and_silent_metrics(spark):
     assert [found["Seen", "a"][m] for m in range(10)] == ["OK"] + ["ALARM"] * 8 + ["OK"]
     assert found["Quiet", None] == dict.fromkeys(range(10), "OK")
     assert found["Lost", None] == {0: "OK", 5: "ALARM"}
+
+
+def brute_states(points, spec, first, last):
+    """State of every period from the definition: walk them in order."""
+    out, streak = {}, 0
+    for n in range(first // spec.period_s, last // spec.period_s + 1):
+        own = [v for t, v in points if t // spec.period_s == n]
+        value = max(own) if own else None
+        bad = value > spec.threshold if own else spec.treat_missing == alarms.BREACHING
+        streak = streak + 1 if bad else 0
+        out[n * spec.period_s] = (value, "ALARM" if streak >= spec.evaluation_periods else "OK")
+    return out
+
+
+def test_states_match_a_walk_over_all_periods(spark):
+    draw = random.Random(3)
+    series = {
+        name: [(draw.randrange(low, high), float(draw.randint(0, 9))) for _ in range(n)]
+        for name, low, high, n in (("a", 0, 6000, 40), ("b", 2000, 2100, 3), ("c", 5900, 6001, 9), ("d", 0, 6000, 400))
+    }
+    series["edges"] = [(0, 1.0), (6000, 1.0)]
+    rows = [(t, "n", "m", {"k": k}, v) for k, own in series.items() for t, v in own]
+    df = spark.createDataFrame(rows, "t long, namespace string, metric_name string, dims map<string,string>, value double")
+    df = df.select(F.timestamp_seconds("t").alias("ts"), "namespace", "metric_name", "dims", "value")
+    specs = [
+        catalog.AlarmSpec(f"{policy}{periods}", "n", "m", "Maximum", 60, ">", 5.0, policy, periods)
+        for policy in (alarms.BREACHING, alarms.NOT_BREACHING) for periods in (1, 2, 5)
+    ] + [catalog.AlarmSpec("Silent", "n", "none", "Maximum", 300, ">", 5.0, alarms.BREACHING, 3)]
+    found = {}
+    for r in alarms.evaluate_alarms(df, specs, ["k"]).collect():
+        found.setdefault((r.alarm, r.k), {})[int(r.period.timestamp())] = (r.value, r.state)
+    want = {(s.alarm, k): brute_states(own, s, 0, 6000) for s in specs[:-1] for k, own in series.items()}
+    want["Silent", None] = brute_states([], specs[-1], 0, 6000)
+    assert found == want
+
+
+def test_a_year_of_silence_needs_no_long_array(spark):
+    rows = [(0, 9.0), (365 * 86_400, 9.0)]
+    stats = spark.createDataFrame(rows, "t long, stat double").select(
+        F.timestamp_seconds("t").alias("period"), "stat", F.lit("s").alias("stream")
+    )
+    filled = alarms.fill_periods(stats, ["stream"], 60)
+    assert filled.count() == 525_601
+    assert filled.agg(F.count("stat"), F.count_distinct("period")).first() == (2, 525_601)
+    assert alarms.repeated(spark.range(3), F.col("id") * 1500, "n").groupBy("id").agg(
+        F.count("*"), F.min("n"), F.max("n")
+    ).orderBy("id").collect() == [(1, 1500, 0, 1499), (2, 3000, 0, 2999)]
+
+
+def test_the_catalogue_reads_the_table_twice_at_most(spark, sf_dir):
+    from rivulet.plans.queries import REGISTRY
+
+    for name in ("alarm_board", "alarm_catalogue"):
+        df = REGISTRY[name](spark, sf_dir)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        final = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+        scans = {m for m in re.findall(r"FileScan parquet.*?ReadSchema: \S+", final, re.S)}
+        assert len({re.sub(r"#\d+L?|plan_id=\d+|id=#\d+", "", s) for s in scans}) <= 2
