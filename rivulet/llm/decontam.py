@@ -5,13 +5,16 @@ benchmark item, windows of about four fifths of its size are fingerprinted at ev
 hashes); document windows of the same size start every ``stride`` words, with ``stride`` so short that every passage
 of an item's size holds a whole window that starts at one of the item's offsets. A fingerprint is cut into four blocks
 of 16 bits, and the index holds each block's values within Hamming distance 1: two fingerprints within ``RADIUS`` = 7
-differ by at most 1 in some block, so no pair within the radius is missed. An edit may move a fingerprint farther than
-that, so shorter windows are looked up as they are, too: at a similarity of 0.8 the edits leave a run of words between
-them whose least length follows from the item's size (``run_length``), and every such run holds a whole short window
-that starts at a multiple of its stride. Candidates are confirmed on the item-sized windows around the window that was
-found, at every offset: shingles of five words, each weighing one over the number of items that have it, and a weighted
-Jaccard similarity of at least 0.8. The run's length counts shingles alike; where a benchmark's weights differ much
-within an item, edits in its common parts cost less than that, and only the fingerprints are left to find it.
+differ by at most 1 in some block, so no pair within the radius is missed. Shingles of five words weigh one over the
+number of items that have them; candidates are confirmed by a weighted Jaccard similarity of at least 0.8 on the
+item-sized windows around what was found, at every offset.
+
+An edit may move a fingerprint farther than the radius. What the fingerprints cannot promise, the weights can: a
+window as similar as the threshold t lacks at most 1 - t of an item's weight, so it has at least one of any shingles
+that weigh more than that together. Each item's heaviest ones up to that weight are indexed and looked up at every
+word of a document, so every window of the threshold's similarity is found, whatever the edits, and what is found does
+not depend on how documents are dealt out. A document that lacks too much of an item's weight as a whole is not
+confirmed window by window.
 
 The benchmark is a query set that goes against all documents in blocks of a bounded size; only a block is ever sent
 to the executors, with twelve bytes for each shingle that several items of the whole benchmark have, so that a weight
@@ -20,7 +23,6 @@ does not depend on the blocks. Documents are not shuffled.
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -30,25 +32,41 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from rivulet.llm import words
+from rivulet.llm.components import filtered
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 7
 BLOCK_BYTES = 1 << 20
-LARGEST_WINDOW = 200
+LARGEST_WINDOW = 32_000
+# Sums of that many bits fit eight to a 64-bit number, larger ones four.
+MOST_IN_OCTETS = 254
 HITS = "doc_id long, item_id long, start long, n_words long, similarity double"
 _SPREAD = np.array(
     [sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], dtype=np.uint64
 )
 _ONES = np.uint64(0x0101010101010101)
+_SPREAD4 = np.array([sum(((b >> k) & 1) << (16 * k) for k in range(4)) for b in range(16)], dtype=np.uint64)
+_ONES4 = np.uint64(0x0001000100010001)
 
 
 def simhashes(hashes: np.ndarray, size: int, stride: int) -> np.ndarray:
-    """SimHash of the windows of ``size`` words (at most 254) that start every ``stride`` words.
+    """SimHash of the windows of ``size`` words (at most 32 766) that start every ``stride`` words.
 
-    Bit counts are kept eight to a 64-bit number; differences of running sums are exact even where the sums wrap.
+    Bit counts are kept eight (or four) to a 64-bit number; differences of running sums are exact even where the sums
+    wrap.
     """
     out = np.zeros(max(0, (len(hashes) - size) // stride + 1), dtype=np.uint64)
+    if size > MOST_IN_OCTETS:
+        most = np.uint64((1 << 15) - (size // 2 + 1)) * _ONES4
+        for k in range(16):
+            sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+            np.cumsum(_SPREAD4[(hashes >> np.uint64(4 * k)) & np.uint64(15)], out=sums[1:])
+            count = sums[size::stride][: len(out)] - sums[: len(sums) - size : stride][: len(out)]
+            high = (count + most) >> np.uint64(15)
+            for bit in range(4):
+                out |= ((high >> np.uint64(16 * bit)) & np.uint64(1)) << np.uint64(4 * k + bit)
+        return out
     octets = hashes.view(np.uint8).reshape(-1, 8)
     most = np.uint64(128 - (size // 2 + 1)) * _ONES
     for k in range(8):
@@ -68,23 +86,6 @@ def window_size(n: int) -> int:
     return size
 
 
-def run_length(n: int, shingle: int, threshold: float) -> int:
-    """Words in a row that an item of n words surely shares with a window as similar to it as ``threshold``.
-
-    Each place where the shared shingles break costs at least shingle - 1 on both sides, so few breaks are possible.
-    """
-    own = min(shingle, n)
-    size, cost = n - own + 1, own - 1
-    most = int((1 - threshold) * size / (cost * (1 + threshold)) + 1e-9) if cost else 0
-    least = min((threshold * size + threshold * cost * j) / (j + 1) for j in {0, most})
-    return max(1, math.ceil(least - 1e-9)) + cost
-
-
-def probe_size(run: int) -> int:
-    """Size of the short windows for runs of that length; what is left over gives their stride."""
-    return next((size for least, size in ((20, 12), (12, 8), (8, 6)) if run >= least), max(1, run - 1))
-
-
 class Block:
     """The index of a block of benchmark items."""
 
@@ -93,7 +94,7 @@ class Block:
     ):
         self.shingle, self.threshold = shingle, threshold
         self.ids, self.sizes, self.sets = [], [], []
-        by_size, by_probe, all_words = defaultdict(list), defaultdict(list), []
+        by_size, by_shingle, all_words = defaultdict(list), defaultdict(list), []
         for item_id, text in items:
             own = _words(pa.array([text or ""]))[0][0]
             if not len(own):
@@ -103,13 +104,17 @@ class Block:
             self.sets.append(Counter(words.shingles(own, shingle).tolist()))
             all_words.append(own)
             by_size[window_size(len(own))].append(len(self.ids) - 1)
-            run = run_length(len(own), shingle, threshold)
-            by_probe[probe_size(run)].append((len(self.ids) - 1, run))
+            by_shingle[min(shingle, len(own))].append(len(self.ids) - 1)
         self.common, self.seen = common
-        self.full = [
-            float(sum(w * c for w, c in zip(self.weights(np.array(list(own), dtype=np.uint64)).tolist(), own.values())))
-            for own in self.sets
-        ]
+        # The distinct shingles of each item, heaviest first, and what they weigh with their repetitions.
+        self.keys, self.held, self.full = [], [], []
+        for own in self.sets:
+            keys = np.array(sorted(own), dtype=np.uint64)
+            held = self.weights(keys) * np.array([own[k] for k in keys.tolist()])
+            order = np.argsort(-held, kind="stable")
+            self.keys.append(keys[order])
+            self.held.append(held[order])
+            self.full.append(float(held.sum()))
         self.windows = []
         for size, members in sorted(by_size.items()):
             stride = min(self.sizes[m] for m in members) - size + 1
@@ -117,17 +122,22 @@ class Block:
             owner = np.repeat(members, [len(p) for p in prints])
             self.windows.append((size, stride, np.concatenate(prints), owner, _index(np.concatenate(prints))))
 
-        self.probes = []
-        for size, members in sorted(by_probe.items()):
-            stride = min(run for _, run in members) - size + 1
-            keys = [np.unique(words.shingles(all_words[m], size)) for m, _ in members]
-            owner = np.repeat([m for m, _ in members], [len(k) for k in keys])
+        self.heavy = []
+        for size, members in sorted(by_shingle.items()):
+            # One more than needed where the sum meets the bound, so that rounding cannot leave one out.
+            number = [
+                int(np.searchsorted(np.cumsum(self.held[m]), (1 - threshold) * self.full[m] + 1e-9, side="right")) + 1
+                for m in members
+            ]
+            keys = [self.keys[m][:n] for m, n in zip(members, number)]
+            owner = np.repeat(members, [len(k) for k in keys])
             keys = np.concatenate(keys)
             order = np.argsort(keys, kind="stable")
-            self.probes.append((size, stride, keys[order], owner[order]))
+            self.heavy.append((size, keys[order], owner[order]))
 
     def candidates(self, hashes: np.ndarray, row: np.ndarray) -> set[tuple[int, int, int, int]]:
-        """(row, item, where a window starts, its size) of windows within the radius of an item's or equal to one."""
+        """(row, item, where a window starts, its size) of windows within the radius of an item's and of its heavy
+        shingles."""
         found = set()
 
         def add(size, at, items):
@@ -151,17 +161,22 @@ class Block:
                 target = values[target]
                 near = np.bitwise_count(own[which] ^ prints[target]) <= RADIUS
                 add(size, at[which[near]], owner[target[near]])
-        for size, stride, keys, owner in self.probes:
-            at = np.arange(0, len(hashes) - size + 1, stride)
-            if not len(at):
+        for size, keys, owner in self.heavy:
+            if len(hashes) < size:
                 continue
-            own = words.combine([hashes[k : len(hashes) - size + 1 + k : stride] for k in range(size)])
-            low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
-            hit = np.flatnonzero((high > low) & (row[at] == row[at + size - 1]))
-            which, target = spread(hit, low[hit], high[hit])
-            add(size, at[which], owner[target])
+            own = words.combine([hashes[k : len(hashes) - size + 1 + k] for k in range(size)])
+            low = np.searchsorted(keys, own)
+            hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == own)
+            hit = hit[row[hit] == row[hit + size - 1]]
+            which, target = spread(hit, low[hit], np.searchsorted(keys, own[hit], side="right"))
+            add(size, which, owner[target])
         return found
 
+    def possible(self, item: int, text: np.ndarray) -> bool:
+        """Whether the whole text has enough of the item's weight for a window to reach the threshold."""
+        have = np.isin(self.keys[item], words.shingles(text, min(self.shingle, self.sizes[item])))
+        return float(self.held[item][have].sum()) >= self.threshold * self.full[item] - 1e-9
+
     def best(self, item: int, text: np.ndarray, found: list[tuple[int, int]]) -> tuple[float, int, int]:
         """Similarity, start and words of the best window that holds a found one (start and size within the text).
 
@@ -262,7 +277,10 @@ def _hits(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.Record
             for doc, item, at, size in block.candidates(hashes, row):
                 found[doc, item].append((at - int(first[doc]), size))
             for (doc, item), places in found.items():
-                alike, start, n = block.best(item, hashes[first[doc] : first[doc + 1]], places)
+                text = hashes[first[doc] : first[doc + 1]]
+                if not block.possible(item, text):
+                    continue
+                alike, start, n = block.best(item, text, places)
                 if alike >= block.threshold - 1e-9:
                     rows.append((ids[low + doc].as_py(), block.ids[item], start, n, alike))
         yield pa.RecordBatch.from_arrays(
@@ -325,20 +343,22 @@ def cleaned(
     docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, with their columns; nothing is shuffled."""
+    """The rows of ``docs`` that contain no benchmark item, with their columns; nothing is shuffled.
+
+    Only the column text is looked at; all columns come back as they were, whatever their names. Null and empty texts
+    contain nothing and stay, rows that repeat stay or go together, null doc_ids are kept as they are. Items without
+    words are contained in nothing; no items leave all rows, no rows give none.
+    """
     spark, common = docs.sparkSession, common_shingles(benchmark, shingle)
 
-    def run(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad = np.zeros(batch.num_rows, dtype=bool)
-            place = pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(batch.num_rows)), batch.column("text")], ["doc_id", "text"]
-            )
-            for hits in _hits(iter([place]), block):
-                bad[hits.column("doc_id").to_numpy()] = True
-            yield batch.filter(pa.array(~bad))
+    def clean(texts: pa.Array, block: Block) -> np.ndarray:
+        good = np.ones(len(texts), dtype=bool)
+        place = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), texts], ["doc_id", "text"])
+        for hits in _hits(iter([place]), block):
+            good[hits.column("doc_id").to_numpy()] = False
+        return good
 
     for items in blocks(benchmark, block_bytes):
         block = spark.sparkContext.broadcast(Block(items, shingle, threshold, common))
-        docs = docs.mapInArrow(lambda batches, b=block: run(batches, b.value), docs.schema)
+        docs = filtered(docs, lambda texts, b=block: clean(texts, b.value))
     return docs

@@ -250,10 +250,15 @@ def near_duplicates(
 def unique_documents(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each group of near duplicates, that of the smallest doc_id, with its columns.
 
-    Of rows with one doc_id the first by text stays. Rows with a null doc_id stay.
+    Reads doc_id and text; all columns come back as they were, whatever their names. Of rows with one doc_id the first
+    by text stays. Rows with a null doc_id stay, and so do null, empty and blank texts, which are like nothing. No rows
+    give no rows.
     """
     named = docs.where("doc_id IS NOT NULL")
-    kept = near_duplicates(named, shingle, threshold).where("kept").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    rows = named.join(kept, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
-    return rows.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    kept = near_duplicates(named.select("doc_id", "text"), shingle, threshold).where("kept").select(
+        F.col("doc_id").alias("id")
+    ).distinct()
+    rows = named.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("own"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("own"))
+    unique = rows.join(kept, "id", "left_semi").withColumn("first", first).where("first = 1").select("row.*")
+    return unique.unionByName(docs.where("doc_id IS NULL"))

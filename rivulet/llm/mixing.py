@@ -149,17 +149,22 @@ def mixture(
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it is taken, with their columns."""
+    """The rows of ``docs`` that the mix takes, each as often as it is taken, with their columns.
+
+    Reads doc_id, source and text; all columns come back as they were, whatever their names. A null source is a source
+    of its own, a null doc_id an id like any other. Null and empty texts have no words and are taken as often as their
+    source's whole epochs. Rows that repeat (same id, source and text) share what the mix takes of them as evenly as it
+    goes. No rows give no rows.
+    """
     plan = mixture(measured(docs), weights, most).groupBy("doc_id", "source", "text_hash").agg(
-        F.sum("copies").alias("_copies"), F.count("*").alias("_equal")
-    ).where("_copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "_copies",
-        "_equal",
+        F.sum("copies").alias("copies"), F.count("*").alias("equal")
+    ).where("copies > 0")
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("origin"),
+        F.xxhash64("text").alias("own"),
     )
-    rows = docs.withColumn("_own", F.xxhash64("text"))
-    same = rows.doc_id.eqNullSafe(plan._id) & rows.source.eqNullSafe(plan._source) & (rows._own == plan._hash)
-    # Equal rows share what is taken of them as evenly as it goes.
-    turn = F.row_number().over(Window.partitionBy("_id", "_source", "_hash").orderBy("_own"))
-    taken = F.expr("_copies div _equal") + (F.col("_turn") <= F.col("_copies") % F.col("_equal")).cast("long")
-    each = rows.join(plan, same).withColumn("_turn", turn).withColumn("_taken", taken).where("_taken > 0")
-    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_taken")))).select(*docs.columns)
+    same = rows.id.eqNullSafe(plan.doc_id) & rows.origin.eqNullSafe(plan.source) & (rows.own == plan.text_hash)
+    turn = F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy("own"))
+    taken = F.expr("copies div equal") + (F.col("turn") <= F.col("copies") % F.col("equal")).cast("long")
+    each = rows.join(plan, same).withColumn("turn", turn).withColumn("taken", taken).where("taken > 0")
+    return each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken")))).select("row.*")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from rivulet.llm import words
-from rivulet.llm.components import written
+from rivulet.llm.components import filtered, written
 
 LEXICON_SAMPLE = 40_000
 SAMPLE = 20_000
@@ -337,6 +337,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     return Scorer(known.value, np.frombuffer(bytes(model[0]), dtype=np.float32), model[1])
 
 
+def _scores(scorer: Scorer, column: pa.Array) -> np.ndarray:
+    own = [np.zeros(0)]
+    for _, _, data, offsets in words.slices(column):
+        own.append(probability(scorer, data, offsets))
+    return np.concatenate(own)
+
+
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with bad_score (probability of being bad, double) and kept (boolean) added.
 
@@ -350,10 +357,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.zeros(0)]
-            for _, _, data, offsets in words.slices(batch.column("text")):
-                own.append(probability(scorer.value, data, offsets))
-            score = np.concatenate(own)
+            score = _scores(scorer.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(score), pa.array(score < threshold)],
                 [*batch.schema.names, "bad_score", "kept"],
@@ -361,3 +365,12 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
     added = [T.StructField("bad_score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with their columns.
+
+    As ``scored``, but nothing is added: all columns come back as they were, whatever their names.
+    """
+    scorer = docs.sparkSession.sparkContext.broadcast(learn(docs.select("doc_id", "text"), labels))
+    return filtered(docs, lambda texts: _scores(scorer.value, texts) < threshold)

@@ -102,5 +102,10 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The rows of ``docs`` with their columns and the shard of their doc_id; a column named shard is replaced."""
-    return place(docs, F.col("doc_id"), tree(shards), "shard")
+    """The rows of ``docs`` with their columns and the shard of their doc_id; a column named shard is replaced.
+
+    Reads doc_id alone; all other columns come back as they were, whatever their names. A null doc_id is a key like any
+    other, rows that repeat a doc_id share a shard, null and empty texts are rows like any other. No rows give no rows.
+    """
+    rows = docs.drop("shard").select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    return place(rows, F.col("id"), tree(shards), "shard").select("row.*", "shard")

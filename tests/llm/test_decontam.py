@@ -58,7 +58,7 @@ def test_lightly_edited_passages(spark):
 def test_simhashes_match_bit_counts():
     draw = np.random.default_rng(1)
     hashes = draw.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2) + draw.integers(0, 2, 500, dtype=np.uint64)
-    for size, stride in ((1, 1), (12, 4), (200, 50), (254, 3)):
+    for size, stride in ((1, 1), (12, 4), (200, 50), (254, 3), (255, 7), (480, 3)):
         got = decontam.simhashes(hashes, size, stride)
         assert len(got) == len(range(0, 500 - size + 1, stride))
         for at, value in zip(range(0, 500 - size + 1, stride), got.tolist()):
@@ -148,3 +148,52 @@ def test_every_edited_passage_of_the_threshold_is_found():
         else:
             assert item not in got
     assert alike > 150
+
+
+def template_corpus(shared, own, count, turns, seed):
+    """Items that share a template, and documents that hold an item's own part and some of the template."""
+    draw = random.Random(seed)
+    stock = [f"t{draw.randrange(10**6)}" for _ in range(shared)]
+    bench = [(k, [*stock, *(f"o{draw.randrange(10**6)}" for _ in range(own))]) for k in range(count)]
+    rows = []
+    for turn in range(turns):
+        words = bench[turn % count][1]
+        start = draw.choice([shared - draw.randint(0, 9), shared - draw.randint(3, 9), draw.randrange(shared)])
+        around = [[f"v{draw.randrange(10**6)}" for _ in range(draw.choice([0, 0, 2, 30]))] for _ in range(2)]
+        part = words[start:]
+        if turn % 4 == 3:
+            part = list(part)
+            part[draw.randrange(len(part))] = "edit"
+        rows.append((turn, " ".join([*around[0], *part, *around[1]])))
+    return [(k, " ".join(w)) for k, w in bench], rows
+
+
+def best_similarity(block, item, text):
+    (hashes, _, _, _), = decontam._words(decontam.pa.array([text]))
+    n = block.sizes[item]
+    return max(block.similarity(item, hashes[max(s, 0) : s + n]) for s in range(1 - n, len(hashes)))
+
+
+def test_query_finds_all_of_the_threshold_with_templates_under_any_partitioning(spark):
+    for shared, own, count in ((70, 30, 20), (70, 20, 20), (40, 15, 25)):
+        bench, rows = template_corpus(shared, own, count, 60, shared + own)
+        benchmark = items(spark, bench)
+        block = decontam.Block(bench, 5, 0.8, decontam.common_shingles(benchmark))
+        want = {(k, k % count) for k, text in rows if best_similarity(block, k % count, text) >= 0.8}
+        docs = documents(spark, rows)
+        first, second = (
+            sorted(map(tuple, decontam.contaminated(part, benchmark).collect()))
+            for part in (docs.coalesce(1), docs.repartition(5))
+        )
+        assert first == second
+        assert {(d, i) for d, i, *_ in first} >= want and len(want) > 8
+        assert all(alike >= 0.8 - 1e-9 for *_, alike in first)
+
+
+def test_long_items_with_edits_all_over(spark):
+    draw = random.Random(8)
+    long = [f"w{draw.randrange(10**6)}" for _ in range(2_000)]
+    changed = [f"x{k}" if k % 90 == 45 else w for k, w in enumerate(long)]
+    docs = documents(spark, [(1, " ".join(changed)), (2, " ".join(long[:1_000])), (3, "a b " + " ".join(long))])
+    got = decontam.contaminated(docs, items(spark, [(7, " ".join(long))])).collect()
+    assert {(r.doc_id, r.item_id, r.start) for r in got} == {(1, 7, 0), (3, 7, 2)}
