@@ -1,18 +1,22 @@
 """Score texts with a probabilistic suffix tree over words.
 
-Nodes are contexts of up to ``DEPTH`` preceding words. A context is a candidate if its share of the training tokens is
-at least ``CONTEXT_SHARE``; next symbols get a distribution of their own in it if the pair's share is at least
-``PAIR_SHARE``. These shares are the tree's minimum probabilities, and they bound it: there are at most 1 / share
-contexts or pairs a level, whatever the corpus. A candidate is retained if its next-symbol distribution diverges from
-that of its parent (the context without its farthest word): the log-likelihood ratio over its occurrences must exceed
-``DIVERGENCE`` per symbol of its own. Distributions are smoothed by absolute discounting; the mass set free goes to the
-other symbols in proportion to the parent's distribution, down to the base distribution over all words at the root. So
-every context's probabilities sum to 1 with unseen words as one symbol, like the base. A token is scored in the longest
-retained suffix of its history.
-
-Word counts are exact and complete, and grow with the corpus. Common words (share at least ``COMMON_SHARE``, so at most
-1 / share of them) are known to every task. All other words meet their counts in a shuffle by word, where no key can
-hold more than that share of the rows; the counts stay where they are, and each document gets back its sum.
+Nodes are contexts of up to ``DEPTH`` preceding words. A context is a candidate if it occurs at least as often as a
+threshold says; next symbols get a distribution of their own in it if the pair occurs often enough. A candidate is
+retained if its next-symbol distribution diverges from that of its parent (the context without its farthest word): the
+log-likelihood ratio over its occurrences must exceed ``DIVERGENCE`` per symbol of its own. A rejected candidate has no
+distribution of its own and stands for its parent, and its own children are still tested. Distributions are smoothed by
+absolute discounting; the mass set free goes to the other symbols in proportion to the parent's distribution, down to
+the base distribution over all words at the root. So every context's probabilities sum to 1 with unseen words as one
+symbol, like the base. A token is scored in the longest retained suffix of its history.
+
+Word counts are exact and complete, and grow with the corpus. The tree grows with it, too: with N training tokens the
+thresholds are at most sqrt(N) / ``COMMON`` occurrences for a word to be common and to be a context, sqrt(N) /
+``CONTEXT`` for a longer context, and sqrt(N) / ``PAIR`` for a pair, and never more than small shares of N. So the tree
+has at most ``CONTEXT`` * sqrt(N) contexts and ``PAIR`` * sqrt(N) pairs a level, 18 million at 5e9 tokens if every token
+fell on a pair of just the least count, and can be sent to every task; this is the price of scoring without a shuffle
+of all tokens at every level, and phrases rarer than that are scored in shorter contexts. Common words are known to
+every task. All other words meet their counts in a shuffle by word, where no key has more rows than a common word has
+occurrences; the counts stay where they are, and each document gets back its sum.
 """
 
 from __future__ import annotations
@@ -28,9 +32,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rivulet.llm import words
 from rivulet.llm.components import written
 
-COMMON_SHARE = 1e-5
-CONTEXT_SHARE = 1e-4
-PAIR_SHARE = 5e-7
+DEPTH = 4
+COMMON, COMMON_SHARE = 16, 1e-5
+CONTEXT, CONTEXT_SHARE = 16, 1e-4
+PAIR, PAIR_SHARE = 256, 5e-7
 LEAST_PAIR = 3
 DIVERGENCE = 1.0
 DISCOUNT = 0.5
@@ -49,8 +54,9 @@ class Tree:
     counts: np.ndarray
     tokens: int
     distinct: int
+    # The contexts of one word by that word; then, by level, those of more by (nearer context, farther word).
     first: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-    second: dict[int, np.ndarray] = field(default_factory=dict)
+    deeper: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     node_parent: list[int] = field(default_factory=lambda: [0])
     alpha: list[float] = field(default_factory=lambda: [1.0])
     pair_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
@@ -60,6 +66,10 @@ class Tree:
     def total(self) -> float:
         return self.tokens + ADDED * (self.distinct + 1)
 
+    def least(self, wanted: int, share: float) -> float:
+        """The occurrences that a threshold asks for."""
+        return min(share * self.tokens, self.tokens ** 0.5 / wanted)
+
     def base(self, symbols: np.ndarray) -> np.ndarray:
         return (self.counts[symbols] + ADDED) / self.total
 
@@ -120,17 +130,18 @@ def _nodes(tree: Tree, symbols: np.ndarray, rows: np.ndarray, depth: int) -> np.
     begin = len(tree.symbols)
     previous = _history(symbols, rows, 1, begin)
     found = np.where(previous >= 0, tree.first[previous], 0) if len(tree.first) else np.zeros(len(rows), np.int64)
-    if depth > 1 and tree.second:
-        width = begin + 1
-        before = _history(symbols, rows, 2, begin)
-        at = _find(tree.second["keys"], np.where((found > 0) & (before >= 0), found * width + before, -1))
-        found = np.where(at >= 0, tree.second["nodes"][at], found)
+    reached = found
+    for back, (keys, nodes) in enumerate(tree.deeper[: depth - 1], 2):
+        before = _history(symbols, rows, back, begin)
+        at = _find(keys, np.where((reached > 0) & (before >= 0), reached * (begin + 1) + before, -1))
+        # Only a context that was reached in full has longer ones.
+        reached = np.where(at >= 0, nodes[at], 0) if len(nodes) else np.zeros(len(rows), np.int64)
+        found = np.where(reached > 0, reached, found)
     return found
 
 
-def _pairs(tree: Tree, depth: int):
-    """Key function: node of exactly ``depth`` x symbols + symbol, for common symbols."""
-    floor = 1 if depth == 1 else int(tree.second["nodes"].min())
+def _pairs(tree: Tree, depth: int, floor: int):
+    """Key function: node of exactly ``depth`` (those from ``floor`` on) x symbols + symbol, for common symbols."""
 
     def keys(tokens: np.ndarray, rows: np.ndarray) -> np.ndarray:
         symbols = _find(tree.symbols, tokens)
@@ -141,30 +152,51 @@ def _pairs(tree: Tree, depth: int):
     return keys
 
 
-def _grow(tree: Tree, pairs: np.ndarray, counts: np.ndarray, seen: dict[int, int], divergence: float) -> set[int]:
-    """Add the distributions of candidate nodes that pass the divergence test; returns the nodes retained."""
-    width, kept, new_keys, new_logs = len(tree.symbols), set(), [], []
-    order = np.argsort(pairs)
-    pairs, counts = pairs[order], counts[order]
-    heads = np.flatnonzero(np.concatenate([[True], pairs[1:] // width != pairs[:-1] // width])) if len(pairs) else []
-    for s, e in zip(heads, [*heads[1:], len(pairs)]):
-        node, symbols = int(pairs[s] // width), pairs[s:e] % width
-        n, total = counts[s:e], seen[node]
-        parent = 10.0 ** _log_probability(tree, np.full(e - s, tree.node_parent[node]), symbols)
-        own = (n - DISCOUNT) / total
-        rest, parent_rest = 1 - own.sum(), max(1 - parent.sum(), 1e-12)
-        gain = float((n * np.log(own / parent)).sum()) + max(total - n.sum(), 0) * float(np.log(rest / parent_rest))
-        if gain < divergence * (len(symbols) + 1):
-            continue
-        kept.add(node)
-        tree.alpha[node] = rest / parent_rest
-        new_keys.append(pairs[s:e])
-        new_logs.append(np.log10(own))
-    if kept:
-        keys = np.concatenate([tree.pair_keys, *new_keys])
-        order = np.argsort(keys)
-        tree.pair_keys, tree.pair_logs = keys[order], np.concatenate([tree.pair_logs, *new_logs])[order]
-    return kept
+def _grow(tree: Tree, pairs: np.ndarray, counts: np.ndarray, seen: np.ndarray, floor: int, divergence: float) -> None:
+    """Give the candidate nodes from ``floor`` on that pass the divergence test their distributions.
+
+    ``pairs`` are sorted; ``seen`` has the occurrences of each candidate.
+    """
+    if not len(pairs):
+        return
+    width = len(tree.symbols)
+    node, symbols = pairs // width, pairs % width
+    heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    each = np.diff(np.append(heads, len(pairs)))
+    total = np.repeat(seen[node[heads] - floor], each)
+    parent = 10.0 ** _log_probability(tree, np.array(tree.node_parent)[node], symbols)
+    own = (counts - DISCOUNT) / total
+    rest = 1 - np.add.reduceat(own, heads)
+    parent_rest = np.maximum(1 - np.add.reduceat(parent, heads), 1e-12)
+    others = np.maximum(total[heads] - np.add.reduceat(counts, heads), 0)
+    gain = np.add.reduceat(counts * np.log(own / parent), heads) + others * np.log(rest / parent_rest)
+    kept = gain >= divergence * (each + 1)
+    alpha = np.array(tree.alpha)
+    alpha[node[heads][kept]] = (rest / parent_rest)[kept]
+    tree.alpha = alpha.tolist()
+    new = np.repeat(kept, each)
+    # Nodes are numbered level by level, so the keys stay sorted.
+    tree.pair_keys = np.concatenate([tree.pair_keys, pairs[new]])
+    tree.pair_logs = np.concatenate([tree.pair_logs, np.log10(own[new])])
+
+
+def _longer(tree: Tree, paths: np.ndarray, pairs: np.ndarray, counts: np.ndarray, floor: int, end: int):
+    """The contexts that the pairs of one level are, often enough, for the next level.
+
+    ``paths`` has the words of each node of the level, the nearest first. Gives key (nearer context, farther word),
+    parent, path and occurrences of each, by key.
+    """
+    width = len(tree.symbols)
+    often = (counts >= tree.least(CONTEXT, CONTEXT_SHARE)) & (pairs % width != end)
+    path = np.column_stack([pairs[often] % width, paths[pairs[often] // width - floor]])
+    parent = tree.first[path[:, 0]]
+    for depth, (keys, nodes) in enumerate(tree.deeper, 1):
+        at = _find(keys, parent * (width + 1) + path[:, depth])
+        parent = np.where((parent > 0) & (at >= 0), nodes[at] if len(nodes) else 0, 0)
+    known = parent > 0
+    key = parent[known] * (width + 1) + path[known, -1]
+    order = np.argsort(key)
+    return key[order], parent[known][order], path[known][order], counts[often][known][order]
 
 
 def _log_probability(tree: Tree, nodes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -200,55 +232,46 @@ def learn(training: DataFrame, divergence: float = DIVERGENCE) -> Tree:
 
     vocabulary = written(counts(lambda tokens, rows: tokens), "vocabulary")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = vocabulary.where(F.col("n") >= COMMON_SHARE * tokens).toArrow()
+    tree = Tree(np.zeros(0, np.uint64), np.zeros(0, np.int64), tokens, distinct)
+    common = vocabulary.where(F.col("n") >= tree.least(COMMON, COMMON_SHARE)).toArrow()
     symbols, n = common["key"].to_numpy().view(np.uint64), common["n"].to_numpy()
     order = np.argsort(symbols)
-    tree = Tree(symbols[order], n[order], tokens, distinct)
+    tree.symbols, tree.counts = symbols[order], n[order]
     if not tokens:
         return tree
 
-    def grow(depth: int, seen: dict[int, int]) -> tuple[np.ndarray, np.ndarray, set[int]]:
-        shared = training.sparkSession.sparkContext.broadcast(tree)
-        least = max(PAIR_SHARE * tokens, LEAST_PAIR)
-        found = training.select("text").mapInArrow(
-            lambda batches: _counted(batches, _pairs(shared.value, depth)), "key long, n long"
-        ).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-        pairs, n = found["key"].to_numpy(), found["n"].to_numpy()
-        return pairs, n, _grow(tree, pairs, n, seen, divergence)
-
+    width = len(tree.symbols)
     end = int(_find(tree.symbols, np.array([END]))[0])
     texts = int(vocabulary.where(F.col("key") == int(words.signed(np.array([END]))[0])).first()["n"])
     # One word of context: the common words but the end, and the beginning of a text, whose number is len(symbols).
-    width = len(tree.symbols)
-    candidates = [k for k in np.flatnonzero(tree.counts >= CONTEXT_SHARE * tokens).tolist() if k != end] + [width]
+    often = np.flatnonzero(tree.counts >= tree.least(CONTEXT, CONTEXT_SHARE))
+    paths = np.append(often[often != end], width)[:, None]
+    seen = np.append(tree.counts[paths[:-1, 0]], texts)
     tree.first = np.zeros(width + 1, dtype=np.int64)
-    tree.first[candidates] = np.arange(1, len(candidates) + 1)
-    tree.node_parent = [0] * (len(candidates) + 1)
-    tree.alpha = [1.0] * (len(candidates) + 1)
-    seen = {int(tree.first[k]): texts if k == width else int(tree.counts[k]) for k in candidates}
-    pairs, n, kept = grow(1, seen)
-    word_of = {int(tree.first[k]): k for k in candidates}
-    # Two words: the pairs that are common enough and whose nearer word is a context.
-    keys, seen_two = [], {}
-    often = n >= CONTEXT_SHARE * tokens
-    for pair, count in zip(pairs[often].tolist(), n[often].tolist()):
-        nearer = int(tree.first[pair % width])
-        if nearer in kept:
-            keys.append((nearer * (width + 1) + word_of[pair // width], nearer, count))
-    for k in candidates:
-        if int(tree.first[k]) not in kept:
-            tree.first[k] = 0
-    if not keys:
-        return tree
-    keys.sort()
-    nodes = np.arange(len(tree.node_parent), len(tree.node_parent) + len(keys))
-    tree.second = {"keys": np.array([k for k, _, _ in keys]), "nodes": nodes}
-    tree.node_parent += [parent for _, parent, _ in keys]
-    tree.alpha += [1.0] * len(keys)
-    seen_two = {int(node): count for node, (_, _, count) in zip(nodes, keys)}
-    _, _, kept = grow(2, seen_two)
-    left = np.array([int(node) in kept for node in nodes])
-    tree.second = {k: v[left] for k, v in tree.second.items()} if left.any() else {}
+    tree.first[paths[:, 0]] = np.arange(1, len(paths) + 1)
+    tree.node_parent += [0] * len(paths)
+    tree.alpha += [1.0] * len(paths)
+    floor = 1
+    for depth in range(1, DEPTH + 1):
+        shared = training.sparkSession.sparkContext.broadcast(tree)
+        found = training.select("text").mapInArrow(
+            lambda batches: _counted(batches, _pairs(shared.value, depth, floor)), "key long, n long"
+        ).groupBy("key").agg(F.sum("n").alias("n"))
+        found = found.where(F.col("n") >= max(tree.least(PAIR, PAIR_SHARE), LEAST_PAIR)).toArrow()
+        shared.unpersist()
+        pairs, n = found["key"].to_numpy(), found["n"].to_numpy()
+        order = np.argsort(pairs)
+        pairs, n = pairs[order], n[order]
+        _grow(tree, pairs, n, seen, floor, divergence)
+        if depth == DEPTH:
+            break
+        key, parents, paths, seen = _longer(tree, paths, pairs, n, floor, end)
+        if not len(key):
+            break
+        floor = len(tree.alpha)
+        tree.deeper.append((key, np.arange(floor, floor + len(key))))
+        tree.node_parent += parents.tolist()
+        tree.alpha += [1.0] * len(key)
     return tree
 
 
@@ -263,7 +286,7 @@ def _scored(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.Record
             size = high - low
             ids, held, row = (batch.column(c).slice(low, size) for c in ("doc_id", "held_out", "row"))
             symbols = _find(tree.symbols, tokens)
-            nodes = _nodes(tree, symbols, rows, 2)
+            nodes = _nodes(tree, symbols, rows, DEPTH)
             known = symbols >= 0
             score, base = np.zeros(len(tokens)), np.zeros(len(tokens))
             score[known] = _log_probability(tree, nodes[known], symbols[known])

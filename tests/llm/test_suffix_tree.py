@@ -62,7 +62,7 @@ def test_contexts_raise_held_out_likelihood(spark):
     out = [r for r in got if r.held_out]
     assert out and all(r.score > r.base_score + 10 for r in out)
     tree = learnt(spark, rows)
-    assert tree.second, "two-word contexts are retained where the farther word matters"
+    assert (np.array(tree.alpha)[tree.deeper[0][1]] != 1).any(), "two-word contexts are retained where the farther word matters"
 
 
 def test_distributions_sum_to_one(spark):
@@ -87,12 +87,13 @@ def test_tasks_agree_with_a_plain_walk(spark):
         symbols = np.array([place.get(h, -1) for h in hashes.tolist()])
         total, begin = 0.0, len(tree.symbols)
         for t, s in enumerate(symbols):
-            one = begin if t == 0 else symbols[t - 1]
-            two = None if t == 0 else (begin if t == 1 else symbols[t - 2])
-            node = int(tree.first[one]) if one >= 0 else 0
-            if node and two is not None and two >= 0 and tree.second:
-                at = np.flatnonzero(tree.second["keys"] == node * (begin + 1) + two)
-                node = int(tree.second["nodes"][at[0]]) if len(at) else node
+            history = [begin if t == back else symbols[t - back - 1] for back in range(min(t + 1, st.DEPTH))]
+            node = int(tree.first[history[0]]) if history[0] >= 0 else 0
+            reached = node
+            for (keys, nodes), word in zip(tree.deeper, history[1:]):
+                at = np.flatnonzero(keys == reached * (begin + 1) + word) if reached and word >= 0 else []
+                reached = int(nodes[at[0]]) if len(at) else 0
+                node = reached or node
             if s >= 0:
                 total += st._log_probability(tree, np.array([node]), np.array([s]))[0]
             else:
@@ -108,3 +109,51 @@ def test_nulls_repeats_and_no_rows(spark):
     assert st.scored(docs.where("false")).count() == 0
     unlearnt = st.scored(docs.where("doc_id IS NULL")).collect()
     assert [(r.n_known, r.train_tokens, round(r.base_score, 9) + 0) for r in unlearnt] == [(0, 0, 0.0)] * 2
+
+
+def counted(rows):
+    """Occurrences of every sequence of up to DEPTH + 1 tokens, from the definition."""
+    out = Counter()
+    for _, text in rows:
+        own = ["<", *tokens(text), None]
+        for i in range(len(own)):
+            for n in range(1, st.DEPTH + 2):
+                if i + n <= len(own):
+                    out[tuple(own[i : i + n])] += 1
+    return out
+
+
+def test_contexts_are_those_that_occur_often_enough(spark):
+    rows = [r for r in ((k, chained(k, 80)) for k in range(60)) if not held_out(r[0])]
+    tree, found = learnt(spark, rows), counted(rows)
+    least = tree.least(st.CONTEXT, st.CONTEXT_SHARE)
+    pair = max(tree.least(st.PAIR, st.PAIR_SHARE), st.LEAST_PAIR)
+    sizes = [int((tree.first > 0).sum()), *(len(keys) for keys, _ in tree.deeper)]
+    for depth, size in enumerate(sizes, 1):
+        want = {c for c, n in found.items() if len(c) == depth and n >= max(least, pair if depth > 1 else 0) and c[-1] is not None}
+        assert size == len(want)
+    assert len(sizes) == st.DEPTH
+
+
+def test_twice_the_corpus_has_more_contexts(spark):
+    rows = [(k, chained(k, 80)) for k in range(60)]
+    new = [(1000 + k, " ".join(f"n{w}" for w in chained(k, 80).split())) for k in range(60)]
+    once, twice = (learnt(spark, own) for own in (rows, rows + new))
+    assert len(twice.alpha) > 1.3 * len(once.alpha) and len(twice.pair_keys) > 1.3 * len(once.pair_keys)
+
+
+def test_children_of_rejected_contexts_are_tested(spark):
+    # Words mostly repeat the word two before: the word before alone says nothing about the next one.
+    draw, rows = random.Random(5), []
+    for k in range(300):
+        out = [draw.choice("uv"), draw.choice("uv")]
+        while len(out) < 60:
+            out.append(out[-2] if draw.random() < 0.9 else draw.choice("uv"))
+        rows.append((k, " ".join(out)))
+    tree = learnt(spark, rows)
+    (_, _, hashes, _), = st._tokens(pa.array(["u v"]))
+    singles = [int(tree.first[np.flatnonzero(tree.symbols == h)[0]]) for h in hashes[:2]]
+    assert [tree.alpha[k] for k in singles] == [1.0, 1.0], "one word does not diverge"
+    keys, nodes = tree.deeper[0]
+    children = nodes[np.isin(keys // (len(tree.symbols) + 1), singles)]
+    assert (np.array(tree.alpha)[children] != 1.0).sum() >= 4
