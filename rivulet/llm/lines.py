@@ -1,10 +1,12 @@
 """Line dedup over levelled sorted runs, in DataFrame expressions only.
 
 The index holds one row per line key ever seen, with the document that holds it, in runs that are bucketed and sorted
-by the key's hash. A batch's keys are aggregated first, merged against every run (the keys already held and, by the
-anti-join, the new ones), and the new keys become a run of their own on level 0. When a level has ``FANOUT`` runs they
-are merged into one run of the next level, so a key is rewritten once per level and lookups meet a logarithmic number
-of runs. Batches come in ascending order of doc_id, so that the holder is the smallest id.
+by the key's hash. A batch's keys are aggregated and dealt out once, into a table of the same buckets; from there on
+everything is a merge of buckets without a shuffle: the anti-join with every run leaves the new keys, which become a
+run of level 0, and the join with the runs then gives every key's holder. When a level would have ``FANOUT`` runs they
+are merged with the new one, by outer joins of their disjoint keys, into one run of the next level, so a key is
+rewritten once per level and lookups meet a logarithmic number of runs. Batches come in ascending order of doc_id, so
+that the holder is the smallest id.
 """
 
 from __future__ import annotations
@@ -42,51 +44,66 @@ def key_rows(docs: DataFrame, least: int = LEAST_LENGTH) -> DataFrame:
     )
 
 
+KEY = ["a", "b"]
+
+
 class LineRuns:
-    """The levelled runs. Runs live as bucketed tables below the shared folder."""
+    """The levelled runs. They are bucketed tables below the shared folder; ``close`` takes them off the catalog."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
+        self.names: list[str] = []
 
-    def _run(self, rows: DataFrame) -> DataFrame:
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        """Written as one sorted file a bucket; rows that are dealt by the key already are not dealt again."""
         name = f"line_run_{uuid.uuid4().hex}"
-        placed = rows.select("a", "b", "holder").repartition(self.buckets, "a")
-        placed.write.bucketBy(self.buckets, "a").sortBy("a", "b").option(
+        self.names.append(name)
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option(
             "path", workspace(self.spark, "line-run")
         ).saveAsTable(name)
         return self.spark.table(name)
 
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
+
     def add(self, lines: DataFrame) -> DataFrame:
         """Take in a batch of ``key_rows`` whose ids follow those before; returns its lines to drop."""
-        keys = lines.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        runs = [run for level in self.levels for run in level]
-        for k, run in enumerate(runs):
-            keys = keys.join(run.withColumnRenamed("holder", f"held{k}"), ["a", "b"], "left")
-        held = F.coalesce(*(f"held{k}" for k in range(len(runs))), F.lit(None).cast("long"))
-        keys = written(keys.select("a", "b", "first", "last", held.alias("held")), "line-keys")
-        self._keep(keys.where("held IS NULL").withColumnRenamed("first", "holder"))
-        repeated = keys.withColumn("holder", F.coalesce("held", "first")).where("last <> holder")
-        return lines.join(repeated.select("a", "b", "holder"), ["a", "b"]).where("doc_id <> holder").select(
-            "doc_id", "text_hash", "pos"
-        )
+        ends = lines.groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        keys = self._bucketed(ends)
+        new = keys.select(*KEY, F.col("first").alias("holder"))
+        for run in self.runs():
+            new = new.join(run.hint("merge"), KEY, "left_anti")
+        self._keep(new)
+        repeated = None
+        for run in self.runs():
+            own = keys.join(run.hint("merge"), KEY).where("last <> holder").select(*KEY, "holder")
+            repeated = own if repeated is None else repeated.unionByName(own)
+        return lines.join(repeated, KEY).where("doc_id <> holder").select("doc_id", "text_hash", "pos")
 
     def _keep(self, rows: DataFrame) -> None:
         level = 0
         while True:
             if level == len(self.levels):
                 self.levels.append([])
-            self.levels[level].append(self._run(rows))
-            if len(self.levels[level]) < self.fanout:
+            if len(self.levels[level]) + 1 < self.fanout:
+                self.levels[level].append(self._bucketed(rows))
                 return
-            merged = self.levels[level]
+            # No key is in two runs: an outer join of sorted runs is their merge.
+            for run in self.levels[level]:
+                other = run.withColumnRenamed("holder", "other")
+                rows = rows.join(other.hint("merge"), KEY, "full_outer").select(
+                    *KEY, F.coalesce("holder", "other").alias("holder")
+                )
             self.levels[level] = []
-            rows = merged[0]
-            for run in merged[1:]:
-                rows = rows.unionByName(run)
             level += 1
 
+    def close(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names, self.levels = [], []
+
 
 def in_order(docs: DataFrame, batches: int) -> Column:
     """The number of a document's batch; batches are ranges of doc_id of about equal size."""
@@ -113,6 +130,7 @@ def deduplicated(docs: DataFrame, least: int = LEAST_LENGTH, batches: int = BATC
     for batch in range(batches):
         own = written(runs.add(lines.where(F.col("batch") == batch).drop("batch")), "line-drops")
         drops = own if drops is None else drops.unionByName(own)
+    runs.close()
     gone = drops.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     every = F.split("text", "\n")
     found = rows.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left").withColumn(

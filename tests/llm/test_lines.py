@@ -59,6 +59,29 @@ def test_runs_stay_few(spark):
     assert runs.levels[3][0].count() == 9
 
 
+def test_runs_are_read_in_place_and_dropped(spark):
+    runs = lines.LineRuns(spark, fanout=3)
+    docs = documents(spark, [(k, f"a line of document {k}\na line of all\nanother one {k % 2}") for k in range(10)])
+    keyed = lines.key_rows(docs)
+    for k in range(5):
+        runs.add(keyed.where(f"doc_id = {k}")).collect()
+    before = {t.name for t in spark.catalog.listTables()}
+    assert set(runs.names) <= before
+    ends = runs._bucketed(keyed.groupBy("a", "b").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "holder"))
+    for how in ("left_anti", "inner", "full_outer"):
+        for run in runs.runs():
+            plan = ends.join(run.withColumnRenamed("holder", "other").hint("merge"), ["a", "b"], how)
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in text and text.count("Bucketed: true") == 2
+    assert all(len(level) < 3 for level in runs.levels)
+    names = set(runs.names)
+    runs.close()
+    assert not names & {t.name for t in spark.catalog.listTables()}
+    left = {t.name for t in spark.catalog.listTables()}
+    lines.deduplicated(docs).collect()
+    assert {t.name for t in spark.catalog.listTables()} == left
+
+
 def test_all_lines_gone_repeats_and_no_rows(spark):
     rows = [(1, "one long enough line"), (2, "one long enough line"), (1, "one long enough line"), (2, "one long enough line")]
     docs = documents(spark, rows).selectExpr("*", "1 AS a", "2 AS b", "3 AS pos", "4 AS holder", "5 AS gone")
