@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rivulet.functions.times import epoch_millis, period_start
-from rivulet.operators.ordered import running_max_before
+from rivulet.operators.ordered import running_max_before, same_keys
 
 WATERMARK_DELAY_S = 5
+# Offsets that one task of an as-of join takes in order at a time.
+OFFSET_SLICE = 4096
 
 
 def late_flags(
@@ -60,3 +62,36 @@ def lag_stats(
         (F.col("latest_offset") - F.coalesce(F.col("committed_offset"), F.col("__first") - 1)).alias("offset_lag"),
         (epoch_millis(F.col("__newest")) - epoch_millis(reached)).alias("millis_behind"),
     )
+
+
+def as_of(points: DataFrame, index: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """The rows of ``points`` with the ``value`` of the index row that has the greatest ``at`` not beyond
+    theirs, by ``keys``; null where none has. Of index rows at one place the largest value counts.
+
+    Both sides fall into slices of ``at``, which are summed up and scanned, so that no key is put in
+    order as a whole: see ``running_max_before``. A point without a place has no value.
+    """
+    held = F.struct(F.col(at).alias("at"), F.col(value).alias("value"))
+    known = index.where(F.col(at).isNotNull() & F.col(value).isNotNull()).select(
+        *keys, F.col(at).alias("__at"), held.alias("__held"), F.lit(0).alias("__kind")
+    )
+    asked = points.select(
+        *keys, F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.struct(*points.columns).alias("__point")
+    )
+    both = known.unionByName(asked, allowMissingColumns=True).withColumn("__place", F.timestamp_seconds("__at"))
+    found = running_max_before(both, keys, "__place", "__kind", "__held", "__found", slice_s=OFFSET_SLICE)
+    value_there = F.when(F.col("__at").isNotNull(), F.col("__found.value"))
+    return found.where("__kind = 1").select("__point.*", value_there.alias(value))
+
+
+def time_lag(commits: DataFrame, index: DataFrame, keys: list[str], offset: str, ts: str) -> DataFrame:
+    """Estimated time lag of every commit: the newest indexed time of its partition less the time that the
+    index has for the committed offset, in milliseconds.
+
+    The index maps some offsets to times and may be sparse; a commit before its first entry, or of a
+    partition it does not know, has no lag.
+    """
+    newest = index.groupBy(*keys).agg(F.max(ts).alias("__newest"))
+    reached = as_of(commits, index, keys, offset, ts)
+    behind = (epoch_millis(F.col("__newest")) - epoch_millis(F.col(ts))).alias("millis_behind")
+    return same_keys(reached, newest, keys, "left").select(*commits.columns, F.col(ts).alias("reached"), behind)

@@ -86,6 +86,41 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, q: float, out:
     return found.select(*keys, exact.alias(out))
 
 
+# Size of the quantile sketches, and how far the rank of an estimate may be off (a share of the
+# datapoints, at 99 % confidence). Groups of at most this many datapoints are kept whole.
+SKETCH_K, SKETCH_RANK_ERROR = 2000, 0.0025
+
+
+def quantile_sketches(df: DataFrame, keys: list[str], period_s: int = MINUTE, k: int = SKETCH_K) -> DataFrame:
+    """keys, period, datapoints and a quantile sketch of ``value``: the finest level that is kept.
+
+    A sketch has a few kilobytes whatever the number of datapoints, combines before the shuffle, and
+    merges with others, so any coarser period and any wider dimension comes from these rows alone.
+    Null values are no datapoints. Works on streams, too.
+    """
+    return with_period(df, period_s).groupBy(*keys, "period").agg(
+        F.count("value").alias("datapoints"), F.kll_sketch_agg_double("value", F.lit(k)).alias("sketch")
+    )
+
+
+def merged_quantile(
+    sketches: DataFrame, keys: list[str], period_s: int, q: float, out: str = "stat", k: int = SKETCH_K
+) -> DataFrame:
+    """Quantile by ``keys`` and a coarser period, from sketches: the smallest value whose rank is at least
+    ``q``, off by ``SKETCH_RANK_ERROR`` in rank at most and exact where the datapoints fit a sketch.
+
+    Keys that are left out are merged over, as brokers into their cluster. Groups without a datapoint
+    have no row.
+    """
+    timed = sketches.where("datapoints > 0").withColumn("period", period_start(F.col("period"), period_s))
+    merged = timed.groupBy(*keys, "period").agg(
+        F.sum("datapoints").alias("datapoints"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch")
+    )
+    return merged.select(
+        *keys, "period", "datapoints", F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(out)
+    )
+
+
 def metric_rollup(df: DataFrame, levels: list[str], period_s: int) -> DataFrame:
     """Statistics at every level of a dimension hierarchy in one pass, e.g. stream and its shards.
 

@@ -455,6 +455,10 @@ FROM latest JOIN done USING ("partition")""",
     "metric_stream": f"""
 SELECT {period(3600)} AS period, event_type AS stream, count(*) AS datapoints, round(avg(value), 9) AS average,
        round(sum(value), 9) AS total, min(value) AS lowest, max(value) AS highest
+FROM events GROUP BY 1, 2""",
+    "metric_stream_compacted": f"""
+SELECT {period(3600)} AS period, event_type AS stream, count(*) AS datapoints, round(avg(value), 9) AS average,
+       round(sum(value), 9) AS total, min(value) AS lowest, max(value) AS highest, true AS few
 FROM events GROUP BY 1, 2""",
     "metric_avg": stat_query("round(avg(value), 9)"),
     "metric_sum": stat_query("round(sum(value), 9)"),
@@ -507,6 +511,21 @@ FROM sides""",
 SELECT event_type AS stream, CAST(user_id % 3 + 1 AS VARCHAR) AS broker, {period(3600)} AS period,
        max(value) AS stat, 'Maximum disk usage' AS label, 100.0::DOUBLE AS line, max(value) >= 100 AS reached
 FROM events GROUP BY 1, 2, 3""",
+    "metric_p99_merged": f"""
+SELECT event_type AS stream, {period(86400)} AS period, count(value) AS datapoints, quantile_disc(value, 0.99) AS p99
+FROM events GROUP BY 1, 2""",
+    "time_lag": """
+WITH log AS (
+  SELECT CAST(CASE WHEN user_id % 10 < 8 THEN 0 ELSE user_id % 3 END AS INTEGER) AS "partition", event_id AS "offset", ts,
+         CAST(user_id % 2 AS INTEGER) AS consumer
+  FROM events),
+idx AS (SELECT "partition", "offset", ts FROM log WHERE "offset" % 10 = 0),
+newest AS (SELECT "partition", max(ts) AS newest FROM idx GROUP BY 1)
+SELECT c."partition", c.consumer, c."offset", i.ts AS reached,
+       epoch_us(newest) // 1000 - epoch_us(i.ts) // 1000 AS millis_behind
+FROM (SELECT * FROM log WHERE "offset" % 7 = 3) AS c
+ASOF LEFT JOIN idx AS i ON c."partition" = i."partition" AND c."offset" >= i."offset"
+LEFT JOIN newest ON newest."partition" = c."partition\"""",
     "metric_latest": f"""
 WITH stats AS (
   SELECT event_type AS stream, CAST({shard("user_id")} AS VARCHAR) AS shard, {period(300)} AS period,

@@ -669,6 +669,19 @@ def consumer_lag(spark, sf_dir):
     return lag.lag_stats(rows, ["partition"], "event_id", "ts", consumed)
 
 
+@query
+def time_lag(spark, sf_dir):
+    """Estimated time lag of the commits of two consumer groups, against a sparse index of offsets; one partition
+    holds most of the log."""
+    rows = tables.events(spark, sf_dir).select(
+        F.when(F.col("user_id") % 10 < 8, 0).otherwise(F.col("user_id") % tables.BROKERS).cast("int").alias("partition"),
+        F.col("event_id").alias("offset"), "ts", (F.col("user_id") % 2).cast("int").alias("consumer"),
+    )
+    index = rows.where(F.col("offset") % 10 == 0).select("partition", "offset", "ts")
+    commits = rows.where(F.col("offset") % 7 == 3).select("partition", "consumer", "offset")
+    return lag.time_lag(commits, index, ["partition"], "offset", "ts")
+
+
 @query
 def metric_stream(spark, sf_dir):
     """Hourly statistics by stream, computed by a streaming query."""
@@ -682,6 +695,31 @@ def metric_stream(spark, sf_dir):
     )
 
 
+BATCHES_IN = 10
+
+
+@query
+def metric_stream_compacted(spark, sf_dir):
+    """Hourly statistics by stream over several micro-batches, their folders merged level by level; and whether
+    few folders are left."""
+    root = workspace(spark, "compacted")
+    events = tables.events(spark, sf_dir)
+    events.repartitionByRange(BATCHES_IN, "ts").write.parquet(f"{root}/in")
+    rows = streams.read_files(spark, f"{root}/in", events.schema, files_per_trigger=1)
+    points = rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stream"), "value")
+    # Files come in no order of time, so nothing is late.
+    stats = windows.metric_stream(points, ["stream"], HOUR, delay="60 days")
+    windows.compacting_to_table(
+        stats, f"{root}/table", f"{root}/checkpoint", ["stream"], merge_at=3
+    ).awaitTermination()
+    few = len(windows.folders(spark, f"{root}/table")) < BATCHES_IN / 2
+    return windows.read_latest(spark, f"{root}/table", ["stream"]).select(
+        "period", "stream", "datapoints", F.round("Average", DIGITS).alias("average"),
+        F.round("Sum", DIGITS).alias("total"), F.col("Minimum").alias("lowest"), F.col("Maximum").alias("highest"),
+        F.lit(few).alias("few"),
+    )
+
+
 # --- metrics ---------------------------------------------------------------------------------------
 
 
@@ -705,6 +743,13 @@ for _name, _stat, _exact in (
     _register_stat(_name, _stat, _exact)
 
 
+@query
+def metric_p99_merged(spark, sf_dir):
+    """Daily p99 by stream, merged from sketches that are kept by minute, stream and broker."""
+    kept = metrics.quantile_sketches(_points(spark, sf_dir, "stream", "broker"), ["stream", "broker"])
+    return metrics.merged_quantile(kept, ["stream"], 24 * HOUR, 0.99, "p99")
+
+
 @query
 def metric_by_broker(spark, sf_dir):
     rows = _points(spark, sf_dir, "stream", "broker")

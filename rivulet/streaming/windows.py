@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from rivulet.operators.metrics import STATS
+from rivulet.operators.metrics import MINUTE, SKETCH_K, STATS
+from rivulet.session import fixed_table
 from rivulet.sources.streams import WATERMARK_DELAY
 from rivulet.streaming.sinks import _trigger
 
@@ -23,6 +25,19 @@ def metric_stream(
     return stats.select(F.col("window.start").alias("period"), *keys, "datapoints", *STATS)
 
 
+def sketch_stream(
+    points: DataFrame, keys: list[str], period_s: int = MINUTE, ts: str = "ts", value: str = "value",
+    delay: str = WATERMARK_DELAY, k: int = SKETCH_K,
+) -> DataFrame:
+    """Quantile sketches of a stream, the rows of ``metrics.quantile_sketches``. State is one sketch per key
+    and open period; ``metrics.merged_quantile`` reads percentiles of any coarser period from its table."""
+    period = F.window(ts, f"{period_s} seconds")
+    grouped = points.withWatermark(ts, delay).groupBy(period.alias("window"), *keys)
+    return grouped.agg(
+        F.count(value).alias("datapoints"), F.kll_sketch_agg_double(value, F.lit(k)).alias("sketch")
+    ).select(F.col("window.start").alias("period"), *keys, "datapoints", "sketch")
+
+
 def latest_to_table(
     stats: DataFrame, path: str, checkpoint: str, mode: str = "update", every_s: int | None = None
 ) -> StreamingQuery:
@@ -44,12 +59,80 @@ def latest_to_table(
     )
 
 
-def read_latest(spark, path: str, keys: list[str]) -> DataFrame:
-    """The newest row per period and key of an update-mode table."""
-    rows = spark.read.parquet(path)
+def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the latest batch per period and key."""
     values = [c for c in rows.columns if c not in ("period", "batch", *keys)]
-    newest = rows.groupBy("period", *keys).agg(F.max_by(F.struct(*values), "batch").alias("__row"))
-    return newest.select("period", *keys, "__row.*")
+    newest = rows.groupBy("period", *keys).agg(
+        F.max_by(F.struct(*values), "batch").alias("__row"), F.max("batch").alias("batch")
+    )
+    return newest.select("period", *keys, "__row.*", "batch")
+
+
+def read_latest(spark, path: str, keys: list[str]) -> DataFrame:
+    """The newest row per period and key of an update-mode table, compacted or not."""
+    parts = folders(spark, path)
+    rows = spark.read.parquet(path) if not parts else spark.read.parquet(*parts)
+    return _newest(rows, keys).drop("batch")
+
+
+# Folders of one level that are merged into one of the next.
+MERGE_AT = 8
+MANIFEST = "level int, upto long, folder string, version long"
+
+
+def folders(spark, path: str, before: int | None = None) -> list[str] | None:
+    """The folders that make up a compacted table; None if the table has no manifest."""
+    try:
+        rows = spark.read.schema(f"{MANIFEST}, slot int").parquet(f"{path}_manifest")
+        wanted = rows if before is None else rows.where(F.col("version") < before)
+        last = wanted.agg(F.max("version")).first()[0]
+        return [] if last is None else sorted(r.folder for r in wanted.where(F.col("version") == last).collect())
+    except AnalysisException:
+        return None
+
+
+def compacting_to_table(
+    stats: DataFrame, path: str, checkpoint: str, keys: list[str], every_s: int | None = None,
+    merge_at: int = MERGE_AT,
+) -> StreamingQuery:
+    """``latest_to_table`` in update mode, with folders merged level by level.
+
+    Each micro-batch writes one folder of level 0. When a level has ``merge_at`` folders, they are merged
+    into one of the next level, which keeps the newest row per period and key; so a row is rewritten once a
+    level and n micro-batches leave at most ``merge_at`` folders for each of log(n) levels. A manifest
+    lists the folders that count; the last two versions of it take turns in two places. It is written last:
+    until then readers see the version before, and a repeated micro-batch starts from that, too. Folders
+    that no version lists any more can be removed at leisure.
+    """
+    spark = stats.sparkSession
+
+    def folder(level: int, upto: int) -> str:
+        return f"{path}/level={level}/upto={upto}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        held = {}
+        for name in folders(spark, path, before=epoch) or []:
+            level = int(name.split("/level=")[1].split("/")[0])
+            held.setdefault(level, []).append(name)
+        rows, level = batch.withColumn("batch", F.lit(epoch).cast("long")), 0
+        while len(held.get(level, [])) + 1 >= merge_at:
+            merged = spark.read.parquet(*held.pop(level))
+            rows, level = _newest(rows.unionByName(merged), keys), level + 1
+        rows.write.mode("overwrite").parquet(folder(level, epoch))
+        held.setdefault(level, []).append(folder(level, epoch))
+        listed = [(k, int(n.split("/upto=")[1]), n, epoch) for k, names in held.items() for n in names]
+        table = fixed_table(spark, listed, MANIFEST).withColumn("slot", F.lit(epoch % 2))
+        table.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "slot"
+        ).parquet(f"{path}_manifest")
+
+    return (
+        stats.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(every_s))
+        .start()
+    )
 
 
 class LateRows(StreamingQueryListener):

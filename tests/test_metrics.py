@@ -251,3 +251,31 @@ def test_the_catalogue_reads_the_table_twice_at_most(spark, sf_dir):
         final = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
         scans = {m for m in re.findall(r"FileScan parquet.*?ReadSchema: \S+", final, re.S)}
         assert len({re.sub(r"#\d+L?|plan_id=\d+|id=#\d+", "", s) for s in scans}) <= 2
+
+
+def test_merged_sketches_keep_to_their_rank_error(spark):
+    rows = spark.range(0, 200_000, 1, 7).select(
+        F.timestamp_seconds(F.col("id") % 7200).alias("ts"), (F.col("id") % 3).cast("string").alias("broker"),
+        (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) * 1.0).alias("value"), F.lit("s").alias("stream"),
+    )
+    kept = metrics.quantile_sketches(rows, ["stream", "broker"])
+    assert kept.count() == 360
+    values = {}
+    for r in rows.select(F.floor(F.unix_seconds("ts") / 3600).alias("h"), "value").collect():
+        values.setdefault(r.h, []).append(r.value)
+    for q in (0.5, 0.99):
+        for r in metrics.merged_quantile(kept, ["stream"], 3600, q).collect():
+            own = values[int(r.period.timestamp()) // 3600]
+            rank = sum(v <= r.stat for v in own) / len(own)
+            assert r.datapoints == len(own) and abs(rank - q) <= metrics.SKETCH_RANK_ERROR
+    small = metrics.merged_quantile(kept.where("broker = '1'"), ["stream", "broker"], 300, 0.99)
+    assert small.count() == 24
+
+
+def test_sketches_of_nulls_and_no_rows(spark):
+    none = spark.createDataFrame([("s", "2024-01-01", None)], "stream string, ts string, value double")
+    none = none.withColumn("ts", F.col("ts").cast("timestamp"))
+    kept = metrics.quantile_sketches(none, ["stream"])
+    assert [r.datapoints for r in kept.collect()] == [0]
+    assert metrics.merged_quantile(kept, ["stream"], 300, 0.99).collect() == []
+    assert metrics.quantile_sketches(none.where("false"), ["stream"]).collect() == []

@@ -90,3 +90,34 @@ def test_late_flags_need_an_earlier_higher_mark(spark):
     )
     out = lag.late_flags(df, "p", "arrival", "ts", "id")
     assert {r.id: r.late for r in out.collect()} == {1: False, 2: True, 3: False, 4: False}
+
+
+def test_as_of_takes_the_last_entry_at_or_before(spark):
+    from rivulet.operators import lag
+
+    draw = random.Random(4)
+    index = [(draw.choice([0, 0, 0, 1, None]), draw.randrange(30_000), draw.randrange(1000)) for _ in range(400)]
+    points = [(draw.choice([0, 0, 0, 1, None, 2]), draw.randrange(-5, 30_000), k) for k in range(600)] + [(0, None, 999)]
+    got = lag.as_of(
+        spark.createDataFrame(points, "p int, at long, id int").repartition(5),
+        spark.createDataFrame([*index, (0, None, 5), (0, 7, None)], "p int, at long, v int"), ["p"], "at", "v",
+    )
+    found = {r.id: (r.p, r["at"], r.v) for r in got.collect()}
+    assert len(found) == len(points)
+    for p, at, k in points:
+        known = [(a, v) for q, a, v in index if q == p and at is not None and a <= at]
+        assert found[k] == (p, at, max(known)[1] if known else None)
+
+
+def test_time_lag_of_sparse_and_unknown_partitions(spark):
+    from rivulet.operators import lag
+
+    index = spark.createDataFrame(
+        [(0, 10, "2024-01-01 00:00:10"), (0, 20, "2024-01-01 00:00:30"), (1, 5, "2024-01-01 00:01:00")],
+        "p int, o long, ts string",
+    ).withColumn("ts", F.col("ts").cast("timestamp"))
+    commits = spark.createDataFrame([(0, 9), (0, 10), (0, 19), (0, 99), (1, 5), (2, 5)], "p int, o long")
+    rows = lag.time_lag(commits, index, ["p"], "o", "ts").collect()
+    assert {(r.p, r.o): r.millis_behind for r in rows} == {
+        (0, 9): None, (0, 10): 20_000, (0, 19): 20_000, (0, 99): 0, (1, 5): 0, (2, 5): None
+    }

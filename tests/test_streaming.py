@@ -445,3 +445,51 @@ def test_null_lines_without_a_delimiter_go_to_the_errors(spark, tmp_path):
     ).awaitTermination()
     assert spark.read.text(f"{out}/s/data").count() == 2
     assert [r.error_type for r in spark.read.text(f"{out}/s/errors").collect()] == ["line"]
+
+
+def test_compaction_keeps_few_folders_and_the_newest_rows(spark, tmp_path):
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "table", "cp"))
+    schema = "ts timestamp, stream string, value double"
+
+    def run(first, last):
+        for b in range(first, last):
+            rows = [(f"2024-01-01 00:{m:02d}:30", f"s{m % 3}", float(b)) for m in range(b % 5, 20, 5)]
+            frame = spark.createDataFrame(rows, "ts string, stream string, value double")
+            frame.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
+        points = streams.read_files(spark, source, schema, files_per_trigger=1)
+        stats = windows.metric_stream(points, ["stream"], 60, delay="1 day")
+        windows.compacting_to_table(stats, path, checkpoint, ["stream"], merge_at=3).awaitTermination()
+
+    run(0, 9)
+    left = windows.folders(spark, path)
+    assert len(left) == 1 and "/level=2/" in left[0]
+    run(9, 12)
+    assert len(windows.folders(spark, path)) <= 3
+    got = {(r.period.minute, r.stream): (r.datapoints, r.Sum, r.Maximum) for r in windows.read_latest(spark, path, ["stream"]).collect()}
+    want = {}
+    for b in range(12):
+        for m in range(b % 5, 20, 5):
+            n, total, _ = want.get((m, f"s{m % 3}"), (0, 0.0, 0))
+            want[m, f"s{m % 3}"] = (n + 1, total + b, float(b))
+    assert got == want
+    assert len(glob.glob(f"{path}_manifest/slot=*")) == 2
+
+
+def test_streamed_sketches_give_percentiles(spark, tmp_path):
+    from rivulet.operators import metrics
+
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "table", "cp"))
+    rows = spark.range(3000).select(
+        F.timestamp_seconds(F.col("id") % 600).alias("ts"), (F.col("id") % 2).cast("string").alias("broker"),
+        (F.col("id") * 7919 % 3001).cast("double").alias("value"),
+    )
+    rows.repartition(3).write.parquet(source)
+    points = streams.read_files(spark, source, rows.schema, files_per_trigger=1)
+    sketches = windows.sketch_stream(points, ["broker"], delay="1 day")
+    windows.latest_to_table(sketches, path, checkpoint).awaitTermination()
+    kept = windows.read_latest(spark, path, ["broker"])
+    assert kept.count() == 20
+    (got,) = metrics.merged_quantile(kept, [], 3600, 0.99).collect()
+    exact = sorted(r.value for r in rows.collect())
+    assert got.datapoints == 3000
+    assert abs(sum(v <= got.stat for v in exact) / 3000 - 0.99) <= metrics.SKETCH_RANK_ERROR
