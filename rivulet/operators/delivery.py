@@ -9,8 +9,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from rivulet.operators.ordered import same_keys
 from rivulet.operators.packing import MAX_BYTES, MAX_RECORDS, by_invocation, number_batches, run_starts
 
 # Only this error is retried, at most three times, after 1 to 5 seconds.
@@ -389,3 +390,36 @@ def write_fixed_count(df: DataFrame, path: str, flush_size: int, tasks: int) ->
     if flush_size < 1 or tasks < 1:
         raise ValueError("flush size and tasks must be at least 1")
     df.repartition(tasks).write.mode("append").option("maxRecordsPerFile", flush_size).json(path)
+
+
+# Records that one task numbers in order at a time.
+COUNT_SLICE = 65_536
+
+
+def write_exact_count(
+    df: DataFrame, path: str, prefix: list[str], unique: str, flush_size: int, tasks: int, slice_rows: int = COUNT_SLICE
+) -> None:
+    """JSON objects below ``path/<prefix>=/`` of exactly ``flush_size`` records each, but the last of a prefix,
+    written by ``tasks`` tasks.
+
+    Records are numbered within their prefix in two steps: slices (a hash of ``unique``) are counted and
+    their counts summed up, then each slice numbers its own records from there. So a hot prefix is
+    numbered by many tasks, and the records of one object, by their number, are written by one. Equal
+    values of ``unique`` may stand in any order.
+    """
+    if flush_size < 1 or tasks < 1:
+        raise ValueError("flush size and tasks must be at least 1")
+    slices = df.count() // slice_rows + 1
+    placed = df.withColumn("__slice", F.pmod(F.xxhash64(unique), F.lit(slices)))
+    held = placed.groupBy(*prefix, "__slice").agg(F.count(F.lit(1)).alias("__held"))
+    before = Window.partitionBy(*prefix).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select(*prefix, "__slice", F.coalesce(F.sum("__held").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*prefix, "__slice").orderBy(unique)
+    numbered = same_keys(placed, starts, [*prefix, "__slice"]).withColumn(
+        "__number", F.col("__start") + F.row_number().over(inside) - 1
+    )
+    # Only full objects stand before others of their prefix in a task, so files end where objects do.
+    dealt = numbered.withColumn("__object", F.floor(F.col("__number") / flush_size)).repartition(
+        tasks, *prefix, "__object"
+    ).sortWithinPartitions(*prefix, "__number")
+    dealt.select(*df.columns).write.mode("append").option("maxRecordsPerFile", flush_size).partitionBy(*prefix).json(path)

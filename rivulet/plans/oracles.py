@@ -377,6 +377,8 @@ SELECT codec, count(*) AS records, CAST(sum(strlen({DOCUMENT_LINE})) AS BIGINT)
 FROM documents, (VALUES ('GZIP'), ('HADOOP_SNAPPY'), ('Snappy'), ('UNCOMPRESSED')) AS codecs(codec) GROUP BY 1""",
     "fixed_count": """
 SELECT count(*) AS records, CAST(100 AS BIGINT) AS most FROM events""",
+    "exact_count": """
+SELECT event_type AS prefix, count(*) AS records, count(*) // 100 AS full, count(*) % 100 AS last FROM events GROUP BY 1""",
     "keyed_routes": """
 SELECT user_id, count(*) AS records, CAST(1 AS BIGINT) AS tasks FROM events GROUP BY 1""",
     "even_routes": """

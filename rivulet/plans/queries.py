@@ -473,6 +473,21 @@ def fixed_count(spark, sf_dir):
 FLUSH_SIZE = 100
 
 
+@query
+def exact_count(spark, sf_dir):
+    """Objects of exactly so many records by event type: full ones, and what the last one holds."""
+    root = workspace(spark, "exact")
+    rows = tables.events(spark, sf_dir).select("event_id", F.col("event_type").alias("prefix"))
+    delivery.write_exact_count(rows, root, ["prefix"], "event_id", FLUSH_SIZE, tasks=2 * tables.SHARDS, slice_rows=1000)
+    files = spark.read.schema("event_id bigint, prefix string").json(root).groupBy(
+        "prefix", F.input_file_name().alias("f")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    return files.groupBy("prefix").agg(
+        F.sum("n").alias("records"), F.count_if(F.col("n") == FLUSH_SIZE).alias("full"),
+        F.coalesce(F.sum(F.when(F.col("n") != FLUSH_SIZE, F.col("n"))), F.lit(0)).alias("last"),
+    )
+
+
 @query
 def keyed_routes(spark, sf_dir):
     """Records routed by key over a fixed number of tasks: each key is in one of them."""

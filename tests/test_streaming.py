@@ -493,3 +493,17 @@ def test_streamed_sketches_give_percentiles(spark, tmp_path):
     exact = sorted(r.value for r in rows.collect())
     assert got.datapoints == 3000
     assert abs(sum(v <= got.stat for v in exact) / 3000 - 0.99) <= metrics.SKETCH_RANK_ERROR
+
+
+def test_objects_hold_exactly_so_many_records(spark, tmp_path):
+    rows = [("hot", k) for k in range(1_003)] + [("cold", k) for k in range(5)] + [(None, k) for k in range(40)]
+    df = spark.createDataFrame(rows, "p string, id long").repartition(7)
+    out = str(tmp_path / "o")
+    delivery.write_exact_count(df, out, ["p"], "id", 10, tasks=4, slice_rows=50)
+    sizes = {}
+    for f in glob.glob(f"{out}/p=*/*.json"):
+        sizes.setdefault(f.split("p=")[1].split("/")[0], []).append(sum(1 for _ in open(f)))
+    assert sorted(sizes["hot"]) == [3] + [10] * 100 and sizes["cold"] == [5]
+    assert sizes["__HIVE_DEFAULT_PARTITION__"] == [10] * 4
+    read = spark.read.schema("id long, p string").json(out)
+    assert sorted((r.p or "", r.id) for r in read.collect()) == sorted((p or "", k) for p, k in rows)
