@@ -585,6 +585,7 @@ FROM rides WHERE event_id <> 0
 UNION ALL SELECT NULL, NULL, NULL, NULL, 'json' FROM events WHERE event_type = 'purchase' AND {BAD}"""
 ORACLES["ride_enriched"] = _PRICED
 ORACLES["ride_job"] = _PRICED
+ORACLES["late_stream"] = ORACLES["late_audit"]
 
 
 def _board() -> str:

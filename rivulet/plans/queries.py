@@ -12,7 +12,7 @@ from rivulet import tables
 from rivulet.functions import fare as fares
 from rivulet.functions.payload import decode_payload, encode_payload, json_line
 from rivulet.functions.shards import shard_of
-from rivulet.functions.times import epoch_millis
+from rivulet.functions.times import epoch_millis, period_start
 from rivulet.operators import alarms, decode, delivery, enrich, lag, logs, metrics, packing, routing
 from rivulet.plans.catalog import (
     AlarmSpec, DISK_LINE, alarm_metrics, alarm_specs, metric_specs, metric_table, watched_metrics,
@@ -648,6 +648,25 @@ def late_audit(spark, sf_dir):
     return lag.late_audit(tables.arrivals(spark, sf_dir), "partition", "arrival", "ts", "event_id", HOUR)
 
 
+@query
+def late_stream(spark, sf_dir):
+    """The late audit on a live stream of several micro-batches, from rows that were split as they came."""
+    root = workspace(spark, "late")
+    rows = tables.arrivals(spark, sf_dir)
+    first, last = (F.unix_seconds(rows.agg(edge("arrival")).scalar().cast("timestamp")) for edge in (F.min, F.max))
+    share = (F.unix_seconds(F.col("arrival").cast("timestamp")) - first) * TRICKLE / (last - first + 1)
+    for turn in range(TRICKLE):
+        rows.where(F.floor(share) == turn).write.mode("append").parquet(f"{root}/in/turn={turn}")
+    stream = streams.read_files(spark, f"{root}/in/turn=*", rows.schema, files_per_trigger=1)
+    windows.late_rows_sink(
+        stream, f"{root}/out", f"{root}/checkpoint", "partition", "arrival", "ts", "event_id"
+    ).awaitTermination()
+    split = spark.read.parquet(f"{root}/out/rows").withColumn("late", F.col("late").cast("boolean"))
+    return split.groupBy("partition", period_start(F.col("arrival"), HOUR).alias("period")).agg(
+        F.count(F.lit(1)).alias("records"), F.count_if("late").alias("late")
+    )
+
+
 @query
 def event_time_latency(spark, sf_dir):
     """Lowest output less lowest input watermark per stream and hour."""

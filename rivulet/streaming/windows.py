@@ -6,7 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from rivulet.operators.lag import WATERMARK_DELAY_S
 from rivulet.operators.metrics import MINUTE, SKETCH_K, STATS
+from rivulet.operators.ordered import running_max_before, same_keys
 from rivulet.session import fixed_table
 from rivulet.sources.streams import WATERMARK_DELAY
 from rivulet.streaming.sinks import _trigger
@@ -135,6 +137,48 @@ def compacting_to_table(
     )
 
 
+def late_rows_sink(
+    arrivals: DataFrame, path: str, checkpoint: str, partition: str, arrival: str, ts: str, unique: str,
+    delay_s: int = WATERMARK_DELAY_S, every_s: int | None = None,
+) -> StreamingQuery:
+    """Split a live stream by its source partitions' own high-water marks: ``late=false`` and ``late=true`` below
+    ``path/rows``, as ``lag.late_flags`` would mark them.
+
+    Micro-batches follow the arrival; within one, rows are in order of arrival. What goes from one to the next is
+    the mark of each source partition, one row each below ``path/marks``; the marks before a micro-batch are those
+    of the largest number below its own, so a repeated one finds the same. Within a micro-batch rows are
+    scanned in slices, so a hot source partition is no single task. Late rows are kept, not dropped.
+    """
+    spark = arrivals.sparkSession
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        kind = arrivals.schema[ts].dataType.simpleString()
+        shape = f"{partition} {arrivals.schema[partition].dataType.simpleString()}, mark {kind}, batch long"
+        try:
+            every = spark.read.schema(shape).parquet(f"{path}/marks").where(F.col("batch") < epoch)
+            last = every.agg(F.max("batch")).first()[0]
+            marks = every.where(F.col("batch") == F.lit(last)).drop("batch")
+        except AnalysisException:
+            marks = spark.createDataFrame([], shape).drop("batch")
+        inside = running_max_before(batch, [partition], arrival, unique, ts, "__inside")
+        high = F.greatest("__inside", "mark")
+        behind = F.col(ts) < high - F.make_dt_interval(secs=F.lit(delay_s))
+        flagged = same_keys(inside, marks, [partition], "left").withColumn("late", F.coalesce(behind, F.lit(False)))
+        rows = flagged.select(*arrivals.columns, "late", F.lit(epoch).cast("long").alias("batch"))
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("late", "batch").parquet(f"{path}/rows")
+        seen = batch.select(partition, F.col(ts).alias("mark")).unionByName(marks)
+        reached = seen.groupBy(partition).agg(F.max("mark").alias("mark"))
+        reached.write.mode("overwrite").parquet(f"{path}/marks/batch={epoch}")
+
+    return (
+        arrivals.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(every_s))
+        .start()
+    )
+
+
 class LateRows(StreamingQueryListener):
     """Counts the rows that queries dropped behind their watermark, over their whole life.
 

@@ -507,3 +507,26 @@ def test_objects_hold_exactly_so_many_records(spark, tmp_path):
     assert sizes["__HIVE_DEFAULT_PARTITION__"] == [10] * 4
     read = spark.read.schema("id long, p string").json(out)
     assert sorted((r.p or "", r.id) for r in read.collect()) == sorted((p or "", k) for p, k in rows)
+
+
+def test_live_late_rows_equal_the_audit_and_survive_a_restart(spark, tmp_path):
+    from rivulet.operators import lag
+
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    rows = spark.range(400).select(
+        F.col("id"), (F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 2)).cast("int").alias("p"),
+        F.timestamp_seconds(F.col("id")).alias("arrival"),
+        F.timestamp_seconds(F.col("id") - F.col("id") * 7919 % 23).alias("ts"),
+    )
+
+    def run(first, last):
+        for turn in range(first, last):
+            rows.where(F.floor(F.col("id") / 100) == turn).coalesce(1).write.mode("append").parquet(source)
+        stream = streams.read_files(spark, source, rows.schema, files_per_trigger=1)
+        windows.late_rows_sink(stream, out, checkpoint, "p", "arrival", "ts", "id").awaitTermination()
+
+    run(0, 2)
+    run(2, 4)
+    want = {r.id: r.late for r in lag.late_flags(rows, "p", "arrival", "ts", "id").collect()}
+    got = {r.id: r.late for r in spark.read.parquet(f"{out}/rows").withColumn("late", F.col("late").cast("boolean")).collect()}
+    assert got == want and 0 < sum(want.values()) < 400
