@@ -428,9 +428,10 @@ def buffered_objects(spark, sf_dir):
         compression="UNCOMPRESSED",
     ))
     longest = lines.groupBy("prefix").agg((F.max(F.octet_length("line")) + 1).alias("longest"))
-    written = spark.read.schema("value string, prefix string, reason string, batch int").text(
-        f"{root}/out", wholetext=True
-    )
+    written = spark.read.text(f"{root}/out", wholetext=True)
+    # Before the first object is full there is no folder to name its parts.
+    none = {c: F.lit(None).cast("string") for c in ("prefix", "reason") if c not in written.columns}
+    written = written.withColumns(none) if none else written
     size = F.octet_length("value")
     objects = written.join(longest, "prefix").select(
         "prefix", (F.size(F.split("value", "\n")) - 1).alias("records"), size.cast("long").alias("bytes"),
