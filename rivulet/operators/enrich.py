@@ -6,6 +6,7 @@ import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, wait
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -18,6 +19,10 @@ IN_FLIGHT = 20
 CALL_TIMEOUT_S = 30
 
 SERVER_ERROR = 500
+# Overdue calls that may still be running in a task.
+MOST_HUNG = 200
+# Rows, and seconds, after which answered rows are handed on.
+HANDED_ON, HAND_ON_S = 1000, 1.0
 
 Client = Callable[[str | None], tuple[int, str]]
 
@@ -77,30 +82,106 @@ def _started(client: Client, request) -> Future:
     return future
 
 
-def call_all(
-    requests: list, client: Client, capacity: int, timeout: float
-) -> list[tuple[int, str | None]]:
-    """Answers in request order, from calls that complete in any order.
+class ServiceDown(RuntimeError):
+    """So many calls never ended that the task gives up and leaves its retry to Spark."""
+
 
-    An overdue call answers 504 and frees its slot; a raising one answers 500.
+def answers_as_they_come(
+    requests: Iterator, client: Client, capacity: int, timeout: float, most_hung: int = MOST_HUNG
+) -> Iterator[tuple[int, tuple[int, str | None]]]:
+    """(place, answer) of each request, in the order in which the calls end.
+
+    At most ``capacity`` calls are in flight; requests are only read as slots become free, so a slow call
+    holds back no other one. An overdue call answers 504 and frees its slot; a raising one answers 500.
+    Threads of overdue calls go on until they end; with ``most_hung`` of them alive, ``ServiceDown`` is
+    raised: no call is left out, and a dead service does not fill the worker with threads.
     """
-    answers: list = [None] * len(requests)
     in_flight: dict[Future, tuple[int, float]] = {}
-    sent = 0
-    while sent < len(requests) or in_flight:
-        while sent < len(requests) and len(in_flight) < capacity:
-            in_flight[_started(client, requests[sent])] = (sent, time.monotonic() + timeout)
-            sent += 1
+    hung: set[Future] = set()
+    waiting, place = True, 0
+    while waiting or in_flight:
+        while waiting and len(in_flight) < capacity:
+            hung = {future for future in hung if not future.done()}
+            if len(hung) >= most_hung:
+                raise ServiceDown(f"{len(hung)} calls have not ended in {timeout} s and more")
+            try:
+                request = next(requests)
+            except StopIteration:
+                waiting = False
+                break
+            in_flight[_started(client, request)] = (place, time.monotonic() + timeout)
+            place += 1
+        if not in_flight:
+            return
         next_due = min(due for _, due in in_flight.values())
         done, _ = wait(in_flight, max(next_due - time.monotonic(), 0), FIRST_COMPLETED)
         for future in done:
-            answers[in_flight.pop(future)[0]] = _answer(future)
+            yield in_flight.pop(future)[0], _answer(future)
         now = time.monotonic()
         for future in [f for f, (_, due) in in_flight.items() if due <= now]:
-            answers[in_flight.pop(future)[0]] = (GATEWAY_TIMEOUT, None)
+            hung.add(future)
+            yield in_flight.pop(future)[0], (GATEWAY_TIMEOUT, None)
+
+
+def call_all(
+    requests: list, client: Client, capacity: int, timeout: float
+) -> list[tuple[int, str | None]]:
+    """Answers in request order, from calls that complete in any order; see ``answers_as_they_come``."""
+    answers: list = [None] * len(requests)
+    for place, answer in answers_as_they_come(iter(requests), client, capacity, timeout):
+        answers[place] = answer
     return answers
 
 
+def enriched_batches(
+    batches: Iterator[pa.RecordBatch], client: Client, request: str, capacity: int, timeout: float
+) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches with their answers, in the order of the answers.
+
+    Calls overlap over the borders of batches: while one call is slow, rows of later batches are called
+    and handed on. A batch is held until its last row is answered; of those that follow, at most the rows
+    that are in flight are held, too.
+    """
+    held: dict[int, pa.RecordBatch] = {}
+    left: dict[int, int] = {}
+    places: dict[int, tuple[int, int]] = {}
+    numbers = count()
+
+    def requests() -> Iterator[str | None]:
+        for number, batch in enumerate(batches):
+            if not batch.num_rows:
+                continue
+            held[number], left[number] = batch, batch.num_rows
+            for row, value in enumerate(batch.column(request).cast(pa.string()).to_pylist()):
+                places[next(numbers)] = number, row
+                yield value
+
+    def handed_on(ready: list[tuple[int, int, tuple[int, str | None]]]) -> Iterator[pa.RecordBatch]:
+        for number in sorted({n for n, _, _ in ready}):
+            own = [(row, answer) for n, row, answer in ready if n == number]
+            rows = held[number].take(pa.array([row for row, _ in own]))
+            left[number] -= len(own)
+            if not left[number]:
+                del held[number], left[number]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *rows.columns,
+                    pa.array([status for _, (status, _) in own], pa.int32()),
+                    pa.array([body for _, (_, body) in own], pa.string()),
+                ],
+                names=[*rows.schema.names, "status", "body"],
+            )
+
+    ready: list[tuple[int, int, tuple[int, str | None]]] = []
+    since = time.monotonic()
+    for place, answer in answers_as_they_come(requests(), client, capacity, timeout):
+        ready.append((*places.pop(place), answer))
+        if len(ready) >= HANDED_ON or time.monotonic() - since > HAND_ON_S:
+            yield from handed_on(ready)
+            ready, since = [], time.monotonic()
+    yield from handed_on(ready)
+
+
 def enrich(
     df: DataFrame,
     make_client: Callable[[], Client],
@@ -110,7 +191,8 @@ def enrich(
 ) -> DataFrame:
     """Add ``status`` and ``body`` by calling an external service, ``capacity`` calls at a time.
 
-    The client is made once per task; the client gets the request id as text. Calls may
+    The client is made once per task; the client gets the request id as text. Rows are handed on as
+    their answers come, not in their order. Calls may
     be repeated when a task is retried. Filter and sample before this step: predicates do not move
     across it.
     """
@@ -119,18 +201,7 @@ def enrich(
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client = make_client()
-        for batch in batches:
-            ids = batch.column(request).cast(pa.string()).to_pylist()
-            answers = call_all(ids, client, capacity, timeout)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.array([status for status, _ in answers], pa.int32()),
-                    pa.array([body for _, body in answers], pa.string()),
-                ],
-                names=[*batch.schema.names, "status", "body"],
-            )
+        return enriched_batches(batches, make_client(), request, capacity, timeout)
 
     return df.mapInArrow(run, schema)
 
