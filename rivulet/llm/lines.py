@@ -80,6 +80,8 @@ class LineRuns:
         for run in self.runs():
             own = keys.join(run.hint("merge"), KEY).where("last <> holder").select(*KEY, "holder")
             repeated = own if repeated is None else repeated.unionByName(own)
+        # A table of its own, so that both sides are dealt out by the join, which then can cut a line that is everywhere.
+        repeated = written(repeated, "line-holders")
         return lines.join(repeated, KEY).where("doc_id <> holder").select("doc_id", "text_hash", "pos")
 
     def _keep(self, rows: DataFrame) -> None:
