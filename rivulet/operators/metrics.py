@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -112,13 +113,60 @@ def merged_quantile(
     Keys that are left out are merged over, as brokers into their cluster. Groups without a datapoint
     have no row.
     """
+    merged = _merged_sketches(sketches, keys, period_s, k)
+    return merged.select(
+        *keys, "period", "datapoints", F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(out)
+    )
+
+
+def _merged_sketches(sketches: DataFrame, keys: list[str], period_s: int, k: int) -> DataFrame:
     timed = sketches.where("datapoints > 0").withColumn("period", period_start(F.col("period"), period_s))
-    merged = timed.groupBy(*keys, "period").agg(
+    return timed.groupBy(*keys, "period").agg(
         F.sum("datapoints").alias("datapoints"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch")
     )
-    return merged.select(
-        *keys, "period", "datapoints", F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(out)
+
+
+def exact_quantile(
+    df: DataFrame, sketches: DataFrame, keys: list[str], period_s: int, q: float, out: str = "stat", k: int = SKETCH_K
+) -> DataFrame:
+    """The quantile that ``merged_quantile`` estimates, made exact from the datapoints ``df`` behind the sketches.
+
+    The merged sketches give two values between which the wanted one lies. Datapoints become value counts, and
+    sums over these tell how many lie before the band and whether the band holds the wanted rank; only what lies
+    within it is put in order. A sketch errs with some chance, and may be missing: a bound that does not hold is
+    given up, so the result is exact all the same. A group of nulls alone has no datapoint and no quantile.
+    """
+    groups, margin = [*keys, "period"], 2 * SKETCH_RANK_ERROR
+    counts = with_period(df, period_s).groupBy(*groups, "value").agg(F.count("value").alias("__rows"))
+
+    def bound(rank: float) -> Column:
+        # What is not a number is a datapoint, the greatest, but in no sketch.
+        held = F.kll_sketch_get_n_double("sketch") > 0
+        return F.when(held, F.kll_sketch_get_quantile_double("sketch", F.lit(min(max(rank, 0.0), 1.0))))
+
+    bands = _merged_sketches(sketches, keys, period_s, k).select(
+        *groups, bound(q - margin).alias("__low"), bound(q + margin).alias("__high")
+    )
+    placed = same_keys(counts, bands, groups, "left")
+    sums = placed.groupBy(*groups, "__low", "__high").agg(
+        F.sum("__rows").alias("datapoints"),
+        F.sum(F.when(F.col("value") < F.col("__low"), F.col("__rows")).otherwise(0)).alias("__below"),
+        F.sum(F.when(F.col("value") <= F.col("__high"), F.col("__rows")).otherwise(0)).alias("__upto"),
+    ).withColumn("__rank", F.greatest(F.ceil(F.lit(Decimal(str(q))) * F.col("datapoints")).cast("long"), F.lit(1)))
+    sure = sums.select(
+        *groups, "datapoints", "__rank",
+        F.when(F.col("__below") < F.col("__rank"), F.col("__low")).alias("__low"),
+        F.when(F.col("__below") < F.col("__rank"), F.col("__below")).otherwise(0).alias("__below"),
+        F.when(F.col("__upto") >= F.col("__rank"), F.col("__high")).alias("__high"),
+    )
+    low, high = F.coalesce("__low", "value"), F.coalesce("__high", "value")
+    inside = same_keys(counts, sure, groups).where(
+        F.col("value").between(low, high) | (F.col("datapoints") == 0)
     )
+    upto = Window.partitionBy(*groups).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = inside.withColumn("__upto", F.col("__below") + F.sum("__rows").over(upto))
+    holds = (F.col("__upto") >= F.col("__rank")) & (F.col("__upto") - F.col("__rows") < F.col("__rank"))
+    return ranked.where(holds | (F.col("datapoints") == 0)).select(*groups, "datapoints", F.col("value").alias(out))
 
 
 def metric_rollup(df: DataFrame, levels: list[str], period_s: int) -> DataFrame:

@@ -279,3 +279,36 @@ def test_sketches_of_nulls_and_no_rows(spark):
     assert [r.datapoints for r in kept.collect()] == [0]
     assert metrics.merged_quantile(kept, ["stream"], 300, 0.99).collect() == []
     assert metrics.quantile_sketches(none.where("false"), ["stream"]).collect() == []
+
+
+def test_quantiles_made_exact_from_merged_sketches(spark):
+    rows = spark.range(0, 60_000, 1, 5).select(
+        F.timestamp_seconds(F.col("id") % 7200).alias("ts"), (F.col("id") % 3).cast("string").alias("broker"),
+        (F.pmod(F.xxhash64("id"), F.lit(20_011)) * 1.0).alias("value"), F.lit("s").alias("stream"),
+    )
+    values = {}
+    for r in rows.select(F.floor(F.unix_seconds("ts") / 3600).alias("h"), "value").collect():
+        values.setdefault(r.h, []).append(r.value)
+    kept = metrics.quantile_sketches(rows, ["stream", "broker"])
+    # Sketches that miss datapoints, or all of them, give bounds that do not hold.
+    off = metrics.quantile_sketches(rows.where("value < 9000 and ts < timestamp'1970-01-01 01:00:00'"), ["stream", "broker"])
+    high = metrics.quantile_sketches(rows.where("value > 19900"), ["stream", "broker"])
+    for sketches in (kept, off, high):
+        for q in (0.0, 0.5, 0.99, 1.0):
+            found = metrics.exact_quantile(rows, sketches, ["stream"], 3600, q).collect()
+            assert len(found) == 2
+            for r in found:
+                own = sorted(values[int(r.period.timestamp()) // 3600])
+                assert (r.datapoints, r.stat) == (len(own), own[max(-(-len(own) * int(q * 100) // 100), 1) - 1])
+
+
+def test_exact_quantiles_of_odd_values(spark):
+    nan = float("nan")
+    rows = [(0, None, "s"), (6, nan, "s"), (7, nan, "s"), (11, 1.0, None), (12, None, None), (13, 2.0, None), (16, 3.0, "s"), (16, nan, "s")]
+    df = points(spark, rows)
+    found = metrics.exact_quantile(df, metrics.quantile_sketches(df, ["stream"]), ["stream"], 300, 0.5).collect()
+    assert list(map(repr, minutes(found, "stream", "datapoints", "stat"))) == list(map(repr, [
+        (0, "s", 0, None), (5, "s", 2, nan), (10, None, 2, 1.0), (15, "s", 2, 3.0)
+    ]))
+    none = df.where("false")
+    assert metrics.exact_quantile(none, metrics.quantile_sketches(none, ["stream"]), ["stream"], 300, 0.5).collect() == []
