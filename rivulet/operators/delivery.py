@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import random
+import re
+import shutil
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -385,11 +389,88 @@ def write_objects(
     )
 
 
+# How Spark's readers expect the values of partition folders.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+ESCAPED = re.compile(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]")
+
+
+def _folder(prefix: list[str], values: tuple) -> str:
+    def shown(text: str) -> str:
+        return ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", text)
+
+    return "/".join(f"{shown(p)}={shown(v) if v else NO_VALUE}" for p, v in zip(prefix, values))
+
+
+def _local(df: DataFrame, path: str) -> str | None:
+    """The path on a file system that driver and executors have mounted; None if it is anywhere else."""
+    named = re.fullmatch("file:(?://)?(/.*)", path)
+    if named or re.match("[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return named and named[1]
+    default = df.sparkSession.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:"
+    return os.path.abspath(path) if default.startswith("file:") else None
+
+
+def _put_files(batches: Iterator[pa.RecordBatch], stage: str, prefix: list[str], flush_size: int) -> Iterator[pa.RecordBatch]:
+    """Write lines to files of ``flush_size`` each, a new one for each new prefix; the attempt's folder is the result."""
+    own = f"{stage}/{uuid.uuid4().hex}"
+    key, left, out = None, 0, None
+    try:
+        for batch in batches:
+            keys = list(zip(*[batch.column(p).to_pylist() for p in prefix])) or [()] * batch.num_rows
+            for at, line in zip(keys, batch.column("line").to_pylist()):
+                if not left or at != key:
+                    if out:
+                        out.close()
+                    folder = f"{own}/{_folder(prefix, at)}"
+                    if at != key:
+                        os.makedirs(folder, exist_ok=True)
+                    key, left = at, flush_size
+                    out = open(f"{folder}/part-{uuid.uuid4().hex}.json", "w", encoding="utf-8", newline="")
+                out.write(line + "\n")
+                left -= 1
+    finally:
+        if out:
+            out.close()
+    if out:
+        yield pa.RecordBatch.from_pydict({"folder": [own]})
+
+
+def _write_counted(dealt: DataFrame, path: str, prefix: list[str], flush_size: int) -> None:
+    """Append JSON files of ``flush_size`` records, counted in each task from its first record of a prefix on.
+
+    Spark's writer goes through Hadoop's local file system, which starts two processes for each file it makes
+    on a mounted disk. There the tasks write the files themselves, each attempt into a folder of its own below
+    ``_temporary``; when all have ended, the files of the attempts that count are moved to their place.
+    """
+    root = _local(dealt, path)
+    if root is None:
+        writer = dealt.write.mode("append").option("maxRecordsPerFile", flush_size)
+        (writer.partitionBy(*prefix) if prefix else writer).json(path)
+        return
+    stage = f"{root}/_temporary/{uuid.uuid4().hex}"
+    os.makedirs(stage)
+    try:
+        body = F.to_json(F.struct(*[c for c in dealt.columns if c not in prefix]))
+        lines = dealt.select(*[F.make_valid_utf8(F.col(p).cast("string")).alias(p) for p in prefix], body.alias("line"))
+        done = lines.mapInArrow(lambda batches: _put_files(batches, stage, prefix, flush_size), "folder string")
+        for row in done.collect():
+            for folder, _, names in os.walk(row.folder):
+                place = f"{root}/{os.path.relpath(folder, row.folder)}"
+                os.makedirs(place, exist_ok=True)
+                for name in names:
+                    os.rename(f"{folder}/{name}", f"{place}/{name}")
+    finally:
+        shutil.rmtree(stage, ignore_errors=True)
+    if not os.listdir(os.path.dirname(stage)):
+        os.rmdir(os.path.dirname(stage))
+    open(f"{root}/_SUCCESS", "w").close()
+
+
 def write_fixed_count(df: DataFrame, path: str, flush_size: int, tasks: int) -> None:
     """JSON objects of ``flush_size`` records each, written by ``tasks`` tasks."""
     if flush_size < 1 or tasks < 1:
         raise ValueError("flush size and tasks must be at least 1")
-    df.repartition(tasks).write.mode("append").option("maxRecordsPerFile", flush_size).json(path)
+    _write_counted(df.repartition(tasks), path, [], flush_size)
 
 
 # Records that one task numbers in order at a time.

@@ -540,3 +540,30 @@ def test_late_stream_takes_turns_of_many_files(spark, sf_dir, tmp_path):
         sorted(map(repr, REGISTRY[name](spark, str(tmp_path)).collect())) for name in ("late_stream", "late_audit")
     )
     assert got == want
+
+
+def counted(path):
+    return sorted(sum(1 for _ in open(f)) for f in glob.glob(f"{path}/*.json"))
+
+
+def test_fixed_counts_on_a_mounted_disk_take_no_process_per_file(spark, tmp_path):
+    out = str(tmp_path / "o")
+    df = spark.range(95).withColumn("text", F.when(F.col("id") % 2 == 0, F.lit('"ä\n')))
+    delivery.write_fixed_count(df, out, flush_size=10, tasks=3)
+    delivery.write_fixed_count(df, f"file://{out}", flush_size=10, tasks=1)
+    sizes = counted(out)
+    assert sum(sizes) == 190 and max(sizes) == 10 and len([n for n in sizes if n < 10]) <= 4
+    # Hadoop's local file system leaves a checksum beside each file that it makes with the help of two processes.
+    assert sorted(f for f in os.listdir(out) if not f.endswith(".json")) == ["_SUCCESS"]
+    read = spark.read.schema(df.schema).json(out)
+    assert sorted(map(repr, read.collect())) == sorted(map(repr, df.unionByName(df).collect()))
+
+
+def test_fixed_counts_elsewhere_and_of_a_job_that_fails(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.counted.link./o", f"file://{tmp_path}")
+    delivery.write_fixed_count(spark.range(25), "viewfs://counted/o/p", flush_size=10, tasks=1)
+    assert counted(tmp_path / "p") == [5, 10, 10]
+    bad = spark.range(50).select(F.when(F.col("id") < 49, F.col("id")).otherwise(F.raise_error(F.lit("no"))).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        delivery.write_fixed_count(bad, str(tmp_path / "q"), flush_size=10, tasks=2)
+    assert glob.glob(f"{tmp_path}/q/*.json") == []
