@@ -503,4 +503,4 @@ def write_exact_count(
     dealt = numbered.withColumn("__object", F.floor(F.col("__number") / flush_size)).repartition(
         tasks, *prefix, "__object"
     ).sortWithinPartitions(*prefix, "__number")
-    dealt.select(*df.columns).write.mode("append").option("maxRecordsPerFile", flush_size).partitionBy(*prefix).json(path)
+    _write_counted(dealt.select(*df.columns), path, prefix, flush_size)

@@ -567,3 +567,18 @@ def test_fixed_counts_elsewhere_and_of_a_job_that_fails(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         delivery.write_fixed_count(bad, str(tmp_path / "q"), flush_size=10, tasks=2)
     assert glob.glob(f"{tmp_path}/q/*.json") == []
+
+
+def test_exact_counts_by_odd_prefixes_take_no_process_per_file(spark, tmp_path):
+    names = ["a=b/c", "till #3 'x'?", "{%41}", "é ß", "..", None]
+    name = F.element_at(F.array(*map(F.lit, names)), (F.col("id") % len(names) + 1).cast("int"))
+    df = spark.range(150).select("id", name.alias("p"), (F.date_add(F.lit("2024-01-01"), (F.col("id") % 2).cast("int"))).alias("a:day"))
+    out = str(tmp_path / "o")
+    delivery.write_exact_count(df, out, ["p", "a:day"], "id", 10, tasks=4, slice_rows=50)
+    df.write.partitionBy("p", "a:day").json(str(tmp_path / "want"))
+    assert set(os.listdir(out)) - {"_SUCCESS"} == {f for f in os.listdir(tmp_path / "want") if f.startswith("p=")}
+    folders = glob.glob(f"{out}/p=*/*/")
+    assert len(folders) == 6 and all(sorted(counted(f)) == [5, 10, 10] for f in folders)
+    assert glob.glob(f"{out}/**/.*", recursive=True) == []
+    read = spark.read.schema(df.schema).json(out)
+    assert sorted(map(repr, read.collect())) == sorted(map(repr, df.collect()))
